@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import html, linededup, quality, simhash, tokencount
+from farpoint.llm import ann, html, linededup, mixing, quality, simhash, tokencount, topk, wfst
 
 #: Where the vocabulary files lie on every machine; another folder can be named in FARPOINT_TOKENIZERS.
 TOKENIZERS = os.environ.get("FARPOINT_TOKENIZERS", "/opt/tokenizers")
@@ -22,6 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document stands in the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op4_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its pieces, and whether decoding gives back the text."""
+    return wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"), check=True)
+
+
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines removed, characters left and the new text's digest."""
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -47,8 +67,8 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_linededup, op6_simhash, op7_tokencount, op8_quality, op9_html)}
+    return {f.__name__: f for f in (op1_topk, op2_ann, op3_mixing, op4_wfst, op5_linededup, op6_simhash, op7_tokencount, op8_quality, op9_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_linededup": linededup.dedup_lines_sql()}
+    return {"op1_topk": topk.top_k_sql(), "op5_linededup": linededup.dedup_lines_sql()}
