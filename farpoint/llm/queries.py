@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import ann, html, linededup, mixing, quality, simhash, tokencount, topk, wfst
+from farpoint.llm import ann, html, linededup, mixing, paragraphs, quality, simhash, tokencount, topk, wfst
 
 #: Where the vocabulary files lie on every machine; another folder can be named in FARPOINT_TOKENIZERS.
 TOKENIZERS = os.environ.get("FARPOINT_TOKENIZERS", "/opt/tokenizers")
@@ -66,8 +66,12 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_ann, op3_mixing, op4_wfst, op5_linededup, op6_simhash, op7_tokencount, op8_quality, op9_html)}
+    return {f.__name__: f for f in (op1_topk, op2_ann, op3_mixing, op4_wfst, op5_linededup, op6_simhash, op7_tokencount, op8_quality, op9_html, op10_paragraphs)}
 
 
 def oracle_sql() -> dict[str, str]:
