@@ -98,7 +98,7 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q: np.ndarray, own:
     return ids[alive][at], score[at]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0.6, vec_id: str = "vec_id", vector: str = "embedding", train: int = TRAIN) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0.8, vec_id: str = "vec_id", vector: str = "embedding", train: int = TRAIN) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k nearest other rows found for each query, by cosine.
 
     probes: the share of the lists that each query scans (all, if 1; one at least). Every row is indexed; only centres
