@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farpoint.config import DEFAULT, Settings
@@ -45,45 +45,67 @@ def exits(v: geo.Vec, e: Column, orientation: Column) -> tuple[geo.Vec, geo.Vec]
     return geo.destination(v, at, arc), geo.destination(v, at + math.pi, arc)
 
 
-def terms(side: Callable[[str, str], Column], sep: Column, a: geo.Vec, b: geo.Vec, settings: Settings | Callable[[str], Column] = DEFAULT) -> dict[str, Column]:
-    """T_* , score, chord_length_m and expected_ellipticity of a pair.
+def with_exits(df: DataFrame, lon: str = "lon_deg", lat: str = "lat_deg", ellipticity: str = "ellipticity", orientation: str = "orientation_deg", prefix: str = "e") -> DataFrame:
+    """``df`` with the two ends that each row's shape points to, as ``prefix``1x to ``prefix``2z; null without a shape.
 
-    side(name, "a" or "b"): the column of one end. settings: values, or a function that gives a column for each of
-    ``SIGMAS``. Missing values are null or not finite; a term that lacks what it needs is 1.
+    Step by step, so that each value is computed once for each row instead of once for each place that it stands in.
+    """
+    c = F.col
+    e = F.when(finite(c(ellipticity)), F.greatest(c(ellipticity), F.lit(1.0)))
+    df = df.withColumns({"__arc": F.radians(geo.separation_from_ellipticity(e)), "__at": F.radians(90.0 - c(orientation)), "__la": F.radians(c(lat)), "__lo": F.radians(c(lon))})
+    df = df.withColumns({"__sl": F.sin("__la"), "__cl": F.cos("__la"), "__sa": F.sin("__arc"), "__ca": F.cos("__arc"), "__sb": F.sin("__at"), "__cb": F.cos("__at")})
+    for k, sign in ((1, 1.0), (2, -1.0)):
+        df = df.withColumn("__s", geo.clip(c("__sl") * c("__ca") + c("__cl") * c("__sa") * c("__cb") * sign, -1, 1))
+        df = df.withColumns({"__to": c("__lo") + F.atan2(c("__sb") * c("__sa") * c("__cl") * sign, c("__ca") - c("__sl") * c("__s")), "__c": F.sqrt(F.lit(1.0) - c("__s") * c("__s"))})
+        df = df.withColumns({f"{prefix}{k}x": c("__c") * F.cos("__to"), f"{prefix}{k}y": c("__c") * F.sin("__to"), f"{prefix}{k}z": c("__s")})
+    return df.drop("__arc", "__at", "__la", "__lo", "__sl", "__cl", "__sa", "__ca", "__sb", "__cb", "__s", "__to", "__c")
+
+
+def with_terms(pairs: DataFrame, side: Callable[[str, str], Column], sep: str, ends: dict[str, str], settings: Settings | Callable[[str], Column] = DEFAULT) -> DataFrame:
+    """``pairs`` with T_*, score, chord_length_m and expected_ellipticity.
+
+    side(name, "a" or "b"): the column of one end. ends: for "a" and "b" the prefix of the unit vector's columns, below
+    which ``with_exits`` has left the ends that its shape points to. settings: values, or a function that gives a column
+    for each of ``SIGMAS``. Missing values are null or not finite; a term that lacks what it needs is 1.
     """
     get = settings if callable(settings) else lambda n: F.lit(float(getattr(settings, n)))
-    expected = geo.expected_ellipticity(sep)
-    ok = {s: F.coalesce(side("shape_reliable", s), F.lit(False)) & finite(side("ellipticity", s)) for s in "ab"}
-    one = F.lit(1.0)
-
-    def shape(s: str) -> Column:
-        near = F.when(expected < geo.inf(), gaussian(side("ellipticity", s) - expected, get("sigma_ellipticity"))).otherwise(F.lit(0.0))
-        return F.when(ok[s], near).otherwise(one)
-
-    turned = [(s, geo.bearing(*v)) for s, v in (("a", (a, b)), ("b", (b, a)))]
-    aligned = gaussian(mod180_difference(side("orientation_deg", "a"), turned[0][1]), get("sigma_orientation_deg")) * gaussian(mod180_difference(side("orientation_deg", "b"), turned[1][1]), get("sigma_orientation_deg"))
-    both = ok["a"] & ok["b"] & finite(side("orientation_deg", "a")) & finite(side("orientation_deg", "b")) & (side("ellipticity", "a") > 1.05) & (side("ellipticity", "b") > 1.05)
-
-    def position(s: str, v: geo.Vec, w: geo.Vec) -> Column:
-        p, q = exits(v, side("ellipticity", s), side("orientation_deg", s))
-        off = F.least(geo.separation(p, w), geo.separation(q, w))
+    v = {s: geo.vec(ends[s] + "v") for s in "ab"}
+    expected, one = F.col("expected_ellipticity"), F.lit(1.0)
+    tmp: dict[str, Column] = {"expected_ellipticity": geo.expected_ellipticity(F.col(sep)), "chord_length_m": geo.chord_from_separation(F.col(sep))}
+    for s, t in ("ab", "ba"):
+        tmp[f"__ok_{s}"] = F.coalesce(side("shape_reliable", s), F.lit(False)) & finite(side("ellipticity", s))
+        tmp[f"__turn_{s}"] = geo.bearing(v[s], v[t])
+        for k in "12":
+            tmp[f"__dot_{s}{k}"] = geo.vec(f"{ends[s]}e{k}").dot(v[t])
+    df = pairs.withColumns(tmp)
+    ok = {s: F.col(f"__ok_{s}") for s in "ab"}
+    sharp = {s: finite(side("orientation_deg", s)) & (side("ellipticity", s) > 1.05) for s in "ab"}
+    tmp = {}
+    for s in "ab":
         known = finite(side("orientation_unc_deg", s)) & finite(side("ellipticity_unc", s))
-        sigma = F.when(known, exit_sigma(sep, side("ellipticity", s), side("orientation_unc_deg", s), side("ellipticity_unc", s))).otherwise(get("sigma_position_deg"))
-        return F.when(ok[s] & (side("ellipticity", s) >= 1.0), gaussian(off, sigma))
-
-    pa, pb = position("a", a, b), position("b", b, a)
-    out = {
-        "T_radius": gaussian(F.abs(side("radius_m", "a") - side("radius_m", "b")), get("sigma_radius")),
-        "T_nls": gaussian(side("nls", "a") - side("nls", "b"), get("sigma_nls")),
-        "T_rcr": gaussian(side("rcr", "a") - side("rcr", "b"), get("sigma_rcr")),
-        "T_ellipticity": shape("a") * shape("b"),
-        "T_orientation": F.when(both, aligned).otherwise(one),
-        "T_position": F.when(pa.isNotNull() & pb.isNotNull(), F.sqrt(pa * pb)).otherwise(F.coalesce(pa, pb, one)),
-    }
-    score = one
+        tmp[f"__sigma_{s}"] = F.when(known, exit_sigma(F.col(sep), side("ellipticity", s), side("orientation_unc_deg", s), side("ellipticity_unc", s))).otherwise(get("sigma_position_deg"))
+        # the nearer end is the one with the larger cosine
+        tmp[f"__off_{s}"] = F.degrees(F.acos(F.greatest(F.least(F.greatest(f"__dot_{s}1", f"__dot_{s}2"), one), F.lit(-1.0))))
+        tmp[f"__diff_{s}"] = mod180_difference(side("orientation_deg", s), F.col(f"__turn_{s}"))
+        tmp[f"__shape_{s}"] = F.when(ok[s], F.when(expected < geo.inf(), gaussian(side("ellipticity", s) - expected, get("sigma_ellipticity"))).otherwise(F.lit(0.0))).otherwise(one)
+    df = df.withColumns(tmp)
+    df = df.withColumns({f"__p_{s}": F.when(ok[s] & (side("ellipticity", s) >= 1.0), gaussian(F.col(f"__off_{s}"), F.col(f"__sigma_{s}"))) for s in "ab"})
+    turn = get("sigma_orientation_deg")
+    pa, pb = F.col("__p_a"), F.col("__p_b")
+    df = df.withColumns(
+        {
+            "T_radius": gaussian(F.abs(side("radius_m", "a") - side("radius_m", "b")), get("sigma_radius")),
+            "T_nls": gaussian(side("nls", "a") - side("nls", "b"), get("sigma_nls")),
+            "T_rcr": gaussian(side("rcr", "a") - side("rcr", "b"), get("sigma_rcr")),
+            "T_ellipticity": F.col("__shape_a") * F.col("__shape_b"),
+            "T_orientation": F.when(ok["a"] & ok["b"] & sharp["a"] & sharp["b"], gaussian(F.col("__diff_a"), turn) * gaussian(F.col("__diff_b"), turn)).otherwise(one),
+            "T_position": F.when(pa.isNotNull() & pb.isNotNull(), F.sqrt(pa * pb)).otherwise(F.coalesce(pa, pb, one)),
+        }
+    )
+    total = one
     for t in TERMS:
-        score = score * out[t]
-    return out | {"score": score, "chord_length_m": geo.chord_from_separation(sep), "expected_ellipticity": expected}
+        total = total * F.col(t)
+    return df.withColumn("score", total).drop(*[c for c in df.columns if c.startswith("__")])
 
 
 def freshness(nls: Column, rcr: Column, settings: Settings = DEFAULT) -> Column:

@@ -26,18 +26,15 @@ def conform(craters: DataFrame) -> DataFrame:
     return out.select("idx", "shape_reliable", *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in num])
 
 
-def qualifying(craters: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Rows deep enough, with their unit vectors."""
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """Unit vectors, and the ends that the shapes point to: once for each row, before rows meet in pairs."""
     v = geo.unit(F.col("lon_deg"), F.col("lat_deg"))
-    return conform(craters).where(F.col("depth_proxy") >= settings.min_depth_proxy).withColumns(dict(zip(("vx", "vy", "vz"), v, strict=True)))
+    return score.with_exits(rows.withColumns(dict(zip(("vx", "vy", "vz"), v, strict=True))))
 
 
-def centres() -> Column:
-    """Array of the centres where a row's partner is looked for: one on either bearing for reliable shapes, else one."""
-    v, e, o = geo.vec(), F.col("ellipticity"), F.col("orientation_deg")
-    known = F.coalesce(F.col("shape_reliable"), F.lit(False)) & score.finite(e)
-    one, two = score.exits(v, e, o)
-    return F.when(known & (e > 1.0), F.array(one.struct(), two.struct())).when(known & (e == 1.0), F.array(one.struct())).otherwise(F.array((-v).struct()))
+def qualifying(craters: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Rows deep enough, with their unit vectors."""
+    return with_vectors(conform(craters).where(F.col("depth_proxy") >= settings.min_depth_proxy))
 
 
 def directed() -> Column:
@@ -48,8 +45,13 @@ def cells(v: dict[str, Column], side: float) -> list[Column]:
     return [F.floor((v[a] + 1.0) / side).cast("int") for a in "xyz"]
 
 
+def known(v: dict[str, Column]) -> dict[str, Column]:
+    """A point's columns without nulls: a missing one lies far from the sphere, where no cell is. So nothing has to be filtered below the join."""
+    return {a: F.coalesce(c, F.lit(9.0)) for a, c in v.items()}
+
+
 def in_cone(probe: DataFrame, build: DataFrame, half_angle: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``probe`` (p_*) and ``build`` (b_*) with b_idx > p_idx and b within ``half_angle`` of p's centre p_c.
+    """Rows of ``probe`` (p_*) and ``build`` (b_*) with b_idx > p_idx and b within ``half_angle`` of the centre p_cx, p_cy, p_cz.
 
     The sphere lies in a grid of cells as wide as the cone's chord: a build row is in one cell, a centre looks into the
     27 around its own. So the range join is an equi-join on the cell (and ``keys``), with the exact distance as a
@@ -58,16 +60,15 @@ def in_cone(probe: DataFrame, build: DataFrame, half_angle: float, keys: tuple[s
     chord = 2.0 * math.sin(math.radians(half_angle) / 2.0)
     side = chord * (1.0 + 1e-9)
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    c = {a: F.col("p_c")[a] for a in "xyz"}
-    left = probe.withColumns(dict(zip(("px", "py", "pz"), cells(c, side), strict=True))).withColumn("o", F.explode(near))
+    left = probe.withColumns(dict(zip(("px", "py", "pz"), cells({a: F.col(f"p_c{a}") for a in "xyz"}, side), strict=True))).withColumn("o", F.explode(near))
     left = left.withColumns({"cx": F.col("px") + F.col("o.i"), "cy": F.col("py") + F.col("o.j"), "cz": F.col("pz") + F.col("o.k")}).drop("o", "px", "py", "pz")
-    right = build.withColumns(dict(zip(("cx", "cy", "cz"), cells({a: F.col(f"b_v{a}") for a in "xyz"}, side), strict=True)))
+    right = build.withColumns(dict(zip(("cx", "cy", "cz"), cells(known({a: F.col(f"b_v{a}") for a in "xyz"}), side), strict=True)))
     for k in keys:
         right = right.withColumnRenamed(f"b_{k}", k)
         left = left.withColumnRenamed(f"p_{k}", k)
-    d = sum(((F.col(f"b_v{a}") - F.col("p_c")[a]) * (F.col(f"b_v{a}") - F.col("p_c")[a]) for a in "xyz"), F.lit(0.0))
+    d = sum(((F.col(f"b_v{a}") - F.col(f"p_c{a}")) * (F.col(f"b_v{a}") - F.col(f"p_c{a}")) for a in "xyz"), F.lit(0.0))
     joined = left.join(right, [*keys, "cx", "cy", "cz"]).where((F.col("b_idx") > F.col("p_idx")) & (d <= chord * chord))
-    return joined.drop("cx", "cy", "cz", "p_c")
+    return joined.drop("cx", "cy", "cz", "p_cx", "p_cy", "p_cz")
 
 
 def cuts(settings: Settings = DEFAULT) -> Column:
@@ -79,10 +80,16 @@ def cuts(settings: Settings = DEFAULT) -> Column:
 
 def candidate_pairs(rows: DataFrame, settings: Settings = DEFAULT, keys: tuple[str, ...] = ()) -> DataFrame:
     """p_* and b_* of the pairs that pass cone and cuts, each once; ``rows`` are qualifying ones, paired within equal ``keys``."""
-    probe = rows.select([F.col(c).alias(f"p_{c}") for c in rows.columns] + [centres().alias("cs"), directed().alias("dir")])
+    probe = rows.select([F.col(c).alias(f"p_{c}") for c in rows.columns] + [directed().alias("dir")])
     build = rows.select([F.col(c).alias(f"b_{c}") for c in rows.columns])
-    wide = in_cone(probe.where(~F.col("dir")).withColumn("p_c", F.col("cs")[0]).drop("cs", "dir"), build, settings.cone_deg, keys)
-    narrow = in_cone(probe.where("dir").withColumn("p_c", F.explode("cs")).drop("cs", "dir"), build, settings.cone_reliable_deg, keys)
+    one, two, v = geo.vec("p_e1"), geo.vec("p_e2"), geo.vec("p_v")
+    round_ = F.coalesce(F.col("p_shape_reliable"), F.lit(False)) & (F.col("p_ellipticity") == 1.0)
+    opposite = {a: F.when(round_, e).otherwise(-x) for a, e, x in zip("xyz", one, v, strict=True)}
+    wide = probe.where(~F.col("dir")).withColumns({f"p_c{a}": c for a, c in known(opposite).items()}).drop("dir")
+    wide = in_cone(wide, build, settings.cone_deg, keys)
+    narrow = probe.where("dir").withColumn("c", F.explode(F.array(one.struct(), two.struct())))
+    narrow = narrow.withColumns({f"p_c{a}": c for a, c in known({a: F.col("c")[a] for a in "xyz"}).items()}).drop("c", "dir")
+    narrow = in_cone(narrow, build, settings.cone_reliable_deg, keys)
     # both centres of a row can meet one partner
     narrow = narrow.where(cuts(settings)).dropDuplicates([*keys, "p_idx", "b_idx"])
     return wide.where(cuts(settings)).unionByName(narrow)
@@ -90,13 +97,11 @@ def candidate_pairs(rows: DataFrame, settings: Settings = DEFAULT, keys: tuple[s
 
 def with_scores(pairs: DataFrame, settings: Settings = DEFAULT, keys: tuple[str, ...] = ()) -> DataFrame:
     side = lambda name, s: F.col(f"{'p' if s == 'a' else 'b'}_{name}")
-    a, b = geo.vec("p_v"), geo.vec("b_v")
-    sep = geo.separation(a, b)
-    got = score.terms(side, F.col("separation_deg"), a, b, settings)
+    df = pairs.withColumn("separation_deg", geo.separation(geo.vec("p_v"), geo.vec("b_v")))
+    df = score.with_terms(df, side, "separation_deg", {"a": "p_", "b": "b_"}, settings)
     names = {"lon_deg": "lon_{}", "lat_deg": "lat_{}", "radius_m": "radius_{}_m", "orientation_deg": "orientation_{}_deg", "orientation_unc_deg": "orientation_unc_{}_deg"}
     ends = [side(c, s).alias(names.get(c, c + "_{}").format(s)) for c in SIDES for s in "ab"]
-    df = pairs.withColumn("separation_deg", sep)
-    return df.select(*keys, F.col("p_idx").alias("idx_a"), F.col("b_idx").alias("idx_b"), "separation_deg", *ends, *[c.alias(n) for n, c in got.items()])
+    return df.select(*keys, F.col("p_idx").alias("idx_a"), F.col("b_idx").alias("idx_b"), "separation_deg", *ends, *score.TERMS, "score", "chord_length_m", "expected_ellipticity")
 
 
 def build_pairs(craters: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -112,4 +117,4 @@ def best_pairs(pairs: DataFrame, n: int = DEFAULT.max_pairs) -> DataFrame:
 def max_pair(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The best score and its pair for each of ``keys`` (one row without): an aggregate that is summed before its shuffle."""
     top = F.max_by(F.struct("idx_a", "idx_b", "separation_deg"), F.struct("score", -F.col("idx_a"), -F.col("idx_b")))
-    return pairs.where(F.col("score") > 0).groupBy(*keys).agg(F.max("score").alias("score"), top.alias("pair"))
+    return pairs.groupBy(*keys).agg(F.max("score").alias("score"), top.alias("pair")).where(F.col("score") > 0)
