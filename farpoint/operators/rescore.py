@@ -89,6 +89,6 @@ def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     a, b = df.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")), df.select(F.col(key).alias("l"), F.col(x).alias("u"), F.col(y).alias("v"))
     dx, dy = F.signum(F.col("x") - F.col("u")), F.signum(F.col("y") - F.col("v"))
     s = a.join(F.broadcast(b), F.col("k") < F.col("l")).select((dx * dy).alias("s"), dx.alias("dx"), dy.alias("dy"))
-    got = s.agg(F.count("*").alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("t"), F.count_if("dx = 0").alias("tx"), F.count_if("dy = 0").alias("ty"), F.count_if("s > 0").alias("concordant"), F.count_if("s < 0").alias("discordant"))
+    got = s.agg(F.count("*").alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("t"), F.count_if(F.expr("dx = 0")).alias("tx"), F.count_if(F.expr("dy = 0")).alias("ty"), F.count_if(F.expr("s > 0")).alias("concordant"), F.count_if(F.expr("s < 0")).alias("discordant"))
     scale = F.sqrt((F.col("n") - F.col("tx")).cast("double") * (F.col("n") - F.col("ty")))
     return got.select(F.try_divide("t", scale).alias("tau"), F.col("n").alias("n_compared"), "concordant", "discordant")

@@ -300,9 +300,9 @@ def null_chunk_bounds(spark, sf):
     return nullmodel.chunk_bounds(spark, 1000, 7)
 
 
-@query("SELECT range AS trial FROM range(2000) WHERE range NOT IN (SELECT trial FROM null_scores)", "null_scores")
+@query("SELECT range AS trial FROM range(16000) WHERE range NOT IN (SELECT trial FROM null_scores)", "null_scores")
 def null_remaining(spark, sf):
-    return nullmodel.remaining(spark.range(2000).withColumnRenamed("id", "trial"), view(spark, sf, "null_scores"))
+    return nullmodel.remaining(spark.range(16000).withColumnRenamed("id", "trial"), view(spark, sf, "null_scores"))
 
 
 NULL2000 = "n AS (SELECT score FROM null_scores WHERE trial <= 2000)"
