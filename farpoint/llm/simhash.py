@@ -198,9 +198,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     ``key`` is the 128-bit hash of the text's words in lower case, so texts that differ in case or white space alone
     share it. Texts are candidates if in one of TABLES fingerprints they are within 3 bits (through variants, as
-    above), and are linked if the Jaccard similarity of their sets of k-word shingles is at least ``similarity``. A
-    candidate group's members are compared with the group's least fingerprint, with their neighbours in the order of
-    their least shingle hash, and with the first of those that share it; so candidates grow with the members, never
+    above), and are linked if the Jaccard similarity of their sets of k-word shingles is at least ``similarity``.
+
+    Texts with an equal fingerprint are compared first, with the least of them. From then on a group that this has
+    linked stands for each of its fingerprints as one entry, and variants are made of entries. An entry is compared
+    with the least of those that share a variant, with its neighbours in the order of their least shingle hash, and with
+    the first of those that share it, unless both are in one group already; so candidates grow with the entries, never
     with their pairs. Sets of more than SKETCH shingles are compared by their SKETCH least hashes (standard error 0.025
     at 0.8). Two texts of similarity 0.9 become candidates with probability 0.97, of 0.8 with 0.7; copies of one
     source meet in groups, where one link of each suffices.
@@ -218,88 +221,91 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tables, pa.binary()), pa.array(sketches, pa.binary())], names=["key", "f", "u"])
 
     seen = cut(src.mapInArrow(mark, "key binary, f binary, u binary").groupBy("key").agg(F.first("f").alias("f"), F.first("u").alias("u")))
-    rows = seen.count()
+    sketch = seen.select("key", "u")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([i for i in range(b.num_columns) if i not in (2, 3)]).filter(pa.array(ok, pa.bool_()))
+
+    def verified(pairs: DataFrame, *also: str) -> DataFrame:
+        """The pairs a, b that are alike."""
+        joined = pairs.join(sketch.withColumnsRenamed({"key": "a", "u": "ua"}), "a").join(sketch.withColumnsRenamed({"key": "b", "u": "ub"}), "b")
+        return joined.select("a", "b", "ua", "ub", *also).mapInArrow(check, pairs.select("a", "b", *also).schema)
+
+    # equal fingerprints
+    each = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")
+    fps = seen.select("key", "f", F.substring("u", 1, 4).alias("low"), each).select("key", "low", "t", F.substring("f", F.col("t") * 4 + 1, F.lit(4)).alias("fp"))
+    hubs = fps.groupBy("t", "fp").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "fp", "b")
+    equal = fps.select(F.col("key").alias("a"), "t", "fp").join(hubs, ["t", "fp"]).where("a <> b").select("a", "b").distinct()
+    first = components(verified(equal))
+
+    # entries: each group's fingerprints
+    named = fps.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    entries = cut(named.groupBy("root", "t", "fp").agg(F.min(F.struct("key", "low")).alias("m")).select("root", "m.key", "m.low", "t", "fp"))
     variants = (len(masks(BITS)[0]) + BITS + 1) // 2
-    n = pieces(rows * TABLES * variants, GROUP)
+    n = pieces(entries.count() * variants, GROUP)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, size = masks(BITS)
         few = int((size < 2).sum())
         m32 = m.astype(np.uint32)
         for b in batches:
-            key = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 16)
-            f = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, TABLES)
-            least = np.array([int(np.frombuffer(u[:4], np.uint32)[0]) if u else 0 for u in b.column(2).to_pylist()], np.uint32)
-            for i in range(0, len(f), CHUNK):
-                got = []
-                for t in range(TABLES):
-                    odd = np.bitwise_count(f[i : i + CHUNK, t]) % 2 == 1
-                    for rows_, codes in ((np.flatnonzero(~odd) + i, len(m)), (np.flatnonzero(odd) + i, few)):
-                        if not len(rows_):
-                            continue
-                        v = (f[rows_, t][:, None] ^ m32[None, :codes]).ravel()
-                        g = group_of(v.astype(np.uint64), n, t << 40)
+            root, key = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 16) for c in (0, 1))
+            low = np.frombuffer(b"".join(x or bytes(4) for x in b.column(2).to_pylist()), np.uint32)
+            table, fp = b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32)
+            odd = np.bitwise_count(fp) % 2 == 1
+            for t in range(TABLES):
+                for mine, codes in ((np.flatnonzero((table == t) & ~odd), len(m)), (np.flatnonzero((table == t) & odd), few)):
+                    for i in range(0, len(mine), CHUNK):
+                        rows = mine[i : i + CHUNK]
+                        g = group_of((fp[rows][:, None] ^ m32[None, :codes]).ravel().astype(np.uint64), n, t << 40)
                         order = np.argsort(g, kind="stable")
                         at = np.searchsorted(g[order], np.arange(n + 1))
-                        which, code = np.repeat(rows_, codes)[order], np.tile(np.arange(codes, dtype=np.uint16), len(rows_))[order]
+                        which, code = np.repeat(rows, codes)[order], np.tile(np.arange(codes, dtype=np.uint16), len(rows))[order]
+                        got = []
                         for x in np.flatnonzero(np.diff(at)):
                             w, c = which[at[x] : at[x + 1]], code[at[x] : at[x + 1]]
-                            # a document's entries share its key: each document once, then its number for each entry
+                            # an entry's variants share its keys: each entry once, then its number for each variant
                             own, num = np.unique(w, return_inverse=True)
                             head = np.array([len(own), len(w)], np.uint32).tobytes()
-                            got.append((int(x), t, head + key[own].tobytes() + f[own, t].tobytes() + least[own].tobytes() + num.astype(np.uint16).tobytes() + c.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.binary())], names=["g", "t", "p"])
+                            got.append((int(x), head + root[own].tobytes() + key[own].tobytes() + fp[own].tobytes() + low[own].tobytes() + num.astype(np.uint16).tobytes() + c.tobytes()))
+                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([t] * len(got), pa.int32()), pa.array([x[1] for x in got], pa.binary())], names=["g", "t", "p"])
 
     def back(t: pa.Table) -> pa.Table:
         m, size = masks(BITS)
-        m32, keys, fps, leasts, nums, codes, base = m.astype(np.uint32), [], [], [], [], [], 0
+        m32, parts, base = m.astype(np.uint32), [], 0
         for p in t.column("p").to_pylist():
             d, e = (int(x) for x in np.frombuffer(p, np.uint32, 2))
-            at = 8
-            keys.append(np.frombuffer(p, np.uint8, 16 * d, at).reshape(d, 16))
-            fps.append(np.frombuffer(p, np.uint32, d, at + 16 * d))
-            leasts.append(np.frombuffer(p, np.uint32, d, at + 20 * d))
-            nums.append(np.frombuffer(p, np.uint16, e, at + 24 * d).astype(np.int64) + base)
-            codes.append(np.frombuffer(p, np.uint16, e, at + 24 * d + 2 * e))
+            r, k = (np.frombuffer(p, np.uint8, 16 * d, 8 + at).reshape(d, 16) for at in (0, 16 * d))
+            f, low = (np.frombuffer(p, np.uint32, d, 8 + at) for at in (32 * d, 36 * d))
+            parts.append((r, k, f, low, np.frombuffer(p, np.uint16, e, 8 + 40 * d).astype(np.int64) + base, np.frombuffer(p, np.uint16, e, 8 + 40 * d + 2 * e)))
             base += d
-        if not keys:
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        key, fp, least, num, code = map(np.concatenate, (keys, fps, leasts, nums, codes))
-        # order of documents by their key, for hubs that are the same in every group
-        _, rank = np.unique(key.view([("h", ">u8"), ("l", ">u8")]).ravel(), return_inverse=True)
+        root, key, fp, low, num, code = map(np.concatenate, zip(*parts, strict=True))
+        # order by key and by group, for hubs that are the same everywhere
+        rank, group = (np.unique(x.view([("h", ">u8"), ("l", ">u8")]).ravel(), return_inverse=True)[1] for x in (key, root))
         v, far = fp[num] ^ m32[code], size[code] == 2
-        order = np.lexsort((rank[num], least[num], far, v))
+        order = np.lexsort((rank[num], low[num], far, v))
         v, far, num = v[order], far[order], num[order]
-        r, low = rank[num], least[num]
-        first = np.concatenate([[True], v[1:] != v[:-1]])
-        head = np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))
-        fresh = first | np.concatenate([[True], (low[1:] != low[:-1]) | (far[1:] != far[:-1])])
+        least = low[num]
+        start = np.concatenate([[True], v[1:] != v[:-1]])
+        head = np.maximum.accumulate(np.where(start, np.arange(len(v)), 0))
+        fresh = start | np.concatenate([[True], (least[1:] != least[:-1]) | (far[1:] != far[:-1])])
         sub = np.maximum.accumulate(np.where(fresh, np.arange(len(v)), 0))
         before = np.arange(len(v)) - 1
-        pairs = [np.stack([num[x], num[y]], 1) for x, y in ((np.flatnonzero(~first), head[~first]), (np.flatnonzero(~fresh), sub[~fresh]), (np.flatnonzero(~first), before[~first]))]
-        p = np.concatenate(pairs)
+        p = np.concatenate([np.stack([num[x], num[y]], 1) for x, y in ((np.flatnonzero(~start), head[~start]), (np.flatnonzero(~fresh), sub[~fresh]), (np.flatnonzero(~start), before[~start]))])
+        p = p[group[p[:, 0]] != group[p[:, 1]]]
         a, b = rank[p[:, 0]], rank[p[:, 1]]
-        p = p[a != b]
-        a, b = a[a != b], b[a != b]
-        lo = np.where((a < b)[:, None], p, p[:, ::-1])
-        _, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)
-        lo = lo[at]
-        flat = key.tobytes()
-        get = lambda i: flat[16 * i : 16 * i + 16]
-        return pa.table({"a": pa.array([get(i) for i in lo[:, 1].tolist()], pa.binary()), "b": pa.array([get(i) for i in lo[:, 0].tolist()], pa.binary())})
-
-    spreads = seen.select("key", "f", "u").mapInArrow(out, "g int, t int, p binary")
-    pairs = spreads.repartition(n, "g", "t").groupBy("g", "t").applyInArrow(back, "a binary, b binary").distinct()
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [alike(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    sketch = seen.select("key", "u")
-    joined = pairs.join(sketch.withColumnsRenamed({"key": "a", "u": "ua"}), "a").join(sketch.withColumnsRenamed({"key": "b", "u": "ub"}), "b")
-    linked = joined.select("a", "b", "ua", "ub").mapInArrow(check, "a binary, b binary")
-    return components(linked).select(F.col("node").alias("key"), F.col("root").alias("least"))
+        p = np.where((a > b)[:, None], p, p[:, ::-1])
+        p = p[np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)[1]]
+        names = lambda x, i: pa.array([x[16 * j : 16 * j + 16] for j in i.tolist()], pa.binary())
+        keys, roots = key.tobytes(), root.tobytes()
+        return pa.table({"a": names(keys, p[:, 0]), "b": names(keys, p[:, 1]), "ra": names(roots, p[:, 0]), "rb": names(roots, p[:, 1])})
+
+    spreads = entries.select("root", "key", "low", "t", "fp").mapInArrow(out, "g int, t int, p binary")
+    pairs = spreads.repartition(n, "g", "t").groupBy("g", "t").applyInArrow(back, "a binary, b binary, ra binary, rb binary").distinct()
+    more = verified(pairs, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("key"), F.col("root").alias("least"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
