@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, source
     sizes = base.groupBy("__s", "__g").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("__s").alias("s"), F.col("__g").alias("g"), (F.sum("n").over(Window.partitionBy("__s").orderBy("__g")) - F.col("n")).alias("__b"))
     at = F.row_number().over(Window.partitionBy("__s", "__g").orderBy("__r", F.col(f"`{doc_id}`")))
-    numbered = base.withColumn("__n", at).join(F.broadcast(before), F.col("__s").eqNullSafe(F.col("s")) & (F.col("__g") == F.col("g"))).withColumn("__n", F.col("__b") + F.col("__n") - 1).drop("s", "g", "__b", "__g")
+    numbered = base.withColumn("__n", at).join(before, F.col("__s").eqNullSafe(F.col("s")) & (F.col("__g") == F.col("g"))).withColumn("__n", F.col("__b") + F.col("__n") - 1).drop("s", "g", "__b", "__g")
     numbered = numbered.withColumn("mix_block", F.floor(F.col("__n") / block).cast("long"))
 
     plan = phases({s: pieces(n, block) for s, n in counts.items()}, weights, period)
