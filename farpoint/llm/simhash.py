@@ -172,6 +172,8 @@ def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
 
 #: Tables of 32 bits each from XXH3-128 of the shingles; shingles kept for the verification.
 TABLES, BITS, SKETCH = 4, 32, 256
+#: A candidate pair goes on to the verification if half of the BINS of the two that are not empty agree.
+BINS = 16
 
 
 def tables_and_sketch(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +186,15 @@ def tables_and_sketch(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]
     return majority(h).view("<u4"), u[:SKETCH]
 
 
+def signature(sketch: bytes) -> bytes:
+    """BINS bytes: of each bin of the hashes the least one's byte, 0 if it is empty."""
+    u = np.frombuffer(sketch, np.uint32)
+    out = np.zeros(BINS, np.uint8)
+    bins, at = np.unique(u % BINS, return_index=True)  # hashes are sorted: the first is the least
+    out[bins] = 1 + u[at] // BINS % 255
+    return out.tobytes()
+
+
 def alike(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two shingle sets: exact if both fit their sketches, else from the SKETCH least hashes of the union."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
@@ -204,7 +215,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     linked stands for each of its fingerprints as one entry, and variants are made of entries. An entry is compared
     with the least of those that share a variant, with its neighbours in the order of their least shingle hash, and with
     the first of those that share it, unless both are in one group already; so candidates grow with the entries, never
-    with their pairs. Sets of more than SKETCH shingles are compared by their SKETCH least hashes (standard error 0.025
+    with their pairs. Of these, pairs go on if at least half of their signatures' bins agree; at a similarity of 0.8 a
+    pair of long texts fails that with probability 0.002. Sets of more than SKETCH shingles are compared by their SKETCH least hashes (standard error 0.025
     at 0.8). Two texts of similarity 0.9 become candidates with probability 0.97, of 0.8 with 0.7; copies of one
     source meet in groups, where one link of each suffices.
     """
@@ -212,15 +224,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, tables, sketches = [], [], []
+            keys, tables, sketches, signs = [], [], [], []
             for t in b.column(1).to_pylist():
                 keys.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
                 f, u = tables_and_sketch(t, k)
                 tables.append(f.tobytes())
                 sketches.append(u.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tables, pa.binary()), pa.array(sketches, pa.binary())], names=["key", "f", "u"])
+                signs.append(signature(sketches[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tables, pa.binary()), pa.array(sketches, pa.binary()), pa.array(signs, pa.binary())], names=["key", "f", "u", "s"])
 
-    seen = cut(src.mapInArrow(mark, "key binary, f binary, u binary").groupBy("key").agg(F.first("f").alias("f"), F.first("u").alias("u")))
+    seen = cut(src.mapInArrow(mark, "key binary, f binary, u binary, s binary").groupBy("key").agg(*[F.first(c).alias(c) for c in "fus"]))
     sketch = seen.select("key", "u")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +248,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     # equal fingerprints
     each = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")
-    fps = seen.select("key", "f", F.substring("u", 1, 4).alias("low"), each).select("key", "low", "t", F.substring("f", F.col("t") * 4 + 1, F.lit(4)).alias("fp"))
+    fps = seen.select("key", "f", "s", F.substring("u", 1, 4).alias("low"), each).select("key", "low", "s", "t", F.substring("f", F.col("t") * 4 + 1, F.lit(4)).alias("fp"))
     hubs = fps.groupBy("t", "fp").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "fp", "b")
     equal = fps.select(F.col("key").alias("a"), "t", "fp").join(hubs, ["t", "fp"]).where("a <> b").select("a", "b").distinct()
     first = components(verified(equal))
 
     # entries: each group's fingerprints
     named = fps.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    entries = cut(named.groupBy("root", "t", "fp").agg(F.min(F.struct("key", "low")).alias("m")).select("root", "m.key", "m.low", "t", "fp"))
+    entries = cut(named.groupBy("root", "t", "fp").agg(F.min(F.struct("key", "low", "s")).alias("m")).select("root", "m.key", "m.low", "t", "fp", "m.s"))
     variants = (len(masks(BITS)[0]) + BITS + 1) // 2
     n = pieces(entries.count() * variants, GROUP)
 
@@ -254,6 +267,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             root, key = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 16) for c in (0, 1))
             low = np.frombuffer(b"".join(x or bytes(4) for x in b.column(2).to_pylist()), np.uint32)
             table, fp = b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32)
+            sign = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
             odd = np.bitwise_count(fp) % 2 == 1
             for t in range(TABLES):
                 for mine, codes in ((np.flatnonzero((table == t) & ~odd), len(m)), (np.flatnonzero((table == t) & odd), few)):
@@ -269,7 +283,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
                             # an entry's variants share its keys: each entry once, then its number for each variant
                             own, num = np.unique(w, return_inverse=True)
                             head = np.array([len(own), len(w)], np.uint32).tobytes()
-                            got.append((int(x), head + root[own].tobytes() + key[own].tobytes() + fp[own].tobytes() + low[own].tobytes() + num.astype(np.uint16).tobytes() + c.tobytes()))
+                            got.append((int(x), head + root[own].tobytes() + key[own].tobytes() + fp[own].tobytes() + low[own].tobytes() + sign[own].tobytes() + num.astype(np.uint16).tobytes() + c.tobytes()))
                         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([t] * len(got), pa.int32()), pa.array([x[1] for x in got], pa.binary())], names=["g", "t", "p"])
 
     def back(t: pa.Table) -> pa.Table:
@@ -279,9 +293,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             d, e = (int(x) for x in np.frombuffer(p, np.uint32, 2))
             r, k = (np.frombuffer(p, np.uint8, 16 * d, 8 + at).reshape(d, 16) for at in (0, 16 * d))
             f, low = (np.frombuffer(p, np.uint32, d, 8 + at) for at in (32 * d, 36 * d))
-            parts.append((r, k, f, low, np.frombuffer(p, np.uint16, e, 8 + 40 * d).astype(np.int64) + base, np.frombuffer(p, np.uint16, e, 8 + 40 * d + 2 * e)))
+            sign, end = np.frombuffer(p, np.uint8, BINS * d, 8 + 40 * d).reshape(d, BINS), 8 + (40 + BINS) * d
+            parts.append((r, k, f, low, sign, np.frombuffer(p, np.uint16, e, end).astype(np.int64) + base, np.frombuffer(p, np.uint16, e, end + 2 * e)))
             base += d
-        root, key, fp, low, num, code = map(np.concatenate, zip(*parts, strict=True))
+        root, key, fp, low, sign, num, code = map(np.concatenate, zip(*parts, strict=True))
         # order by key and by group, for hubs that are the same everywhere
         rank, group = (np.unique(x.view([("h", ">u8"), ("l", ">u8")]).ravel(), return_inverse=True)[1] for x in (key, root))
         v, far = fp[num] ^ m32[code], size[code] == 2
@@ -295,6 +310,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         before = np.arange(len(v)) - 1
         p = np.concatenate([np.stack([num[x], num[y]], 1) for x, y in ((np.flatnonzero(~start), head[~start]), (np.flatnonzero(~fresh), sub[~fresh]), (np.flatnonzero(~start), before[~start]))])
         p = p[group[p[:, 0]] != group[p[:, 1]]]
+        x, y = sign[p[:, 0]], sign[p[:, 1]]
+        p = p[2 * ((x == y) & (x > 0)).sum(1) >= ((x > 0) | (y > 0)).sum(1)]
         a, b = rank[p[:, 0]], rank[p[:, 1]]
         p = np.where((a > b)[:, None], p, p[:, ::-1])
         p = p[np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)[1]]
@@ -302,7 +319,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         keys, roots = key.tobytes(), root.tobytes()
         return pa.table({"a": names(keys, p[:, 0]), "b": names(keys, p[:, 1]), "ra": names(roots, p[:, 0]), "rb": names(roots, p[:, 1])})
 
-    spreads = entries.select("root", "key", "low", "t", "fp").mapInArrow(out, "g int, t int, p binary")
+    spreads = entries.select("root", "key", "low", "t", "fp", "s").mapInArrow(out, "g int, t int, p binary")
     pairs = spreads.repartition(n, "g", "t").groupBy("g", "t").applyInArrow(back, "a binary, b binary, ra binary, rb binary").distinct()
     more = verified(pairs, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("key"), F.col("root").alias("least"))

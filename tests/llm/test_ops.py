@@ -148,6 +148,38 @@ def test_keep_one(spark):
     assert simhash.keep_one(awkward(spark)).count() == 2  # no words; one text, once and 400 times
 
 
+def test_near_groups_of_variants(spark):
+    """Groups equal the components of the exact Jaccard similarity."""
+    texts = []
+    for base in range(3):
+        words = prose(20 + base, 200).split()
+        for i in range(25):
+            texts.append(" ".join(["other", *words[1:]] if not i else [*words[: 5 * i], f"other{i}", *words[5 * i + 1 :]]))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    assert {r["doc_id"] for r in simhash.keep_one(docs(spark, *texts)).collect()} == {root.index(r) for r in set(root)}
+
+
+def test_signature():
+    """Sets of similarity 0.8 agree in half of their bins, but for few; unlike ones rarely do."""
+    rng = np.random.default_rng(5)
+    agree = {0.8: 0, 0.1: 0}
+    for similarity in agree:
+        for _ in range(1000):
+            u = rng.choice(1 << 32, 600, replace=False).astype(np.uint32)
+            both = int(600 * similarity)
+            own = (600 - both) // 2
+            sides = [np.sort(np.concatenate([u[:both], x]))[: simhash.SKETCH] for x in (u[both : both + own], u[both + own :])]
+            x, y = (np.frombuffer(simhash.signature(s.tobytes()), np.uint8) for s in sides)
+            agree[similarity] += 2 * ((x == y) & (x > 0)).sum() >= ((x > 0) | (y > 0)).sum()
+    assert agree[0.8] >= 985 and agree[0.1] <= 20
+    assert simhash.signature(b"") == bytes(simhash.BINS)
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
