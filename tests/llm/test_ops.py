@@ -223,6 +223,29 @@ def test_paragraphs(spark):
     assert paragraphs.repeats(awkward(spark)).count() == 7 and paragraphs.repeats(awkward(spark).limit(0)).count() == 0
 
 
+def wrapped(text, *widths):
+    """``text`` in lines of so many words in turn."""
+    words, out = text.split(), []
+    while words:
+        n = widths[len(out) % len(widths)]
+        out.append(" ".join(words[:n]))
+        words = words[n:]
+    return "\n".join(out)
+
+
+def test_passages_over_line_ends(spark):
+    """Passages in short lines, wrapped in another way, without sentence marks, or a line here and inside a line there."""
+    p, q, r = (prose(i, 60).replace(".", "") for i in (41, 42, 43))
+    texts = [wrapped(p, 7), f"{prose(44, 30)}\n{wrapped(p, 7)}\n{prose(45, 9)}", f"{prose(46, 12)}\n{wrapped(p, 12, 5)}", f"{prose(47, 25)} {q} {prose(48, 25)}", wrapped(q, 25), r, f"{prose(49, 25)} {r} {prose(50, 25)}", wrapped(prose(51, 90), 8), "same " * 100]
+    got = {x["doc_id"]: x for x in paragraphs.repeats(docs(spark, *texts)).collect()}
+    assert [got[i]["keepers"][:1] for i in range(9)] == [[], [0], [0], [], [3], [], [5], [], [8]] and got[7]["n_runs"] == 0
+    left = {x["doc_id"]: x["text"] for x in paragraphs.remove_repeats(docs(spark, *texts)).collect()}
+    assert all(left[i] == texts[i] for i in (0, 3, 5, 7)) and left[8].split() == ["same"] * 20
+    for i in (1, 2, 4, 6):
+        kept, own = left[i].split(), texts[i].split()
+        assert len(own) - 64 <= len(kept) <= len(own) - 60 + 2 * (paragraphs.WINNOW - 1)  # a word beside it may be equal by chance
+
+
 def test_paragraph_pairs(spark):
     """Classes against all pairs, in a large group of variants of one text."""
     rng, base = random.Random(2), prose(20, 60).split()
