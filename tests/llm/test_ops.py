@@ -72,6 +72,24 @@ def test_mixing(spark):
     assert mixing.mix(awkward(spark).limit(0)).count() == 0
 
 
+def test_position_of_pieces(spark):
+    """The pipeline's last result tells the mix, also where the mixed rows were more than one part and come in another order."""
+    import corpus_pipeline as pipeline
+
+    n = mixing.GROUP + 4000
+    src = spark.range(n).selectExpr("id AS doc_id", "concat('t', id) AS text", "'en' AS lang", "CASE WHEN id % 8 < 5 THEN 'a' WHEN id % 8 < 7 THEN 'b' END AS source", "2L AS n_chars")
+    mixed = pipeline.cut(pipeline.mix_stage(spark, src, None))
+    out = pipeline.piece_stage(spark, mixed.orderBy("doc_id"), None).select("mix_position", "source").orderBy("mix_position").collect()
+    assert [r[0] for r in out] == list(range(n))
+    counts = {"a": n * 5 // 8, "b": n // 4, None: n // 8}
+    total, seen, all_last = sum(c**0.5 for c in counts.values()), dict.fromkeys(counts, 0), True
+    for t, (_, s) in enumerate(out, 1):
+        seen[s] += 1
+        all_last = all_last and all(seen[x] < counts[x] for x in counts)
+        if all_last and t % mixing.BLOCK == 0:  # shares are rounded to a period's slots
+            assert all(abs(seen[x] - counts[x] ** 0.5 / total * t) < mixing.BLOCK * (1 + t / mixing.BLOCK / mixing.PERIOD) for x in counts)
+
+
 def test_pieces(spark):
     import sentencepiece
 
