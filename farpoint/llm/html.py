@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul video".split()
@@ -18,7 +19,7 @@ BLOCK = frozenset(
 #: Elements whose content is no markup; it goes whole.
 RAW = frozenset("script style textarea noscript template iframe svg math title canvas object noframes xmp".split())
 #: Elements that go with all they hold.
-OUT = frozenset("head nav footer aside form button select menu dialog label input fieldset figure audio video map datalist noscript template iframe svg math".split())
+OUT = frozenset("head nav footer aside form button select menu dialog label input fieldset audio video map datalist noscript template iframe svg math".split())
 #: Words of class, id or role that mark what is not the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
@@ -26,16 +27,52 @@ MARKS = re.compile(
     r"recommendations|widget|skip|copyright|legal|disclaimer|contentinfo|complementary|search|form|toc|tags|alert)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, the words of elements that go even if they hold an <article> or most of the text, and even if they are a heading's or section's id.
+WHOLE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|cookies?|consent|gdpr|popup|newsletter|comments?|commentlist|replies|reply|respond|disqus|discussion|related|recommended|recommendations)(?:$|[\s_-])",
+    re.I,
+)
+#: Class words that only say what a layout has or lacks.
+HAS = re.compile(r"(?:^|(?<=\s))(?:no|non|not|has|have|with|without)[_-]\S*", re.I)
+CAMEL = re.compile(r"([a-z])([A-Z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 #: Windows of so many lines are summed; a surge is a window above SURGE characters whose next windows hold text too.
 WINDOW, SURGE = 3, 86
 
 
+def marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the words of an element's class, id, role or label mark it as no article, and whether as one that goes whatever it holds.
+
+    Ids of headings, and of sections inside the article, are names to link to and count in the second case only.
+    """
+    soft = False
+    for kind, *values in NAMED.findall(attributes):
+        value = HAS.sub(" ", CAMEL.sub(r"\1-\2", next((v for v in values if v), "")))
+        if WHOLE.search(value):
+            return True, True
+        names = kind.lower() == "id" and (name in HEADINGS or name == "section" and inside)
+        soft = soft or not names and bool(MARKS.search(value))
+    return soft, False
+
+
 def lines(page: str) -> list[tuple[str, bool, int]]:
-    """The page's text lines in order: the text, whether it stands in an <article> or <main>, and the characters of it in links.
+    """The page's text lines, as ``walk`` has them; elements that words mark as no article stay if they hold an <article> or <main>, or over half of the text, unless WHOLE names them."""
+    spared: set[int] = set()
+    while True:
+        out, held, total = walk(page, spared)
+        more = {at for at, (article, size) in held.items() if article or size * 2 > total} - spared
+        if not more:
+            return out
+        spared |= more
+
+
+def walk(page: str, spared: set[int]) -> tuple[list[tuple[str, bool, int]], dict[int, tuple[bool, int]], int]:
+    """The lines; for each element that only words strip, by its place, whether it holds an article and its characters; and the characters of the text without the elements that go in any case.
+
+    The page's text lines in order: the text, whether it stands in an <article> or <main>, and the characters of it in links.
 
     Comments, scripts, styles, forms and what element names or class words mark as no article are stripped with all
     that they hold. Character references are decoded, white space inside a line becomes one space.
@@ -45,6 +82,13 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
     stack: list[tuple[str, bool, bool]] = []  # name, strips its content, is the article
     linked = pos = links = 0
     gone = inside = 0
+    held: dict[int, tuple[bool, int]] = {}
+    open_: list[tuple[int, int]] = []  # the elements that words strip: depth of the stack and place
+    total = 0
+
+    def shut() -> None:
+        while open_ and open_[-1][0] >= len(stack):
+            open_.pop()
 
     def end() -> None:
         nonlocal linked
@@ -61,6 +105,11 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
         if piece and not gone:
             buf.append(piece)
             linked += len(piece) if links else 0
+        if piece and gone == len(open_):  # stripped by words at most
+            size = len(piece.strip())
+            total += size
+            for _, at in open_:
+                held[at] = held[at][0], held[at][1] + size
         if not m:
             break
         pos = m.end()
@@ -77,6 +126,7 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                     inside -= article
                     links -= x == "a"
                 del stack[at:]
+                shut()
             continue
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
@@ -85,7 +135,12 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        strips = name in OUT or (name == "header" and not inside) or bool(m[3]) and bool(HIDDEN.search(m[3]) or (name not in ("html", "body", "article", "main") and any(MARKS.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", next(v for v in g if v))) for g in NAMED.findall(m[3]) if any(g))))
+        hard = name in OUT or (name == "header" and not inside) or bool(m[3] and HIDDEN.search(m[3]))
+        soft = False
+        if m[3] and not hard and name not in ("html", "body", "article", "main"):
+            soft, hard = marked(name, m[3], inside > 0)
+            soft = soft and not hard and m.start() not in spared
+        strips = hard or soft
         article = name in ("article", "main")
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # these end an open one of their kind
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in BLOCK - {name}), None)
@@ -95,13 +150,20 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                     inside -= a
                     links -= x == "a"
                 del stack[at:]
+                shut()
+        if article and gone == len(open_):
+            for _, at in open_:
+                held[at] = True, held[at][1]
+        if soft:
+            open_.append((len(stack), m.start()))
+            held[m.start()] = False, 0
         stack.append((name, strips, article))
         gone += strips
         inside += article
         links += name == "a"
     if not gone:
         end()
-    return out
+    return out, held, total
 
 
 def distribution(sizes: list[int], window: int = WINDOW) -> list[int]:

@@ -227,6 +227,17 @@ def test_html(spark):
     assert got[2]["text"] == "" and got[3]["n_chars"] == 0 and html.extract(df).count() == 6
 
 
+def test_html_keeps_the_article():
+    """Wrappers named by their layout, ids of headings and sections, and captions do not cost text."""
+    text, more = "Words of the story go on and on. " * 8, "Its second part goes on as well. " * 8
+    story, want = f"<p>{text}</p><h2 id='legal-form'>Form</h2><section id='search-history'><p>{more}</p></section><figure><img src=x><figcaption>A caption</figcaption></figure>", " ".join(f"{text} Form {more} A caption".split())
+    rest = "<div class='sidebar'><p>Aside.</p></div><div id='comments'><article class='comment'><p>" + "First! " * 200 + "</p></article></div>"
+    for name in ("layout no-sidebar", "has-sidebar", "with-menu", "search-result", "sidebar-right"):
+        assert html.main_text(f"<body><div class='{name}'><article>{story}</article></div>{rest}</body>") == want
+        assert html.main_text(f"<body><div class='{name}'><div>{story.replace("section", "div").replace("search-history", "part")}</div></div>{rest}</body>") == want
+    assert "Aside" not in html.main_text(f"<div class='has-sidebar'>{story}{rest}</div>")
+
+
 def test_paragraphs(spark):
     p, q = prose(7, 60), prose(8, 60)
     near = p.replace(p.split()[30], "other", 1)
