@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from farpoint.llm.common import bucket
+from farpoint.llm.common import bucket, cut
 from farpoint.llm.topk import stacked, usable
 
 #: The index is fitted on the TRAIN vectors whose hash comes first; it has at most LISTS lists.
@@ -117,7 +117,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
         return part.groupBy("id").agg(F.min("v").alias("v"))
 
     base, asked = whole(vectors), whole(queries)
-    rows, wide = vectors.agg(F.count("*"), F.max(F.size(F.col(f"`{vector}`")))).first()
+    rows, wide = base.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(wide or 0, 0)
     sample = base.orderBy(F.xxhash64("id"), "id").limit(train).toArrow()
     index = fit(stacked(sample.column("v"), width), rows or 0)
@@ -167,10 +167,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     found = run(base, asked, near)
-    if near == lists or (rows or 0) > 8 * k * lists:
+    if near == lists:
         return found
-    # small tables: lists may hold fewer than k others
-    return run(base, asked, lists)
+    # queries whose lists hold fewer than k others
+    found = cut(found)
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    few = cut(asked.join(full, asked.id == full.query_id, "left_anti").select("id", "v"))
+    if few.isEmpty():
+        return found
+    return found.join(full.select("query_id"), "query_id", "left_semi").select(*found.columns).union(run(base, few, lists))
 
 
 def nearest_exact(vectors: dict[int, np.ndarray], query: int, k: int = 5) -> list[tuple[int, float]]:

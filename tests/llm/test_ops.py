@@ -58,6 +58,15 @@ def test_neighbours(spark):
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_neighbours_outside_the_lists(spark, monkeypatch):
+    """A query whose lists hold fewer than k others gets k all the same, whatever the table's size."""
+    one = np.eye(4)[0]
+    monkeypatch.setattr(ann, "fit", lambda x, rows: ann.Index(4, np.stack([one, -one]), np.eye(4)))
+    v = spark.createDataFrame([(i, (one if i < 600 else -one).tolist()) for i in range(603)], "vec_id long, embedding array<double>")
+    got = ann.search(v, v.where("vec_id in (5, 600)"), probes=0.5).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [*((5, i + 1, i) for i in range(5)), (600, 1, 601), (600, 2, 602), (600, 3, 0), (600, 4, 1), (600, 5, 2)]
+
+
 def test_mixing(spark):
     rows = [(i, "t", s, 0, "x") for i, s in enumerate(["a"] * 400 + ["b"] * 150 + [None] * 90)]
     weights = {"a": 1.0, "b": 2.0, None: 1.0}
