@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,14 @@ BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset: a temporary one on a local master, an error on a cluster."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="farpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     if sc.getCheckpointDir() is None:
@@ -58,15 +63,57 @@ def bucket(key: Column, n: int | Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), n.cast("long")).cast("int")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column is called so (whatever its case)."""
+    used, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: A key is hot from so many rows on, and from more on in large tables: at most HOT keys are.
+HOT, HOT_ROWS = 1_000, 2_000
+
+
+def spread_join(rows: DataFrame, labels: DataFrame, on: list[str], sizes: DataFrame, salt: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``labels`` (one row for each key at most), the rows of hot keys dealt over many tasks.
+
+    ``sizes``: the keys with the number n of their rows, a table; smaller keys may lack. A key is hot if it has more
+    than a HOT-th of those rows and more than HOT_ROWS, so there are at most HOT hot keys: these are broadcast, their
+    rows dealt by the hash of ``salt``, and their labels repeated for each part.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT)
+    hot = F.broadcast(sizes.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__parts").cast("long")).cast("int"), F.lit(0))
+    left = rows.join(hot, on, "left").withColumn("__salt", part).drop("__parts")
+    right = labels.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
+def slices(b: pa.RecordBatch, at: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of ``b`` with about ``limit`` bytes of the text column ``at`` each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit)))
+        yield b.slice(i, j - i)
+        i = j
+
+
 def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Runs of ``texts`` of about ``limit`` characters each; a longer text is a run of its own."""
+    """Runs of ``texts`` of about ``limit`` bytes of UTF-8 each; a longer text is a run of its own."""
     run, size = [], 0
     for t in texts:
-        if run and size + len(t) > limit:
+        n = len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
+        if run and size + n > limit:
             yield run
             run, size = [], 0
         run.append(t)
-        size += len(t)
+        size += n
     if run:
         yield run
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farpoint.llm.common import slices
+
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a worker remembers; beyond, it starts anew.
 MEMORY, PAIRS = 300_000, 600_000
@@ -267,18 +269,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False)
     return out if check else out.drop("exact")
 
 
-def slices(b: pa.RecordBatch, at: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Parts of ``b`` with about ``limit`` bytes of the text column ``at`` each."""
-    import pyarrow.compute as pc
-
-    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit)))
-        yield b.slice(i, j - i)
-        i = j
-
-
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns of ``encoded`` but the ids, with text; null ids give an empty text, ids out of range or null ones inside nothing."""
     keep = [c for c in encoded.columns if c not in (ids, "text")]
