@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,36 @@ def spread_join(rows: DataFrame, labels: DataFrame, on: list[str], sizes: DataFr
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+#: 64-bit words of a filter: 8 MB whatever the table's size.
+SIEVE = 1 << 20
+
+
+def spot(h: Column) -> Column:
+    return F.pmod(F.xxhash64(h, F.lit(17)), F.lit(SIEVE << 6))
+
+
+def sieve(table: DataFrame, column: str) -> np.ndarray:
+    """A filter of SIEVE words that knows each hash in ``column``; the driver gets at most these words."""
+    x = spot(F.col(f"`{column}`"))
+    words = table.select(F.shiftright(x, 6).alias("w"), F.expr("1L").alias("one"), (x % 64).cast("int").alias("s")).select("w", F.expr("shiftleft(one, s)").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(SIEVE, np.int64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out
+
+
+def maybe_in(bits: np.ndarray, column: str) -> Column:
+    """False only for rows whose ``column`` the filter does not know. A full filter knows all: then every row is joined, which is slower and gives the same."""
+    held = SparkSession.getActiveSession().sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def known(x: pd.Series) -> pd.Series:
+        v = x.to_numpy()
+        return pd.Series((held.value[v >> 6] >> (v & 63)) & 1 == 1)
+
+    return known(spot(F.col(f"`{column}`")))
+
+
 def slices(b: pa.RecordBatch, at: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of ``b`` with about ``limit`` bytes of the text column ``at`` each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False))

@@ -9,10 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from farpoint.llm.common import cut, pieces
+from farpoint.llm.common import cut, drop, fresh, maybe_in, pieces, sieve, slices
 from farpoint.llm.components import components
+from farpoint.llm.shingling import compared, rolled, shingle_hashes, word_hashes, words_of
 
 RADIUS = 3
 #: A bucket group holds about so many variants.
@@ -37,8 +37,11 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     """The bits that are set in over half of the rows of ``hashes`` (n x bytes), as bytes."""
     n, width = hashes.shape
     total = np.zeros(width * 8, np.int64)
-    for i in range(0, n, 1 << 16):
-        total += np.unpackbits(hashes[i : i + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for i in range(0, n, 255 * 256):
+        bits = np.unpackbits(hashes[i : i + 255 * 256], axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        total += bits[:whole].reshape(-1, 255, width * 8).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)  # 255 ones fit in a byte
+        total += bits[whole:].sum(0, dtype=np.uint8)
     return np.packbits(total * 2 > n, bitorder="little")
 
 
@@ -168,186 +171,258 @@ def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     return marked.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by text: several short fingerprints from one pass, links verified on the shingles themselves.
+# Near copies by text: ball hashing of parts of a longer fingerprint, pairs verified on the shingles themselves.
 
-#: Tables of 32 bits each from XXH3-128 of the shingles; shingles kept for the verification.
-TABLES, BITS, SKETCH = 4, 32, 256
-#: A candidate pair goes on to the verification if half of the BINS of the two that are not empty agree.
-BINS = 16
+#: Words of the shingles that the 128-bit fingerprints are made of: an edit changes the fewest of short ones.
+FEATURE = 2
+#: Each table has BITS of the 128 bits and a radius of 2: every fingerprint emits the variants within one flip.
+TABLES, BITS = 12, 28
+#: Entries that share a variant are compared if at most FAR of all 128 bits differ: at a similarity of 0.8, 0.998 are.
+FAR = 32
+#: A group of variants takes about so many entries.
+ENTRIES = 20_000
 
 
-def tables_and_sketch(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """TABLES fingerprints of BITS bits, and the SKETCH least distinct 32-bit hashes of the shingles, sorted."""
-    s = shingles(text, k)
-    if not s:
-        return np.zeros(TABLES, np.uint32), np.zeros(0, np.uint32)
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(-1, 16)
-    u = np.unique(np.ascontiguousarray(h[:, :4]).view("<u4").ravel() ^ np.ascontiguousarray(h[:, 8:12]).view("<u4").ravel())
-    return majority(h).view("<u4"), u[:SKETCH]
-
-
-def signature(sketch: bytes) -> bytes:
-    """BINS bytes: of each bin of the hashes the least one's byte, 0 if it is empty."""
-    u = np.frombuffer(sketch, np.uint32)
-    out = np.zeros(BINS, np.uint8)
-    bins, at = np.unique(u % BINS, return_index=True)  # hashes are sorted: the first is the least
-    out[bins] = 1 + u[at] // BINS % 255
-    return out.tobytes()
-
-
-def alike(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets: exact if both fit their sketches, else from the SKETCH least hashes of the union."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum()) / max(1, len(both))
-
-
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, least): for each distinct shingle sequence of ``docs`` its key and the key of its group's representative.
-
-    ``key`` is the 128-bit hash of the text's words in lower case, so texts that differ in case or white space alone
-    share it. Texts are candidates if in one of TABLES fingerprints they are within 3 bits (through variants, as
-    above), and are linked if the Jaccard similarity of their sets of k-word shingles is at least ``similarity``.
-
-    Texts with an equal fingerprint are compared first, with the least of them. From then on a group that this has
-    linked stands for each of its fingerprints as one entry, and variants are made of entries. An entry is compared
-    with the least of those that share a variant, with its neighbours in the order of their least shingle hash, and with
-    the first of those that share it, unless both are in one group already; so candidates grow with the entries, never
-    with their pairs. Of these, pairs go on if at least half of their signatures' bins agree; at a similarity of 0.8 a
-    pair of long texts fails that with probability 0.002. Sets of more than SKETCH shingles are compared by their SKETCH least hashes (standard error 0.025
-    at 0.8). Two texts of similarity 0.9 become candidates with probability 0.97, of 0.8 with 0.7; copies of one
-    source meet in groups, where one link of each suffices.
-    """
-    src = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"))
+def long_fingerprint(words: list[bytes]) -> bytes:
+    """128 bits of SimHash over the shingles of FEATURE words; no word: 0."""
+    if not words:
+        return bytes(16)
+    x, k = word_hashes(words), min(FEATURE, len(words))
+    return majority(np.stack([rolled(x, k), rolled(x, k, 1)], 1).view(np.uint8)).tobytes()
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, tables, sketches, signs = [], [], [], []
-            for t in b.column(1).to_pylist():
-                keys.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
-                f, u = tables_and_sketch(t, k)
-                tables.append(f.tobytes())
-                sketches.append(u.tobytes())
-                signs.append(signature(sketches[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tables, pa.binary()), pa.array(sketches, pa.binary()), pa.array(signs, pa.binary())], names=["key", "f", "u", "s"])
-
-    seen = cut(src.mapInArrow(mark, "key binary, f binary, u binary, s binary").groupBy("key").agg(*[F.first(c).alias(c) for c in "fus"]))
-    sketch = seen.select("key", "u")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [alike(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select([i for i in range(b.num_columns) if i not in (2, 3)]).filter(pa.array(ok, pa.bool_()))
-
-    def verified(pairs: DataFrame, *also: str) -> DataFrame:
-        """The pairs a, b that are alike."""
-        joined = pairs.join(sketch.withColumnsRenamed({"key": "a", "u": "ua"}), "a").join(sketch.withColumnsRenamed({"key": "b", "u": "ub"}), "b")
-        return joined.select("a", "b", "ua", "ub", *also).mapInArrow(check, pairs.select("a", "b", *also).schema)
-
-    # equal fingerprints
-    each = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")
-    fps = seen.select("key", "f", "s", F.substring("u", 1, 4).alias("low"), each).select("key", "low", "s", "t", F.substring("f", F.col("t") * 4 + 1, F.lit(4)).alias("fp"))
-    hubs = fps.groupBy("t", "fp").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "fp", "b")
-    equal = fps.select(F.col("key").alias("a"), "t", "fp").join(hubs, ["t", "fp"]).where("a <> b").select("a", "b").distinct()
-    first = components(verified(equal))
-
-    # entries: each group's fingerprints
-    named = fps.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    entries = cut(named.groupBy("root", "t", "fp").agg(F.min(F.struct("key", "low", "s")).alias("m")).select("root", "m.key", "m.low", "t", "fp", "m.s"))
-    variants = (len(masks(BITS)[0]) + BITS + 1) // 2
-    n = pieces(entries.count() * variants, GROUP)
+
+def table_values(fps: np.ndarray, table: int) -> np.ndarray:
+    """The BITS bits of each fingerprint (n x 16 bytes) that a table takes."""
+    at = np.random.default_rng(100 + table).choice(128, BITS, replace=False)
+    return np.unpackbits(fps, axis=1, bitorder="little")[:, at].astype(np.uint32) @ (np.uint32(1) << np.arange(BITS, dtype=np.uint32))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints (n x 2 64-bit words)."""
+    return np.bitwise_count(x ^ y).sum(-1)
+
+
+def buckets(values: np.ndarray, flips: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, entry): the entries of one group in the order of their variants, and where each variant that several share begins and ends, as (n x 2).
+
+    flips: 0 for an entry whose own value is in this group: it and its flips outside the prefix are its variants here;
+    i + 1 for one that comes here by flipping bit i of the prefix.
+    """
+    low = BITS - prefix
+    own = np.flatnonzero(flips == 0)
+    moved = np.flatnonzero(flips)
+    steps = np.concatenate([np.zeros(1, np.uint32), np.uint32(1) << np.arange(low, dtype=np.uint32)])
+    v = np.concatenate([(values[own][:, None] ^ steps).ravel(), values[moved] ^ (np.uint32(1) << (low + flips[moved] - 1).astype(np.uint32))])
+    who = np.concatenate([np.repeat(own, low + 1), moved])
+    order = np.lexsort((who, v))
+    v, who = v[order], who[order]
+    edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
+    span = np.stack([edge[:-1], edge[1:]], 1)
+    return span[span[:, 1] - span[:, 0] > 1], who
+
+
+def hubs_of(fp: np.ndarray, span: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """First round: (entry, hub, weight of the hub), one for each entry that has another within FAR bits in a bucket.
+
+    An entry's weight is the number of entries that it meets in all its buckets: of a text and its variants, the text
+    meets most. A bucket's hub is its entry of largest weight; those beyond FAR bits from it have hubs of their own. Of
+    the hubs that an entry gets in several buckets it keeps the one of largest weight.
+    """
+    weight = np.zeros(len(fp), np.int64)
+    size = span[:, 1] - span[:, 0]
+    inside = np.concatenate([np.arange(a, b) for a, b in span]) if len(span) else np.zeros(0, np.int64)
+    np.add.at(weight, who[inside], np.repeat(size - 1, size))
+    rank = np.lexsort((fp[:, 1], fp[:, 0], -weight)).argsort()
+    two = span[size == 2, 0]
+    x, y = who[two], who[two + 1]
+    near = apart(fp[x], fp[y]) <= FAR
+    first = rank[x] < rank[y]
+    found = [np.stack([np.where(first, y, x), np.where(first, x, y)], 1)[near]]
+    for a, b in span[size > 2]:
+        rest = who[a:b]
+        rest = rest[np.argsort(rank[rest])]
+        alone = []
+        while len(rest):
+            near = apart(fp[rest[1:]], fp[rest[0]]) <= FAR
+            if near.any():
+                found.append(np.stack([rest[1:][near], np.full(near.sum(), rest[0])], 1))
+            else:
+                alone.append(rest[0])
+            rest = rest[1:][~near]
+        for z in alone:  # what lies near it has another hub
+            others = who[a:b][who[a:b] != z]
+            d = apart(fp[others], fp[z])
+            if d.min() <= FAR:
+                found.append(np.array([[z, others[d.argmin()]]]))
+    p = np.concatenate(found)
+    p = p[np.lexsort((rank[p[:, 1]], p[:, 0]))]
+    p = p[np.concatenate([[True], p[1:, 0] != p[:-1, 0]])] if len(p) else p
+    return np.column_stack([p, weight[p[:, 1]]])
+
+
+def nearest_of(fp: np.ndarray, group: np.ndarray, span: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Later rounds: pairs within FAR bits, for each bucket of several groups and each entry in it that is not of its largest group: with the nearest entry of the largest, and the nearest of the others."""
+    found = [np.zeros((0, 2), np.int64)]
+    size = span[:, 1] - span[:, 0]
+    two = span[size == 2, 0]
+    x, y = who[two], who[two + 1]
+    near = (group[x] != group[y]) & (apart(fp[x], fp[y]) <= FAR)
+    found.append(np.stack([x, y], 1)[near])
+    for a, b in span[size > 2]:
+        w = who[a:b]
+        names, g, many = np.unique(group[w], return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            continue
+        large = g == many.argmax()
+        few = np.flatnonzero(~large)
+        for i in range(0, len(few), 256):
+            f = few[i : i + 256]
+            d = apart(fp[w[f]][:, None, :], fp[w][None, :, :]).astype(np.int64)
+            d[g[f][:, None] == g[None, :]] = 1 << 20
+            for barred in (~large, large):
+                x = np.where(barred[None, :], 1 << 20, d)
+                at = x.argmin(1)
+                ok = x[np.arange(len(f)), at] <= FAR
+                found.append(np.stack([w[f][ok], w[at[ok]]], 1))
+    p = np.sort(np.concatenate(found), axis=1)
+    return np.unique(p, axis=0)
+
+
+def met(entries: DataFrame, count: int, first: bool) -> DataFrame:
+    """Pairs a, b (keys) of ``entries`` (key, f, and group in later rounds) that meet in a variant: with w, the hub b's weight, in the first round.
+
+    Variants that agree in the first bits of a table go to one task. An entry goes there once with all its variants,
+    and once for each of these bits to where flipping it leads.
+    """
+    prefix = min(BITS - 2, max(0, (max(1, count) // ENTRIES).bit_length()))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, size = masks(BITS)
-        few = int((size < 2).sum())
-        m32 = m.astype(np.uint32)
         for b in batches:
-            root, key = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 16) for c in (0, 1))
-            low = np.frombuffer(b"".join(x or bytes(4) for x in b.column(2).to_pylist()), np.uint32)
-            table, fp = b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32)
-            sign = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
-            odd = np.bitwise_count(fp) % 2 == 1
+            key, fps = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 16) for c in (0, 1))
+            group = b.column(2).to_numpy()
             for t in range(TABLES):
-                for mine, codes in ((np.flatnonzero((table == t) & ~odd), len(m)), (np.flatnonzero((table == t) & odd), few)):
-                    for i in range(0, len(mine), CHUNK):
-                        rows = mine[i : i + CHUNK]
-                        g = group_of((fp[rows][:, None] ^ m32[None, :codes]).ravel().astype(np.uint64), n, t << 40)
-                        order = np.argsort(g, kind="stable")
-                        at = np.searchsorted(g[order], np.arange(n + 1))
-                        which, code = np.repeat(rows, codes)[order], np.tile(np.arange(codes, dtype=np.uint16), len(rows))[order]
-                        got = []
-                        for x in np.flatnonzero(np.diff(at)):
-                            w, c = which[at[x] : at[x + 1]], code[at[x] : at[x + 1]]
-                            # an entry's variants share its keys: each entry once, then its number for each variant
-                            own, num = np.unique(w, return_inverse=True)
-                            head = np.array([len(own), len(w)], np.uint32).tobytes()
-                            got.append((int(x), head + root[own].tobytes() + key[own].tobytes() + fp[own].tobytes() + low[own].tobytes() + sign[own].tobytes() + num.astype(np.uint16).tobytes() + c.tobytes()))
-                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([t] * len(got), pa.int32()), pa.array([x[1] for x in got], pa.binary())], names=["g", "t", "p"])
+                base = (table_values(fps, t) >> np.uint32(BITS - prefix)).astype(np.int64)
+                to = np.concatenate([base, *[base ^ (1 << i) for i in range(prefix)]])
+                who, flip = np.tile(np.arange(len(base)), prefix + 1), np.repeat(np.arange(prefix + 1, dtype=np.uint8), len(base))
+                order = np.argsort(to, kind="stable")
+                g, at = np.unique(to[order], return_index=True)
+                packed = []
+                for lo, hi in zip(at, [*at[1:], len(order)], strict=True):
+                    n = order[lo:hi]
+                    w = who[n]
+                    packed.append(np.uint32(hi - lo).tobytes() + key[w].tobytes() + fps[w].tobytes() + group[w].tobytes() + flip[n].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(g), pa.int32()), pa.array(g, pa.int32()), pa.array(packed, pa.binary())], names=["t", "g", "p"])
+
+    def back(table: pa.Table) -> pa.Table:
+        parts = []
+        for p in table.column("p").to_pylist():
+            n = int(np.frombuffer(p, np.uint32, 1)[0])
+            parts.append((np.frombuffer(p, np.uint8, 16 * n, 4).reshape(n, 16), np.frombuffer(p, np.uint8, 16 * n, 4 + 16 * n).reshape(n, 16), np.frombuffer(p, np.int64, n, 4 + 32 * n), np.frombuffer(p, np.uint8, n, 4 + 40 * n)))
+        key, fps, group, flip = map(np.concatenate, zip(*parts, strict=True))
+        span, who = buckets(table_values(fps, table.column("t")[0].as_py()), flip.astype(np.int64), prefix)
+        fp = fps.view(np.uint64)
+        got = hubs_of(fp, span, who) if first else nearest_of(fp, group, span, who)
+        columns = {name: pa.array([key[i].tobytes() for i in got[:, c]], pa.binary()) for c, name in enumerate("ab")}
+        return pa.table(columns | {"w": pa.array(got[:, 2], pa.int64())} if first else columns)
+
+    dealt = entries.select("key", "f", F.lit(0).cast("long").alias("group") if first else "group").mapInArrow(out, "t int, g int, p binary")
+    return dealt.repartition(pieces(TABLES << prefix, 4), "t", "g").groupBy("t", "g").applyInArrow(back, "a binary, b binary" + ", w long" * first)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(key, s): the distinct shingles, as 32-bit hashes, of the documents that ``wanted`` (key, i, h) names.
+
+    A filter of fixed size lets these documents through, and few others; so only their texts are shuffled.
+    """
+    bits = sieve(wanted, "h")
+    some = docs.where(maybe_in(bits, "h")).select("i", "h", "t")
+    both = some.join(wanted.withColumnsRenamed({"i": "i2", "h": "h2"}), F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))).select("key", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                s = [np.unique((shingle_hashes(words_of(t), k) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["key", "s"])
+
+    return both.mapInArrow(run, "key binary, s binary").groupBy("key").agg(F.first("s").alias("s"))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """i, h, key (128-bit hash of the words in lower case) and f (the long fingerprint) of each of ``docs`` (i, h, t)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 2):
+                words = [words_of(t) for t in b.column(2).to_pylist()]
+                keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(map(long_fingerprint, words), pa.binary())], names=["i", "h", "key", "f"])
+
+    return docs.mapInArrow(mark, docs.select("i", "h", F.lit(b"").alias("key"), F.lit(b"").alias("f")).schema)
 
-    def back(t: pa.Table) -> pa.Table:
-        m, size = masks(BITS)
-        m32, parts, base = m.astype(np.uint32), [], 0
-        for p in t.column("p").to_pylist():
-            d, e = (int(x) for x in np.frombuffer(p, np.uint32, 2))
-            r, k = (np.frombuffer(p, np.uint8, 16 * d, 8 + at).reshape(d, 16) for at in (0, 16 * d))
-            f, low = (np.frombuffer(p, np.uint32, d, 8 + at) for at in (32 * d, 36 * d))
-            sign, end = np.frombuffer(p, np.uint8, BINS * d, 8 + 40 * d).reshape(d, BINS), 8 + (40 + BINS) * d
-            parts.append((r, k, f, low, sign, np.frombuffer(p, np.uint16, e, end).astype(np.int64) + base, np.frombuffer(p, np.uint16, e, end + 2 * e)))
-            base += d
-        root, key, fp, low, sign, num, code = map(np.concatenate, zip(*parts, strict=True))
-        # order by key and by group, for hubs that are the same everywhere
-        rank, group = (np.unique(x.view([("h", ">u8"), ("l", ">u8")]).ravel(), return_inverse=True)[1] for x in (key, root))
-        v, far = fp[num] ^ m32[code], size[code] == 2
-        order = np.lexsort((rank[num], low[num], far, v))
-        v, far, num = v[order], far[order], num[order]
-        least = low[num]
-        start = np.concatenate([[True], v[1:] != v[:-1]])
-        head = np.maximum.accumulate(np.where(start, np.arange(len(v)), 0))
-        fresh = start | np.concatenate([[True], (least[1:] != least[:-1]) | (far[1:] != far[:-1])])
-        sub = np.maximum.accumulate(np.where(fresh, np.arange(len(v)), 0))
-        before = np.arange(len(v)) - 1
-        p = np.concatenate([np.stack([num[x], num[y]], 1) for x, y in ((np.flatnonzero(~start), head[~start]), (np.flatnonzero(~fresh), sub[~fresh]), (np.flatnonzero(~start), before[~start]))])
-        p = p[group[p[:, 0]] != group[p[:, 1]]]
-        x, y = sign[p[:, 0]], sign[p[:, 1]]
-        p = p[2 * ((x == y) & (x > 0)).sum(1) >= ((x > 0) | (y > 0)).sum(1)]
-        a, b = rank[p[:, 0]], rank[p[:, 1]]
-        p = np.where((a > b)[:, None], p, p[:, ::-1])
-        p = p[np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)[1]]
-        names = lambda x, i: pa.array([x[16 * j : 16 * j + 16] for j in i.tolist()], pa.binary())
-        keys, roots = key.tobytes(), root.tobytes()
-        return pa.table({"a": names(keys, p[:, 0]), "b": names(keys, p[:, 1]), "ra": names(roots, p[:, 0]), "rb": names(roots, p[:, 1])})
-
-    spreads = entries.select("root", "key", "low", "t", "fp", "s").mapInArrow(out, "g int, t int, p binary")
-    pairs = spreads.repartition(n, "g", "t").groupBy("g", "t").applyInArrow(back, "a binary, b binary, ra binary, rb binary").distinct()
-    more = verified(pairs, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("key"), F.col("root").alias("least"))
+
+def near_groups(docs: DataFrame, texts: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, least): the groups of near copies among ``texts`` (key, f, and i, h of one document each) of ``docs`` (i, h, t).
+
+    Texts are linked if the Jaccard similarity of their sets of k-word shingles is at least ``similarity``; groups are
+    the components of the links. Candidates come from the ball hashing of TABLES parts of the fingerprint: texts meet
+    if in one of them at most 2 bits differ. First each text is compared with one hub. Then, round by round, in each
+    bucket where several groups meet each text outside the largest one is compared with the nearest of another group,
+    until a round finds no new link. No pair is compared twice, and no bucket has a limit.
+
+    A pair of similarity 0.8 meets with probability 0.91 if one text is the other with a fifth more at its end, and
+    0.99 if single words are changed; of 0.9 with 0.99 and more. Copies of one source meet in groups, where one link of
+    each suffices. Sets are compared whole, as 32-bit hashes: of two texts of n shingles about n * n / 2**32 agree by
+    chance.
+    """
+    far = 1 - similarity + 1e-9
+    texts = texts.select("key", "f", "i", "h")
+    hubs = cut(met(texts, texts.count(), True).groupBy("a").agg(F.max(F.struct("w", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    open_ = cut(hubs.select(F.col("a").alias("key")).union(hubs.select("b")).distinct().join(texts, "key"))
+    sets = cut(sets_of(docs, open_.select("key", "i", "h"), k))
+    tried = cut(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    drop(hubs)
+    links = cut(compared(tried, sets, np.uint32).where(F.col("d") <= far).select("a", "b"))
+    count = open_.count()
+    while True:
+        roots = components(links)
+        named = open_.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "f", F.xxhash64(F.coalesce("root", "key")).alias("group"))
+        pairs = cut(met(named, count, False).distinct().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        more = cut(compared(pairs, sets, np.uint32).where(F.col("d") <= far).select("a", "b"))
+        if more.isEmpty():
+            drop(open_, sets, pairs, more, tried)
+            return roots.select(F.col("node").alias("key"), F.col("root").alias("least"))
+        tried, links = tried.union(pairs), links.union(more)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs``, with its columns, with one document of each group of copies and near copies: the one of least doc_id.
 
     Groups are those of ``near_groups``; copies that differ in case or white space alone are always in one. Null ids
-    come last; whole repeats of a row count as copies, so one row stays. Texts without words are copies of each other.
-    Documents meet only in aggregates summed before their shuffle: the least of each key, then of each group; a row is
-    kept if it is that one, so no row is joined by its group's key.
+    come last; of rows that repeat an id and its text one stays: the one of least hash of all its columns but maps.
+    Texts without words, null ones too, are copies of each other. An empty table gives an empty table.
+
+    Documents meet only in aggregates summed before their shuffle: the least of each key, then of each group. Only
+    documents that go, and repeated rows, are joined with the decision (``sieve``); all others stay where they lie.
     """
     cols = docs.columns
-    docs = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    words = lambda b: [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in b]
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words(b.column(2).to_pylist()), pa.binary())], names=["i", "h", "key"])
-
-    src = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col("__h").alias("h"), F.col(f"`{text}`").alias("t"))
-    schema = src.select("i", "h", F.lit(b"").alias("key")).schema
+    i, h, n, keep = fresh(cols, "i", "h", "n", "keep")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    src = docs.select(F.col(f"`{doc_id}`").alias("i"), F.xxhash64(t).alias("h"), t.alias("t"))
+    seen = cut(marked(src))
     order = F.struct(F.col("i").isNull().alias("z"), "i", "h")
-    first = src.mapInArrow(keyed, schema).groupBy("key").agg(F.min(order).alias("o"))
-    groups = near_groups(docs, doc_id, text, k, similarity)
-    kept = first.join(groups, "key", "left").groupBy(F.coalesce("least", "key").alias("g")).agg(F.min("o").alias("o")).select(F.col("o.i").alias("__i"), F.col("o.h").alias("__k"))
-    out = docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")))
-    # whole repeats of the kept row
-    first_row = F.row_number().over(Window.partitionBy(F.col("__i"), F.col("__k")).orderBy(F.lit(1)))
-    return out.withColumn("__n", first_row).where("__n = 1").select(*[f"`{c}`" for c in cols])
+    texts = cut(seen.groupBy("key").agg(F.min(order).alias("o"), F.first("f").alias("f")).select("key", "o", "f", "o.i", "o.h"))
+    groups = near_groups(src, texts, k, similarity)
+    kept = texts.join(groups, "key", "left").groupBy(F.coalesce("least", "key").alias("g")).agg(F.min("o").alias("o")).select(F.col("o.i").alias("i2"), F.col("o.h").alias("h2"), F.lit(True).alias("keep"))
+    rows = seen.groupBy("i", "h").agg(F.count("*").alias("n"))
+    said = rows.join(kept, F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left").where("keep is null or n > 1")
+    said = cut(said.select(F.col("i").alias("i2"), F.col("h").alias("h2"), F.coalesce("keep", F.lit(False)).alias("keep")))
+    drop(seen, texts, groups)
+    bits = sieve(said, "h2")
+    keyed = docs.withColumns({i: F.col(f"`{doc_id}`"), h: F.xxhash64(t)})
+    maybe = maybe_in(bits, h)
+    said = said.withColumnsRenamed({"i2": n + "i", "h2": n + "h", "keep": keep})
+    asked = keyed.where(maybe).join(said, F.col(i).eqNullSafe(F.col(n + "i")) & (F.col(h) == F.col(n + "h")), "left").where(F.col(keep).isNull() | F.col(keep))
+    stay = [f"`{c}`" for c in cols]
+    other = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    once = asked.where(keep).groupBy(i, h).agg(F.min_by(F.struct(*stay), other).alias(n)).select(f"{n}.*")
+    return keyed.where(~maybe).select(*stay).union(asked.where(F.col(keep).isNull()).select(*stay)).union(once)
