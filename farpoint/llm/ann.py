@@ -118,7 +118,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
 
     base, asked = whole(vectors), whole(queries)
     rows, wide = base.agg(F.count("*"), F.max(F.size("v"))).first()
-    width = max(wide or 0, 0)
+    width = max(wide or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0, 0)
     sample = base.orderBy(F.xxhash64("id"), "id").limit(train).toArrow()
     index = fit(stacked(sample.column("v"), width), rows or 0)
     lists = len(index.centres)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,9 @@ BLOCK = frozenset(
 )
 #: Elements whose content is no markup; it goes whole.
 RAW = frozenset("script style textarea noscript template iframe svg math title canvas object noframes xmp".split())
+CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+#: Elements that end an open one of their kind.
+ENDING = frozenset("p li tr td th dt dd option".split())
 #: Elements that go with all they hold.
 OUT = frozenset("head nav footer aside form button select menu dialog label input fieldset audio video map datalist noscript template iframe svg math".split())
 #: Words of class, id or role that mark what is not the article.
@@ -35,12 +39,20 @@ WHOLE = re.compile(
 #: Class words that only say what a layout has or lacks.
 HAS = re.compile(r"(?:^|(?<=\s))(?:no|non|not|has|have|with|without)[_-]\S*", re.I)
 CAMEL = re.compile(r"([a-z])([A-Z])")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: A tag and its attributes, without ways to go back.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: Characters up to which quotes in a tag are minded; in a longer one the first > ends it.
+LONG = 4096
 NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
-#: Windows of so many lines are summed; a surge is a window above SURGE characters whose next windows hold text too.
+#: Names that mark an <article> itself as a comment, an advert or a teaser, if a word of its class is just that.
+CARDS = frozenset("comment comments reply replies respond ad ads advert advertisement sponsored promo related recommended teaser card".split())
+#: Windows of so many lines are summed; a surge is a window above SURGE characters.
 WINDOW, SURGE = 3, 86
+#: On a page that names its article each line in it counts so many characters more, and a surge has to be above them.
+HINT = 10_000
 
 
 def marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -58,21 +70,57 @@ def marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return soft, False
 
 
+def tokens(page: str) -> Iterator[tuple[str, int, str, str, str]]:
+    """(text before, place, slash, name, attributes) of each tag, then the rest with an empty name; comments and declarations part texts and have no name. Linear in the page's length."""
+    pos = n = 0
+    size, open_raw = len(page), {}
+    while pos < size:
+        at = page.find("<", n)
+        if at < 0:
+            break
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield page[pos:at], at, "", "", ""
+            pos = n = size if end < 0 else end + 3
+            continue
+        m = TAG.match(page, at, at + LONG)
+        if m:
+            end = m.end()
+        elif page.startswith(("<!", "<?"), at) or NAME.match(page, at):
+            end = page.find(">", at) + 1
+            if not end:  # nothing closes any more
+                break
+            m = NAME.match(page, at)
+        else:
+            n = at + 1
+            continue
+        if not m:
+            yield page[pos:at], at, "", "", ""
+            pos = n = end
+            continue
+        slash, name, attributes = m[1], m[2].lower(), page[m.end(2) : end - 1]
+        yield page[pos:at], at, slash, name, attributes
+        pos = n = end
+        if name in RAW and not slash and not attributes.endswith("/") and open_raw.get(name, True):
+            close = CLOSE[name].search(page, pos)
+            open_raw[name] = close is not None
+            if close or name in ("script", "style"):
+                pos = n = close.end() if close else size
+    yield page[pos:], size, "", "", ""
+
+
 def lines(page: str) -> list[tuple[str, bool, int]]:
     """The page's text lines, as ``walk`` has them; elements that words mark as no article stay if they hold an <article> or <main>, or over half of the text, unless WHOLE names them."""
-    spared: set[int] = set()
-    while True:
-        out, held, total = walk(page, spared)
-        more = {at for at, (article, size) in held.items() if article or size * 2 > total} - spared
-        if not more:
-            return out
-        spared |= more
+    out, held, total = walk(page, frozenset())
+    spared = frozenset(at for at, (article, size) in held.items() if article or size * 2 > total)
+    return walk(page, spared)[0] if spared else out
 
 
-def walk(page: str, spared: set[int]) -> tuple[list[tuple[str, bool, int]], dict[int, tuple[bool, int]], int]:
+def walk(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, int]], dict[int, tuple[bool, int]], int]:
     """The lines; for each element that only words strip, by its place, whether it holds an article and its characters; and the characters of the text without the elements that go in any case.
 
-    The page's text lines in order: the text, whether it stands in an <article> or <main>, and the characters of it in links.
+    The page's text lines in order: the text, whether it stands in an <article> or <main>, and the characters of it in
+    links. What is stripped leaves one empty line.
 
     Comments, scripts, styles, forms and what element names or class words mark as no article are stripped with all
     that they hold. Character references are decoded, white space inside a line becomes one space.
@@ -80,15 +128,26 @@ def walk(page: str, spared: set[int]) -> tuple[list[tuple[str, bool, int]], dict
     out: list[tuple[str, bool, int]] = []
     buf: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, strips its content, is the article
-    linked = pos = links = 0
-    gone = inside = 0
+    count: Counter[str] = Counter()
+    linked = links = gone = inside = total = 0
     held: dict[int, tuple[bool, int]] = {}
-    open_: list[tuple[int, int]] = []  # the elements that words strip: depth of the stack and place
-    total = 0
+    open_: list[list] = []  # the elements that words strip: depth of the stack, place, whether with an article, characters
 
-    def shut() -> None:
-        while open_ and open_[-1][0] >= len(stack):
-            open_.pop()
+    def cut_to(at: int) -> None:
+        """Close the stack's elements from ``at`` on."""
+        nonlocal gone, inside, links
+        for x, strips, article in stack[at:]:
+            gone -= strips
+            inside -= article
+            links -= x == "a"
+            count[x] -= 1
+        del stack[at:]
+        while open_ and open_[-1][0] >= at:
+            _, place, article, size = open_.pop()
+            held[place] = article, size
+            if open_:
+                open_[-1][2] |= article
+                open_[-1][3] += size
 
     def end() -> None:
         nonlocal linked
@@ -98,71 +157,53 @@ def walk(page: str, spared: set[int]) -> tuple[list[tuple[str, bool, int]], dict
         buf.clear()
         linked = 0
 
-    n = len(page)
-    while pos < n:
-        m = TOKEN.search(page, pos)
-        piece = page[pos : m.start() if m else n]
+    for piece, place, slash, name, attributes in tokens(page):
         if piece and not gone:
             buf.append(piece)
             linked += len(piece) if links else 0
         if piece and gone == len(open_):  # stripped by words at most
             size = len(piece.strip())
             total += size
-            for _, at in open_:
-                held[at] = held[at][0], held[at][1] + size
-        if not m:
-            break
-        pos = m.end()
-        name = (m[2] or "").lower()
+            if open_:
+                open_[-1][3] += size
         if not name:
             continue
         if name in BLOCK and not gone:
             end()
-        if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                for x, strips, article in stack[at:]:
-                    gone -= strips
-                    inside -= article
-                    links -= x == "a"
-                del stack[at:]
-                shut()
+        if slash:
+            if count[name] > 0:
+                cut_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
-        if name in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
-            if close or name in ("script", "style"):
-                pos = close.end() if close else n
-            continue
-        if name in VOID or m[3].endswith("/"):
+        if name in RAW or name in VOID or attributes.endswith("/"):
             continue
-        hard = name in OUT or (name == "header" and not inside) or bool(m[3] and HIDDEN.search(m[3]))
+        hard = name in OUT or (name == "header" and not inside) or bool(attributes and HIDDEN.search(attributes))
         soft = False
-        if m[3] and not hard and name not in ("html", "body", "article", "main"):
-            soft, hard = marked(name, m[3], inside > 0)
-            soft = soft and not hard and m.start() not in spared
+        if attributes and not hard and name in ("article", "main"):
+            hard = any(not CARDS.isdisjoint(v.lower().split()) for kind, *values in NAMED.findall(attributes) if kind.lower() == "class" for v in values)
+        elif attributes and not hard and name not in ("html", "body"):
+            soft, hard = marked(name, attributes, inside > 0)
+            soft = soft and not hard and place not in spared
         strips = hard or soft
-        article = name in ("article", "main")
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # these end an open one of their kind
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in BLOCK - {name}), None)
+        article = name in ("article", "main") and not hard
+        if name in ENDING:  # these end an open one of their kind
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
             if at is not None and stack[at][0] == name:
-                for x, s, a in stack[at:]:
-                    gone -= s
-                    inside -= a
-                    links -= x == "a"
-                del stack[at:]
-                shut()
-        if article and gone == len(open_):
-            for _, at in open_:
-                held[at] = True, held[at][1]
+                cut_to(at)
+        if article and gone == len(open_) and open_:
+            open_[-1][2] = True
+        if strips and not gone:
+            end()
+            out.append(("", inside > 0, 0))
         if soft:
-            open_.append((len(stack), m.start()))
-            held[m.start()] = False, 0
+            open_.append([len(stack), place, False, 0])
         stack.append((name, strips, article))
+        count[name] += 1
         gone += strips
         inside += article
         links += name == "a"
     if not gone:
         end()
+    cut_to(0)
     return out, held, total
 
 
@@ -177,12 +218,16 @@ def distribution(sizes: list[int], window: int = WINDOW) -> list[int]:
 def between(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
     """Which lines lie between a surge point and the dive point after it.
 
-    A surge: a window sum above ``surge`` on a line with text. The dive: the first line from there whose window sum is
-    0, or the end.
+    A surge: a window sum above ``surge`` on a line with text; what rises to it from the last empty line on belongs to
+    it. The dive: the first line from there whose window sum is 0, or the end.
     """
     sums, keep, i = distribution(sizes, window), [False] * len(sizes), 0
     while i < len(sizes):
         if sums[i] > surge and sizes[i]:
+            k = i - 1
+            while k >= 0 and sizes[k] and not keep[k]:
+                keep[k] = True
+                k -= 1
             while i < len(sizes) and sums[i]:
                 keep[i] = True
                 i += 1
@@ -192,30 +237,38 @@ def between(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article's text; its blocks are joined by one space.
+    """The article's text: the lines between surges and dives of the line blocks' text lengths, joined by one space.
 
-    A page that names its article (<article>, <main>) has it between the element's bounds: there the surge is at the
-    first line and the dive at the last, however short the lines are. Otherwise lines that are mostly links count as
-    empty, and the text between surges and dives is kept; if no window surges, all lines that are not mostly links.
+    Lines that are mostly links count as empty, outside of <article> and <main>. A page that names its article so is
+    parted at its bounds by an empty window, and each line in it counts HINT characters more: short articles surge too,
+    and what stands outside is no surge beside them unless it is longer than HINT. If no window surges, all lines that
+    are not mostly links are the text.
     """
     found = lines(page or "")
-    if any(x[1] for x in found):
-        return " ".join(s for s, inside, _ in found if inside)
-    sizes = [0 if linked * 2 > len(s) else len(s) for s, _, linked in found]
-    keep = between(sizes, window, surge)
+    named = any(inside and s for s, inside, _ in found)
+    sizes, texts, before = [], [], None
+    for s, inside, linked in found:
+        if before is not None and inside != before:
+            sizes += [0] * window
+            texts += [""] * window
+        before = inside
+        sizes.append(len(s) + HINT * bool(s) if inside else 0 if linked * 2 > len(s) else len(s))
+        texts.append(s)
+    keep = between(sizes, window, HINT if named else surge)
     if not any(keep):
         keep = [n > 0 for n in sizes]
-    return " ".join(s for (s, _, _), k, n in zip(found, keep, sizes, strict=True) if k and n)
+    return " ".join(s for s, k, n in zip(texts, keep, sizes, strict=True) if k and n)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns of ``pages`` but the html, with text (the main text, empty if none) and n_chars (its code points).
 
-    Each page is worked on by itself, without a shuffle. Null or empty html gives an empty text. Columns that already
+    Each page is worked on by itself, without a shuffle, in time linear in its length, however broken its markup or long
+    it is. Null or empty html gives an empty text. Columns that already
     are named text or n_chars are replaced; repeated rows stay repeated; an empty table gives an empty table.
     """
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    src = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html).alias("__html"))
+    src = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias("__html"))
     schema = src.select(*[f"`{c}`" for c in keep], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

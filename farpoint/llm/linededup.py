@@ -22,29 +22,30 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     window in a third of all rows costs a row for each task. No row is joined by its hash: the first occurrences go to
     their own document by id, and the windows that a document did not get back are its later ones.
     """
-    lines, n = F.split(F.col("__x"), "\n", -1), F.size("__l")
     keep = [c for c in docs.columns if c != "n_removed"]
-    base = docs.select(*[f"`{c}`" for c in keep]).withColumns({"__x": F.coalesce(F.col(f"`{text}`"), F.lit("")), "__i": F.col(f"`{doc_id}`")}).withColumn("__h", F.xxhash64("__x"))
+    # apart from the columns made here, whatever they are called
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{doc_id}`").alias("i"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"))
+    lines, n = F.split(F.coalesce(F.col("row")[text], F.lit("")), "\n", -1), F.size("l")
 
     at = F.sequence(F.lit(0), n - window)
-    each = lambda p, *more: F.xxhash64(*more, *[F.get("__l", p + k) for k in range(window)])
+    each = lambda p, *more: F.xxhash64(*more, *[F.get("l", p + k) for k in range(window)])
     found = (
-        base.select("__i", "__h", lines.alias("__l"))
+        base.select("i", "h", lines.alias("l"))
         .where(n >= window)
-        .select("__i", "__h", F.explode(F.transform(at, lambda p: F.struct(p.alias("p"), each(p).alias("a"), each(p, F.lit("second")).alias("b")))).alias("w"))
+        .select("i", "h", F.explode(F.transform(at, lambda p: F.struct(p.alias("p"), each(p).alias("a"), each(p, F.lit("second")).alias("b")))).alias("w"))
     )
     # the first occurrence: the least of (null ids last, id, text's hash, line)
-    order = F.struct(F.col("__i").isNull().alias("z"), F.col("__i").alias("i"), F.col("__h").alias("h"), F.col("w.p").alias("p"))
+    order = F.struct(F.col("i").isNull().alias("z"), "i", "h", F.col("w.p").alias("p"))
     first = found.groupBy("w.a", "w.b").agg(F.min(order).alias("f"))
-    own = first.groupBy(F.col("f.i").alias("__i2"), F.col("f.h").alias("__h2")).agg(F.collect_list("f.p").alias("__p"))
+    own = first.groupBy(F.col("f.i").alias("i2"), F.col("f.h").alias("h2")).agg(F.collect_list("f.p").alias("own"))
 
-    joined = base.join(own, F.col("__i").eqNullSafe(F.col("__i2")) & (F.col("__h") == F.col("__h2")), "left").withColumn("__l", lines)
-    later = F.array_except(at, F.coalesce("__p", F.array().cast("array<int>")))
+    joined = base.join(own, F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left").withColumn("l", lines)
+    later = F.array_except(at, F.coalesce("own", F.array().cast("array<int>")))
     gone = F.array_distinct(F.flatten(F.transform(later, lambda p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: p + k))))
-    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__g"))
-    new = F.when(F.size("__g") > 0, F.array_join(F.transform(F.col("__left"), lambda p: F.get("__l", p)), "\n")).otherwise(F.col(f"`{text}`"))
-    out = joined.withColumn("__g", F.when(n >= window, gone).otherwise(F.array().cast("array<int>"))).withColumn("__left", left)
-    return out.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in keep], F.size("__g").cast("long").alias("n_removed"))
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
+    new = F.when(F.size("gone") > 0, F.array_join(F.transform(F.col("left"), lambda p: F.get("l", p)), "\n")).otherwise(F.col("row")[text])
+    out = joined.withColumn("gone", F.when(n >= window, gone).otherwise(F.array().cast("array<int>"))).withColumn("left", left)
+    return out.select(*[new.alias(text) if c == text else F.col("row")[c].alias(c) for c in keep], F.size("gone").cast("long").alias("n_removed"))
 
 
 def dedup_lines_sql(window: int = WINDOW) -> str:

@@ -14,7 +14,9 @@ from farpoint.llm.common import bucket, pieces
 #: Rows of a block, slots of a schedule's period, and rows that are numbered together.
 BLOCK, PERIOD, GROUP = 32, 1_024, 20_000
 #: Sources of one mix; their weights, block counts and schedules pass through the driver.
-SOURCES = 4_096
+SOURCES = 1_024
+#: Groups of a source whose sizes are summed together.
+SET = 4_096
 
 
 def shares(weights: dict, period: int = PERIOD) -> dict:
@@ -109,9 +111,11 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, source
     """
     new = ("mix_block", "mix_phase", "mix_release", "mix_deadline", "mix_slot", "mix_position")
     keep = [c for c in docs.columns if c not in new]
-    src = F.col(f"`{source}`").cast("string")
-    base = docs.select(*[f"`{c}`" for c in keep]).withColumns({"__s": src, "__r": F.xxhash64(F.col(f"`{doc_id}`"), *[F.col(f"`{c}`") for c in keep if not dict(docs.dtypes)[c].startswith("map")])})
-    counts = {r[0]: r[1] for r in base.groupBy("__s").agg(F.count("*")).limit(SOURCES + 1).collect()}
+    kinds = dict(docs.dtypes)
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])  # apart from the columns made here, whatever they are called
+    hashed = F.xxhash64(F.col(f"`{doc_id}`"), *[F.col(f"`{c}`") for c in keep if "map<" not in kinds[c] and kinds[c] != "variant"])
+    base = docs.select(row.alias("row"), F.col(f"`{source}`").cast("string").alias("s"), F.col(f"`{doc_id}`").alias("i"), hashed.alias("r"))
+    counts = {r[0]: r[1] for r in base.groupBy("s").agg(F.count("*")).limit(SOURCES + 1).collect()}
     if len(counts) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     if weights is None:
@@ -120,18 +124,22 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, source
         weights = {s: weights.get(s, min(weights.values(), default=1.0)) for s in counts}
     groups = pieces(sum(counts.values()), GROUP) * 4
 
-    base = base.withColumn("__g", bucket(F.col("__r"), groups, 5))
-    sizes = base.groupBy("__s", "__g").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("__s").alias("s"), F.col("__g").alias("g"), (F.sum("n").over(Window.partitionBy("__s").orderBy("__g")) - F.col("n")).alias("__b"))
-    at = F.row_number().over(Window.partitionBy("__s", "__g").orderBy("__r", F.col(f"`{doc_id}`")))
-    numbered = base.withColumn("__n", at).join(before, F.col("__s").eqNullSafe(F.col("s")) & (F.col("__g") == F.col("g"))).withColumn("__n", F.col("__b") + F.col("__n") - 1).drop("s", "g", "__b", "__g")
-    numbered = numbered.withColumn("mix_block", F.floor(F.col("__n") / block).cast("long"))
+    # rows before each group of a source, by way of sets of SET groups
+    base = base.withColumn("g", bucket(F.col("r"), groups, 5))
+    sizes = base.groupBy("s", "g").agg(F.count("*").alias("n")).withColumn("u", F.floor(F.col("g") / SET))
+    sets = sizes.groupBy("s", "u").agg(F.sum("n").alias("n"))
+    sets = sets.select(F.col("s").alias("s2"), F.col("u").alias("u2"), (F.sum("n").over(Window.partitionBy("s").orderBy("u")) - F.col("n")).alias("b2"))
+    inside = sizes.withColumn("b", F.sum("n").over(Window.partitionBy("s", "u").orderBy("g")) - F.col("n"))
+    before = inside.join(sets, F.col("s").eqNullSafe(F.col("s2")) & (F.col("u") == F.col("u2"))).select(F.col("s").alias("s1"), F.col("g").alias("g1"), (F.col("b") + F.col("b2")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("s", "g").orderBy("r", "i"))
+    numbered = base.withColumn("n", at).join(before, F.col("s").eqNullSafe(F.col("s1")) & (F.col("g") == F.col("g1")))
+    numbered = numbered.select("row", "s", (F.col("before") + F.col("n") - 1).alias("n")).withColumn("mix_block", F.floor(F.col("n") / block).cast("long"))
 
     plan = phases({s: pieces(n, block) for s, n in counts.items()}, weights, period)
     table = [(s, i, p.start, p.period, p.first[s], p.first[s] + p.count[s], p.slots[s]) for i, p in enumerate(plan) for s in p.first]
     spark = docs.sparkSession
-    deal = spark.createDataFrame(table, "s string, mix_phase int, start long, period long, lo long, hi long, slots array<int>")
-    on = F.col("__s").eqNullSafe(F.col("s")) & (F.col("mix_block") >= F.col("lo")) & (F.col("mix_block") < F.col("hi"))
+    deal = spark.createDataFrame(table, "s3 string, mix_phase int, start long, period long, lo long, hi long, slots array<int>")
+    on = F.col("s").eqNullSafe(F.col("s3")) & (F.col("mix_block") >= F.col("lo")) & (F.col("mix_block") < F.col("hi"))
     out = numbered.join(F.broadcast(deal), on)
     k, size, i = F.col("mix_block") - F.col("lo"), F.size("slots"), F.col("period")
     out = out.withColumns(
@@ -145,8 +153,8 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, source
     short = [(slot, block - (counts[s] - (b - 1) * block)) for s, b, slot in last_blocks(counts, plan, block) if counts[s] % block]
     ends = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in short]) if short else None
     lost = F.aggregate(F.filter(ends, lambda x: x["t"] < F.col("mix_slot")), F.lit(0), lambda a, x: a + x["m"]) if short else F.lit(0)
-    out = out.withColumn("mix_position", (F.col("mix_slot") * block - lost + F.col("__n") % block).cast("long"))
-    return out.select(*[f"`{c}`" for c in keep], *new)
+    out = out.withColumn("mix_position", (F.col("mix_slot") * block - lost + F.col("n") % block).cast("long"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], *new)
 
 
 def last_blocks(counts: dict, plan: list[Phase], block: int) -> list[tuple]:

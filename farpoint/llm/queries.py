@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farpoint.llm import ann, html, linededup, mixing, paragraphs, quality, simhash, tokencount, topk, wfst
 
-#: Where the vocabulary files lie on every machine; another folder can be named in FARPOINT_TOKENIZERS.
-TOKENIZERS = os.environ.get("FARPOINT_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     the table.
     """
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     src = src.withColumn("n_bytes", F.octet_length("__text").cast("long"))
     schema = src.select(*[f"`{c}`" for c in keep], "n_bytes", F.lit(0).cast("long").alias("n_tokens")).schema
 

@@ -13,6 +13,8 @@ from farpoint.llm.common import bucket, pieces
 
 #: Candidates of a shard (its lists fit in a task), and queries that a task walks its lists for.
 SHARD, BLOCK = 16_384, 4_096
+#: Queries of a block that are scored in one product.
+CHUNK = 512
 
 
 def usable(vector: Column, zero: bool = True) -> Column:
@@ -22,14 +24,14 @@ def usable(vector: Column, zero: bool = True) -> Column:
     return ok if zero else ok & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def stacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Lists as the rows of a matrix; shorter ones end in zeros."""
+def stacked(column: pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:
+    """Lists as the rows of a matrix of ``width`` columns; shorter ones end in zeros."""
     x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     ends = np.diff(np.asarray(x.offsets))
-    flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(kind)
     if len(ends) and (ends == width).all():
         return flat.reshape(len(ends), width)
-    out = np.zeros((len(ends), width))
+    out = np.zeros((len(ends), width), kind)
     out[np.repeat(np.arange(len(ends)), ends), np.concatenate([np.arange(n) for n in ends]) if len(ends) else []] = flat
     return out
 
@@ -44,46 +46,61 @@ def depths(n: int) -> list[int]:
 
 
 def best(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query's number, id, score) of each query's k best rows of ``x`` other than its own; ties go to smaller ids.
+    """(query's number, id, score) of each query's k best rows of ``x`` (whole numbers) other than its own; ties go to smaller ids.
 
-    Each dimension's list holds the rows by that component; a query reads a list from the end that its own component
-    favours. No row that it has not met down to some depth scores above the sum of the lists' next entries times its
-    components, so it stops when that bound is below its kth score. (At equality it reads on: a tie may have a smaller
-    id.) Scores are whole numbers, exact in doubles below 2**53.
+    Each dimension's list holds the rows by that component, and is read from both ends by all queries together. A query
+    reads it from the end that its own component favours, so no row that it has not met down to some depth scores above
+    the sum of the lists' next entries times its components: it stops when that bound is below its kth score (at
+    equality it reads on, as a tie may have a smaller id), or when all rows are met. Products are doubles where no score
+    can reach 2**53, else Python's whole numbers; both are exact.
     """
     n, d = x.shape
+    top = [abs(int(m)) for a in (x, q) if a.size for m in (a.min(), a.max())]
+    if (max(top, default=0) + 1) ** 2 * max(d, 1) < 1 << 53:
+        x, q = x.astype(np.float64), q.astype(np.float64)
+    else:
+        x, q = x.astype(object), q.astype(object)
     order = np.argsort(x, axis=0, kind="stable")
     lists = np.take_along_axis(x, order, 0)
-    stops = depths(n)
-    inner = np.array(stops[:-1], dtype=int)
-    bound = np.maximum(q, 0) @ lists[n - 1 - inner].T + np.minimum(q, 0) @ lists[inner].T if len(inner) else np.zeros((len(q), 0))
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], (n, d)), 0)
+    met_at = np.minimum(rank, n - 1 - rank).min(1) if d else np.zeros(n, np.int64)
+    by_depth = np.lexsort((ids, met_at))
+    met_at = met_at[by_depth]
+    at_id = np.argsort(ids)
     out = []
-    for i in range(len(q)):
-        up, down = np.flatnonzero(q[i] > 0), np.flatnonzero(q[i] < 0)
-        seen = ids == own[i]
-        top_ids, top = np.zeros(0, ids.dtype), np.zeros(0)
-        start = 0
-        for c, t in enumerate(stops):
-            if t * 2 > n or not len(up) + len(down):  # most rows are met: the rest is read whole
-                new = np.flatnonzero(~seen)
-                t = n
-            else:
-                met = np.zeros(n, bool)
-                met[order[n - t : n - start][:, up].ravel()] = True
-                met[order[start:t][:, down].ravel()] = True
-                new = np.flatnonzero(met & ~seen)
-            seen[new] = True
-            start = t
-            if len(new):
-                top_ids, top = np.concatenate([top_ids, ids[new]]), np.concatenate([top, x[new] @ q[i]])
-                if len(top) > 4 * k:
-                    least = np.partition(top, len(top) - k)[len(top) - k]
-                    top_ids, top = top_ids[top >= least], top[top >= least]
-                at = np.lexsort((top_ids, -top))[:k]
-                top_ids, top = top_ids[at], top[at]
-            if t == n or len(top) == k and top[-1] > bound[i, c]:
+    for first in range(0, len(q), CHUNK):
+        mine, me = q[first : first + CHUNK], own[first : first + CHUNK]
+        place = np.searchsorted(ids[at_id], me)
+        place = np.where((place < n) & (ids[at_id[np.minimum(place, n - 1)]] == me), at_id[np.minimum(place, n - 1)], -1)
+        kept = [(np.zeros(0, x.dtype), np.zeros(0, ids.dtype)) for _ in mine]
+        active, start = np.arange(len(mine)), 0
+        for t in depths(n):
+            stop = int(np.searchsorted(met_at, t))
+            new = by_depth[start:stop]
+            start = stop
+            scores = mine[active].dot(x[new].T)
+            more = t < n and stop < n
+            bound = np.maximum(mine[active], 0).dot(lists[n - 1 - t]) + np.minimum(mine[active], 0).dot(lists[t]) if more else None
+            left = []
+            for r, i in enumerate(active):
+                s = scores[r]
+                ok = new != place[i]
+                high, who = kept[i]
+                if len(high) == k:
+                    ok &= s >= high[-1]
+                elif len(s) > 4 * k and s.dtype != object:
+                    ok &= s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]  # one more than k, for the own row
+                high, who = np.concatenate([high, s[ok]]), np.concatenate([who, ids[new[ok]]])
+                at = np.lexsort((who, -high))[:k]
+                kept[i] = high, who = high[at], who[at]
+                if more and not (len(high) == k and high[-1] > bound[r]):
+                    left.append(i)
+            active = np.array(left, dtype=int)
+            if not len(active):
                 break
-        out += [(i, int(a), int(b)) for a, b in zip(top_ids, top, strict=True)]
+        for i, (high, who) in enumerate(kept):
+            out += [(first + i, int(a), max(-(1 << 63), min((1 << 63) - 1, int(b)))) for a, b in zip(who, high, strict=True)]
     return out
 
 
@@ -93,7 +110,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
     Components become floor(scale * x). Vectors that are null or hold null or non-finite components take no part, nor do
     rows with a null id. Vectors of different lengths are compared as if the shorter ended in zeros. Of rows that repeat
     an id the smallest vector counts, as query and as candidate; a query's own row is the one with its id. Ties go to
-    smaller ids. Empty tables give an empty result; other columns are not read.
+    smaller ids. Components and scores beyond 64 bits become the nearest number of 64 bits. Empty tables give an empty
+    result; other columns are not read.
 
     Candidates are dealt by the hash of their id into shards, queries into blocks, and each pair of shard and block is
     one task, so copies of one vector don't meet. A shard's k best per query are merged by rank. The shuffle moves
@@ -107,8 +125,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
         return part.groupBy("id").agg(F.min("v").alias("v"))
 
     base, asked = whole(vectors), whole(queries)
-    rows, wide = vectors.agg(F.count("*"), F.max(F.size(F.col(f"`{vector}`")))).first()
-    shards, blocks, width = pieces(rows, SHARD), pieces(queries.count(), BLOCK), max(wide or 0, 0)
+    size = F.max(F.size(F.col(f"`{vector}`")))
+    rows, wide = vectors.agg(F.count("*"), size).first()
+    asking, wider = queries.agg(F.count("*"), size).first()
+    shards, blocks, width = pieces(rows, SHARD), pieces(asking, BLOCK), max(wide or 0, wider or 0, 0)
     left = base.withColumns({"s": bucket(F.col("id"), shards), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     right = asked.withColumns({"b": bucket(F.col("id"), blocks, 1), "s": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
 
@@ -116,7 +136,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
         got = []
         own = b.column("id").to_numpy()
         if a.num_rows and b.num_rows:
-            got = best(a.column("id").to_numpy(), stacked(a.column("v"), width), own, stacked(b.column("v"), width), k)
+            got = best(a.column("id").to_numpy(), stacked(a.column("v"), width, np.int64), own, stacked(b.column("v"), width, np.int64), k)
         return pa.table({"query_id": pa.array([int(own[i]) for i, _, _ in got], pa.int64()), "vec_id": pa.array([x for _, x, _ in got], pa.int64()), "score": pa.array([x for _, _, x in got], pa.int64())})
 
     found = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(search, "query_id long, vec_id long, score long")

@@ -47,6 +47,31 @@ def test_topk(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_of_large_and_unlike_vectors(spark):
+    """Components far beyond 2**53, scores beyond 64 bits, and queries longer than every candidate."""
+    rows = [(0, [1e30, 1.0]), (1, [2.0**60, -3.0]), (2, [1.5, 2.5]), (3, [-1e30, 2.0]), (4, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(v, spark.createDataFrame([(2, [1.5, 2.5, 7.0]), (9, [1.0])], "vec_id long, embedding array<double>")).collect()
+    most = (1 << 63) - 1
+    scale = {i: [max(-most - 1, min(most, int(np.floor(64 * x)))) for x in e] for i, e in rows}
+    want = []
+    for q, e in ((2, [96, 160, 448]), (9, [64])):
+        s = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(e, c)))), i) for i, c in scale.items() if i != q)
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_threshold_algorithm_stops():
+    """On a long list with few good rows the bound ends the search; results equal those of all rows."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-9, 10, (4000, 2))
+    x[:30] += rng.integers(200, 300, (30, 2))
+    ids = rng.permutation(9000)[:4000]
+    want = [sorted((-int(a @ q), int(i)) for i, a in zip(ids, x) if i != ids[0])[:5] for q in ([3, 1], [-1, 2])]
+    got = topk.best(ids, x, np.array([ids[0]] * 2), np.array([[3, 1], [-1, 2]]), 5)
+    assert [(-s, i) for _, i, s in got] == [p for w in want for p in w]
+
+
 def test_neighbours(spark):
     v = vectors(spark, 600)
     got = ann.search(v, v.where("vec_id % 50 = 0")).collect()
@@ -81,6 +106,36 @@ def test_mixing(spark):
     assert mixing.mix(awkward(spark).limit(0)).count() == 0
 
 
+def test_mixing_against_a_plain_scheduler(spark):
+    """Slots by looking at all released blocks at each slot, with exact fractions; columns of any name stay."""
+    from fractions import Fraction
+
+    counts, weights, block = {"a": 200, "b": 90, "c": 17}, {"a": 3.0, "b": 2.0, "c": 1.0}, 8
+    names = "s g start period lo hi slots n i r b u row before mix_slot".split()
+    rows = [(k, "t", s, *range(len(names))) for k, s in enumerate(x for x, n in counts.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{x} int" for x in names))
+    got = mixing.mix(df, weights, block=block).collect()
+    assert all(r[x] == k for r in got for k, x in enumerate(names[:-1]))
+
+    left = {s: -(-n // block) for s, n in counts.items()}
+    done, want = dict.fromkeys(left, 0), []
+    while any(left.values()):
+        live = [s for s in left if left[s]]
+        slots = mixing.shares({s: weights[s] for s in live})
+        share, dealt, t = {s: Fraction(slots[s], sum(slots.values())) for s in live}, dict.fromkeys(live, 0), 0
+        while all(left[s] for s in live):
+            due = {s: -((-(dealt[s] + 1) * share[s].denominator) // share[s].numerator) for s in live if dealt[s] / share[s] // 1 <= t}
+            s = min(due, key=lambda x: (due[x], live.index(x)))
+            want.append((s, done[s]))
+            dealt[s] += 1
+            done[s] += 1
+            left[s] -= 1
+            t += 1
+    assert [(r[0], r[1]) for r in sorted({(r["source"], r["mix_block"], r["mix_slot"]) for r in got}, key=lambda r: r[2])] == want
+    order = mixing.in_order(mixing.mix(df, weights, block=block), each=50).select("mix_position").collect()
+    assert [r[0] for r in order] == list(range(307))
+
+
 def test_position_of_pieces(spark):
     """The pipeline's last result tells the mix, also where the mixed rows were more than one part and come in another order."""
     import corpus_pipeline as pipeline
@@ -249,6 +304,52 @@ def test_html(spark):
     assert got[2]["text"] == "" and got[3]["n_chars"] == 0 and html.extract(df).count() == 6
 
 
+def test_html_against_a_plain_reader():
+    """Pages made of known blocks, with and without <article>: the text between surges and dives is the blocks of the story, read by the library's parser."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out = [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.out += [""] * (tag in ("p", "h1", "h2", "li", "blockquote"))
+
+        def handle_endtag(self, tag):
+            self.out += [""] * (tag in ("p", "h1", "h2", "li", "blockquote"))
+
+        def handle_data(self, data):
+            self.out[-1] += data
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        story = f"<h1>{prose(seed, 4)}</h1>" + "".join(f"<{t}>{prose(seed * 50 + i, rng.randrange(30, 60))} &amp; &eacute;&nbsp;<b>x</b></{t}>" + "<div class='ad'>Buy this now, it is cheap and good.</div>" * (i == 2) for i, t in enumerate(rng.choices(["p", "li", "blockquote"], k=5)))
+        plain = Blocks()
+        plain.feed(story.replace("<div class='ad'>Buy this now, it is cheap and good.</div>", ""))
+        want = " ".join(" ".join(b.split()) for b in plain.out if b.split())
+        menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>Item {i}</a>" for i in range(rng.randrange(3, 9))) + "</ul></nav>"
+        after = "<aside>" + prose(seed + 900, 40) + "</aside><div class=comments><article class='comment reply'><p>" + prose(seed + 901, 60) + "</p></article></div><footer>" + prose(seed + 902, 30) + "</footer>"
+        wrap = rng.choice(["<article>{}</article>", "<div class='post'>{}</div>", "<main>{}<article class=comment><p>Not I, said the duck, for I am a comment.</p></article></main>"])
+        page = f"<html><head><style>p{{}}</style><title>T</title></head><body><header>{menu}</header>{wrap.format(story)}{after}</body></html>"
+        assert html.main_text(page) == want, seed
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<div " * 200_000, '<a "' * 200_000, "<svg>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<div class=nav>x" * 20_000, "<a '>" * 100_000, "</script" * 100_000):
+        began = time.time()
+        html.main_text(page)
+        assert time.time() - began < 15
+
+
+def test_html_short_article():
+    assert html.main_text("<body><p>" + "Long text outside. " * 40 + "</p><article><h1>Hi</h1></article></body>") == "Hi"
+    assert html.main_text("<p>just this") == "just this"
+    assert html.main_text('<article><p>Body text.</p><article class="comment"><p>Nice post!</p></article></article>') == "Body text."
+
+
 def test_html_keeps_the_article():
     """Wrappers named by their layout, ids of headings and sections, and captions do not cost text."""
     text, more = "Words of the story go on and on. " * 8, "Its second part goes on as well. " * 8
