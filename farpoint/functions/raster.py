@@ -167,13 +167,15 @@ def contrast_of(image: np.ndarray, x: float, y: float, r: float) -> float:
     return float((rim.mean() - floor.mean()) / ground.std())
 
 
+# Deviation of a blank chip, threshold of noise.
+BLANK, NOISE_FLOOR = 1e-4, 0.01
 COLUMNS = "x double, y double, radius_px double, radius_m double, strength double, depth_proxy double, circularity double, ellipticity double, orientation_deg double, shape_reliable boolean, orientation_unc_deg double, ellipticity_unc double, nls double, rcr double, freshness_index double, threshold double, row_in_chip int"
 
 
-def detect(image: np.ndarray, mpp: float, settings: Settings = DEFAULT) -> list[tuple]:
-    """Rows of COLUMNS for one chip, strongest first; none for a blank chip or one whose threshold is noise."""
-    if image.std() < 1e-4:
-        return []
+def inspect(image: np.ndarray, mpp: float, settings: Settings = DEFAULT) -> tuple[str, float | None, list[tuple]]:
+    """(status, threshold, rows of COLUMNS, strongest first): blank_chip and noise_floor have no rows, others are ok."""
+    if image.std() < BLANK:
+        return "blank_chip", None, []
     lo, hi = np.percentile(image, [1, 99])
     inverted = 1.0 - np.clip((image - lo) / (hi - lo + 1e-6), 0, 1)
     small = max(settings.radius_range_m[0] / mpp, 1.2)
@@ -182,16 +184,16 @@ def detect(image: np.ndarray, mpp: float, settings: Settings = DEFAULT) -> list[
     sigmas = np.geomspace(s0, max(large / math.sqrt(2), 1.01 * s0), settings.n_scales)
     cube = scale_space(inverted, sigmas)
     threshold = float(np.quantile(cube, settings.peak_quantile))
-    if threshold < 0.01:
-        return []
+    if threshold < NOISE_FLOOR:
+        return "noise_floor", threshold, []
     at = peaks(cube, threshold)
     if not len(at):
-        return []
+        return "ok", threshold, []
     r, strength = math.sqrt(2) * sigmas[at[:, 2]], cube[tuple(at.T)]
     keep = suppressed(at[:, 1::-1].astype(float), r, strength)
     keep = keep[r[keep] >= settings.min_radius_px]
     if not len(keep):
-        return []
+        return "ok", threshold, []
     s = strength[keep]
     depth = (s - s.min()) / (s.max() - s.min() + 1e-12)
     out = []
@@ -203,7 +205,49 @@ def detect(image: np.ndarray, mpp: float, settings: Settings = DEFAULT) -> list[
         nls, rcr = float(strength[i]) / max(threshold, 1e-30), contrast_of(image, x, y, rad)
         fresh = settings.weight_strength * min(max((nls - 1.0) / (settings.nls_scale - 1.0), 0.0), 1.0) + settings.weight_contrast * min(max(rcr / settings.rcr_scale, 0.0), 1.0)
         out.append((x, y, rad, rad * mpp, float(strength[i]), float(d), *shape, nls, rcr, fresh, threshold, len(out)))
-    return out
+    return "ok", threshold, out
+
+
+def detect(image: np.ndarray, mpp: float, settings: Settings = DEFAULT) -> list[tuple]:
+    """Rows of COLUMNS for one chip, strongest first; none for a blank chip or one whose threshold is noise."""
+    return inspect(image, mpp, settings)[2]
+
+
+def inspected(chips: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``chips`` (chip_id, h, w, pixels, mpp and others) with found: status, threshold and rows of COLUMNS; null without pixels."""
+    kind = "struct<status:string,threshold:double,rows:array<struct<" + ",".join(":".join(c.split()) for c in COLUMNS.split(", ")) + ">>>"
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    cols = ("h", "w", "pixels", "mpp")
+
+    def run(h: pd.Series, w: pd.Series, pixels: pd.Series, mpp: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, p, m in zip(h, w, pixels, mpp, strict=True):
+            if p is None:
+                out.append((None, None, None))
+                continue
+            status, threshold, rows = inspect(np.asarray(p, float).reshape(int(a), int(b)), m, settings)
+            out.append((status, threshold, [dict(zip(names, r, strict=True)) for r in rows]))
+        return pd.DataFrame(out, columns=["status", "threshold", "rows"])
+
+    return chips.withColumn("found", F.pandas_udf(run, kind)(*cols))
+
+
+def terrain(chips: DataFrame, key: str, pixels: str = "pixels") -> DataFrame:
+    """(key, terrain_mean_m, terrain_std_m, terrain_slope_proxy) of heights in row order; null where none is finite."""
+
+    def run(h: pd.Series, w: pd.Series, values: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, p in zip(h, w, values, strict=True):
+            z = np.asarray(p, float).reshape(int(a), int(b)) if p is not None else np.zeros((0, 0))
+            if not np.isfinite(z).any():
+                out.append((None, None, None))
+                continue
+            steps = [np.gradient(z, axis=k) if z.shape[k] > 1 else np.zeros_like(z) for k in (0, 1)]
+            out.append((np.nanmean(z), np.nanstd(z), np.nanmedian(np.hypot(*steps))))
+        return pd.DataFrame(out, columns=["mean", "std", "slope"])
+
+    g = chips.select(key, F.pandas_udf(run, "struct<mean:double,std:double,slope:double>")("h", "w", pixels).alias("g"))
+    return g.select(key, F.col("g.mean").alias("terrain_mean_m"), F.col("g.std").alias("terrain_std_m"), F.col("g.slope").alias("terrain_slope_proxy"))
 
 
 def detections(chips: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

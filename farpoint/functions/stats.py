@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from farpoint.config import AREA_KM2, FLUX_G_S, KAPPA
+from farpoint.config import ANOMALOUS, AREA_KM2, FLUX_G_S, KAPPA, SECONDS_PER_MYR
+from farpoint.operators.ranks import running
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -37,10 +38,9 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def mean_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    """With each value's rank, ties at their mean rank. Ranks come from counts of the distinct values, not of the rows."""
+    """With each value's rank, ties at their mean rank. Ranks come from running counts of the distinct values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select(column, (F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).alias(out))
+    ranks = running(counts, column, "__n").select(column, (F.col("up_to") - (F.col("__n") - 1) / 2.0).alias(out))
     return df.join(ranks, column)
 
 
@@ -56,6 +56,11 @@ def survival_myr(radius_m: Column, kappa: float = KAPPA) -> Column:
     return radius_m * radius_m / (4.0 * kappa)
 
 
+def survival_s(radius_m: Column, kappa: float = KAPPA, anomalous: bool = False) -> Column:
+    """The same in seconds; ``anomalous``: at the diffusivity's anomalous multiple."""
+    return survival_myr(radius_m, kappa * (ANOMALOUS if anomalous else 1.0)) * SECONDS_PER_MYR
+
+
 def effective_radius(radius: Column) -> Column:
     """Aggregate: the root of the mean square."""
     return F.sqrt(F.avg(radius * radius))

@@ -86,11 +86,11 @@ def clean_products(raw: DataFrame, max_resolution: float = DEFAULT.max_resolutio
     return out.where((F.col("product_id") != "") & finite & (F.col("resolution_mpp") <= max_resolution) & (F.abs("center_lat") < float("inf")))
 
 
-def grid(spark: SparkSession, step: float = DEFAULT.grid_step_deg, lat_min: float = -85.0, lat_max: float = 85.0) -> DataFrame:
-    """(lon, lat): latitudes up to and with the last, longitudes from -180 to below 180."""
+def grid(spark: SparkSession, step: float = DEFAULT.grid_step_deg, lat_min: float = -85.0, lat_max: float = 85.0, most: int = DEFAULT.max_grid_points) -> DataFrame:
+    """(lon, lat): latitudes up to and with the last, longitudes from -180 to below 180; the first ``most``, row by row, or all if 0."""
     n_lat, n_lon = int((lat_max - lat_min + 1e-9) // step) + 1, -int(-360.0 // step)
     k = F.col("id")
-    return spark.range(n_lat * n_lon).select((-180.0 + (k % n_lon) * step).alias("lon"), (lat_min + F.floor(k / n_lon) * step).alias("lat"))
+    return spark.range(min(most, n_lat * n_lon) if most > 0 else n_lat * n_lon).select((-180.0 + (k % n_lon) * step).alias("lon"), (lat_min + F.floor(k / n_lon) * step).alias("lat"))
 
 
 def coverage_km2(chips: DataFrame, span: float = DEFAULT.chip_span_m) -> DataFrame:
@@ -99,6 +99,11 @@ def coverage_km2(chips: DataFrame, span: float = DEFAULT.chip_span_m) -> DataFra
     return chips.agg((F.sum(s * s) / 1e6).alias("coverage_km2"), F.count("*").alias("n_chips"))
 
 
+def chips_with_craters(craters: DataFrame) -> DataFrame:
+    """One row: craters and the chips that they come from."""
+    return craters.agg(F.count("*").alias("n_craters"), F.count_distinct("chip_index").alias("n_chips"))
+
+
 def status_counts(chips: DataFrame) -> DataFrame:
     """Per status: chips, those with craters, and their craters."""
     return chips.groupBy(F.coalesce("status", F.lit("missing_metadata")).alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("n_craters") > 0).alias("n_with_craters"), F.coalesce(F.sum("n_craters"), F.lit(0)).cast("long").alias("n_craters"))

@@ -19,11 +19,16 @@ def non_overlapping(pairs: DataFrame, k: int | None = None, score: str = "score"
     Each round takes every pair that is the best one left at both of its ends: no better pair can block it, so these
     are exactly the pairs that the walk takes. The best of an end is an aggregate that is summed before its shuffle.
     Rounds go on until no pair is left, or ``k`` pairs are taken that are better than all that are left. Taken rounds
-    are checkpointed. Null ends and loops take no part; an empty table gives an empty one.
+    are checkpointed. Null ends and loops take no part; of rows that repeat a pair at most one is taken; an empty table
+    gives an empty one.
     """
     cols = pairs.columns
     o = order(score, a, b)
-    live = saved(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).withColumn("__o", o))
+    some = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    plain = [F.col(f"`{c}`") for c, kind in pairs.dtypes if "map<" not in kind and kind != "variant"]
+    # of rows of one pair the walk takes the best, of equal ones one: chosen by a hash of all columns
+    one = some.groupBy(F.least(a, b).alias("__lo"), F.greatest(a, b).alias("__hi")).agg(F.max_by(F.struct(*[f"`{c}`" for c in cols]), F.struct(o.alias("o"), F.xxhash64(*plain).alias("h"))).alias("__r"))
+    live = saved(one.select("__r.*").withColumn("__o", o))
     taken = None
     while True:
         best = live.select(F.explode(F.array(a, b)).alias("__v"), "__o").groupBy("__v").agg(F.max("__o").alias("__m"))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from farpoint.config import DEFAULT, Settings
 from farpoint.functions import geo, score
 from farpoint.operators.conejoin import max_pair
+from farpoint.operators.significance import assess
+from farpoint.operators.tables import saved
 
+#: Rows of a report whose rows are compared with each other.
+LONGEST = 1_000
 #: A pair table's column of each end's value.
 NAMES = {"lon_deg": "lon_{}", "lat_deg": "lat_{}", "radius_m": "radius_{}_m", "orientation_deg": "orientation_{}_deg", "orientation_unc_deg": "orientation_unc_{}_deg"}
 DEFAULTS = {"orientation_deg": 0.0, "shape_reliable": False}
@@ -42,16 +47,18 @@ def rescored(pairs: DataFrame, settings: Settings | None = None, base: Settings
     return df.select(*[c for c in pairs.columns if c not in new], *new)
 
 
+# A tolerance that lets everything pass, the tight tolerances, and the swept ones with their range of scales.
+OPEN = 1e6
+TIGHT = {"sigma_ellipticity": 0.02, "sigma_orientation_deg": 1.5, "sigma_position_deg": 0.25}
+SWEPT = ("sigma_freshness", "sigma_radius", "sigma_ellipticity", "sigma_orientation_deg", "sigma_position_deg")
+SCALES, SCALE_LOW, SCALE_HIGH, SWEEP_TOP = 60, 0.3, 3.0, 10
+
+
 def hypotheses(base: Settings = DEFAULT) -> dict[str, Settings]:
-    """The baseline, and one or all tolerances tightened or relaxed."""
-    return {
-        "H0": base,
-        "H1": replace(base, sigma_radius=base.sigma_radius / 2),
-        "H2": replace(base, sigma_ellipticity=base.sigma_ellipticity * 2),
-        "H3": replace(base, sigma_position_deg=base.sigma_position_deg * 2),
-        "H4": replace(base, sigma_nls=base.sigma_nls / 2, sigma_rcr=base.sigma_rcr / 2),
-        "H5": replace(base, sigma_orientation_deg=base.sigma_orientation_deg * 2),
-    }
+    """All terms (H0); without radius (H1), shape (H2), position (H3), all three (H4); tight tolerances (H5)."""
+    radius, shape, position = {"sigma_radius": OPEN}, {"sigma_ellipticity": OPEN, "sigma_orientation_deg": OPEN}, {"sigma_position_deg": OPEN}
+    changes = {"H0": {}, "H1": radius, "H2": shape, "H3": position, "H4": radius | shape | position, "H5": TIGHT}
+    return {name: replace(base, **change) for name, change in changes.items()}
 
 
 def grid_of(spark: SparkSession, many: dict[str, Settings]) -> DataFrame:
@@ -73,19 +80,80 @@ def hypothesis_summary(pairs: DataFrame, grid: DataFrame, threshold: float) -> D
     return per.join(best, "hypothesis", "left").withColumn("best_score", F.coalesce("best_score", F.lit(0.0)))
 
 
-def sweep(spark: SparkSession, parameters: tuple[str, ...], scales: list[float], base: Settings = DEFAULT) -> DataFrame:
-    """(parameter, scale, sigma_*): each parameter by itself times each scale."""
-    rows = [(p, float(x), *[float(getattr(base, c)) * (x if c == p else 1.0) for c in score.SIGMAS]) for p in parameters for x in scales]
+def scales(n: int = SCALES, lo: float = SCALE_LOW, hi: float = SCALE_HIGH) -> list[float]:
+    return [lo + k * (hi - lo) / (n - 1) for k in range(n)]
+
+
+def sweep(spark: SparkSession, parameters: tuple[str, ...] = SWEPT, factors: list[float] | None = None, base: Settings = DEFAULT) -> DataFrame:
+    """(parameter, scale, sigma_*): each parameter by itself times each scale. A parameter that no term reads changes nothing."""
+    rows = [(p, float(x), *[float(getattr(base, c)) * (x if c == p else 1.0) for c in score.SIGMAS]) for p in parameters for x in factors or scales()]
     return spark.createDataFrame(rows, "parameter string, scale double, " + ", ".join(f"{c} double" for c in score.SIGMAS))
 
 
-def sensitivity(pairs: DataFrame, grid: DataFrame, threshold: float) -> DataFrame:
-    """Per parameter and scale: the best score and the pairs at or above ``threshold``."""
-    return under(pairs, grid).groupBy("parameter", "scale").agg(F.max("score").alias("best_score"), F.count_if(F.col("score") >= threshold).alias("n_above"))
+def sensitivity(pairs: DataFrame, grid: DataFrame, threshold: Column | float, top: int = SWEEP_TOP, places: int = 9) -> DataFrame:
+    """Per parameter and scale: the best score, the pairs at or above ``threshold``, and Kendall's tau of the ``top`` best scores with those of ``pairs``, place by place."""
+    s = under(pairs, grid).withColumn("score", F.round("score", places))
+    per = s.groupBy("parameter", "scale").agg(F.max("score").alias("best_score"), F.count_if(F.col("score") >= threshold).alias("n_above"))
+    best = in_places(s, ("parameter", "scale"), top)
+    base = in_places(pairs.withColumn("score", F.round("score", places)), (), top).select("place", F.col("score").alias("before"))
+    tau = tau_b(best.join(F.broadcast(base), "place"), ("parameter", "scale"), "before", "score")
+    return per.join(tau, ["parameter", "scale"], "left")
+
+
+def in_places(df: DataFrame, by: tuple[str, ...], top: int) -> DataFrame:
+    """(by, place from 1, score): the ``top`` best scores of each group."""
+    w = Window.partitionBy(*by or [F.lit(0)]).orderBy(F.desc_nulls_last("score"))
+    few = df if by else df.select("score").orderBy(F.desc_nulls_last("score")).limit(top)
+    return few.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select(*by, "place", "score")
+
+
+def tau_b(df: DataFrame, by: tuple[str, ...], x: str, y: str) -> DataFrame:
+    """(by, tau): Kendall's tau-b of two columns over the places of each group; null if either is constant. Groups are reports of at most LONGEST places."""
+    a = df.select(*by, F.col("place").alias("p"), F.col(x).alias("x"), F.col(y).alias("y"))
+    b = df.select(*[F.col(c).alias(f"{c}__b") for c in by], F.col("place").alias("q"), F.col(x).alias("u"), F.col(y).alias("v"))
+    on = F.col("p") < F.col("q")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}__b"))
+    dx, dy = F.signum(F.col("x") - F.col("u")), F.signum(F.col("y") - F.col("v"))
+    got = a.join(b, on).groupBy(*by).agg(F.sum(dx * dy).alias("t"), F.count_if(dx != 0).alias("nx"), F.count_if(dy != 0).alias("ny"))
+    return got.select(*by, F.try_divide("t", F.sqrt(F.col("nx").cast("double") * F.col("ny"))).alias("tau"))
+
+
+def rounds(pairs: DataFrame, grid: DataFrame, null: DataFrame, null_pairs: DataFrame | None = None, alpha: float = DEFAULT.alpha, top: int = 200, places: int = 9) -> DataFrame:
+    """Per hypothesis: the best score of the ``top`` best pairs of ``pairs``, its p and percentile, discoveries, and Kendall's tau with H0, place by place.
+
+    ``null_pairs`` (trial and a pair's columns): the null model's best pairs, scored anew under each hypothesis; without
+    them the scores of ``null`` serve for all.
+    """
+    best = pairs.withColumn("score", F.round("score", places)).orderBy(F.desc_nulls_last("score"), "idx_a", "idx_b").limit(top)
+    s = saved(under(best, grid).withColumn("score", F.round("score", places)).select("hypothesis", "idx_a", "idx_b", "score"))
+    names = [r[0] for r in grid.select("hypothesis").collect()]
+    if null_pairs is not None:
+        null = saved(under(null_pairs, grid).groupBy("hypothesis", "trial").agg(F.max("score").alias("score")))
+    parts = []
+    for h in names:
+        own = null.where(F.col("hypothesis") == h) if null_pairs is not None else null
+        one = assess(s.where(F.col("hypothesis") == h), own, alpha)
+        parts.append(one.agg(F.max("score").alias("best_score"), F.min("p_value").alias("best_p"), F.max("percentile_score").alias("best_percentile"), F.count_if("bh_significant").alias("n_significant")).withColumn("hypothesis", F.lit(h)))
+    per = parts[0]
+    for p in parts[1:]:
+        per = per.union(p)
+    tau = tau_matrix(s).where(F.col("one") == "H0").select(F.col("other").alias("hypothesis"), "tau")
+    return per.join(tau, "hypothesis", "left").select("hypothesis", "best_score", "best_p", "best_percentile", "n_significant", "tau")
+
+
+def tau_matrix(scores: DataFrame, top: int = 200) -> DataFrame:
+    """(one, other, tau) of every two hypotheses of ``scores`` (hypothesis, score): Kendall's tau-b of their ``top`` best scores, place by place."""
+    p = in_places(scores, ("hypothesis",), top)
+    x = p.select(F.col("hypothesis").alias("one"), "place", F.col("score").alias("x"))
+    y = p.select(F.col("hypothesis").alias("other"), "place", F.col("score").alias("y"))
+    return tau_b(x.join(y, "place"), ("one", "other"), "x", "y")
 
 
 def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """One row: Kendall's tau-b, pairs, concordant and discordant ones. For reports of bounded length (a top-k): it compares rows with each other."""
+    if df.limit(LONGEST + 1).count() > LONGEST:
+        raise ValueError(f"more than {LONGEST} rows")
     a, b = df.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")), df.select(F.col(key).alias("l"), F.col(x).alias("u"), F.col(y).alias("v"))
     dx, dy = F.signum(F.col("x") - F.col("u")), F.signum(F.col("y") - F.col("v"))
     s = a.join(F.broadcast(b), F.col("k") < F.col("l")).select((dx * dy).alias("s"), dx.alias("dx"), dy.alias("dy"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from farpoint.config import AREA_KM2, DEFAULT, FLUX_G_S, KAPPA, OMEGA, RADIUS_M, V_CIRCULAR, V_ESCAPE
 from farpoint.functions import geo, raster, score, stats, velocity
 from farpoint.operators import catalog, conejoin, matching, nullmodel, rescore, significance
-from farpoint.plans import report
+from farpoint.plans import chips as chips_plan
+from farpoint.plans import pipeline, report
 from farpoint.streaming import monitor
 
 # Views: name to (table, its columns as SQL that both engines read).
@@ -137,7 +138,12 @@ def speed_distribution(spark, sf):
     return d.select("i", F.round("v", 6).alias("v"), F.round("pdf", 9).alias("pdf"), F.round("cdf", 6).alias("cdf"))
 
 
-@query()
+STEP = (V_ESCAPE - velocity.GRID_FROM) / (velocity.GRID - 1)
+GRID_CDF = f"g AS (SELECT range AS i, {velocity.GRID_FROM} + range * {STEP!r} AS v FROM range({velocity.GRID})), p AS (SELECT *, v * v * exp(-(v * v) / {V_CIRCULAR**2!r}) AS r FROM g), q AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv, lag(r) OVER w AS pr FROM p WINDOW w AS (ORDER BY i)), a AS (SELECT sum((r + pr) / 2 * (v - pv)) AS area FROM q), d AS (SELECT i, v, r / area AS pdf, CASE WHEN pv IS NULL THEN nv - v WHEN nv IS NULL THEN v - pv ELSE (nv - pv) / 2 END AS step FROM q, a), c AS (SELECT i, v, pdf, sum(pdf) OVER (ORDER BY i) * step AS c FROM d), f AS (SELECT i, c / (SELECT max_by(c, i) FROM c) AS cdf FROM c)"
+
+
+@query(f"""+ {GRID_CDF}, o AS (SELECT idx, {OMEGA!r} * 3e6 / radians(radius_m / 1e3) / 1e3 AS v FROM craters), l AS (SELECT idx, v, CAST(least(greatest(floor((v - {velocity.GRID_FROM}) / {STEP!r}), 0), {velocity.GRID - 2}) AS BIGINT) AS place FROM o)
+    SELECT idx, round(CASE WHEN v > {V_ESCAPE} THEN 0 ELSE x.cdf + (y.cdf - x.cdf) * greatest((v - ({velocity.GRID_FROM} + place * {STEP!r})) / {STEP!r}, 0) END, 6) + 0 AS probability FROM l JOIN f x ON x.i = place JOIN f y ON y.i = place + 1""", "craters")
 def offset_probability(spark, sf):
     return rounded(velocity.offset_probability(view(spark, sf, "craters").select("idx", (F.col("radius_m") / 1e3).alias("o"), F.lit(3.0e6).alias("l")), "o", "l").select("idx", "probability"))
 
@@ -275,9 +281,13 @@ def pair_max(spark, sf):
     return rounded(conejoin.max_pair(scored(spark, sf)).select("score", "pair.idx_a", "pair.idx_b"))
 
 
-@query()
+@query("""WITH RECURSIVE graph AS (SELECT {G} FROM orders), live AS (SELECT * FROM graph WHERE idx_a <> idx_b),
+    w AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pair_id, CAST(NULL AS BIGINT) AS idx_a, CAST(NULL AS BIGINT) AS idx_b, CAST(NULL AS DOUBLE) AS score
+      UNION ALL SELECT n + 1, list_concat(used, [r.idx_a, r.idx_b]), r.pair_id, r.idx_a, r.idx_b, r.score
+      FROM (SELECT w.n, w.used, first(l ORDER BY l.score DESC, l.idx_a, l.idx_b) AS r FROM w, live l WHERE w.n < 200 AND NOT list_contains(w.used, l.idx_a) AND NOT list_contains(w.used, l.idx_b) GROUP BY ALL))
+    SELECT pair_id, idx_a, idx_b, score FROM w WHERE n > 0""".replace("{G}", VIEWS["graph"][1]))
 def nonoverlap_topk(spark, sf):
-    """Tested against the sequential walk."""
+    """Its SQL is the sequential walk."""
     return matching.non_overlapping(view(spark, sf, "graph"), 200)
 
 
@@ -300,20 +310,23 @@ def null_chunk_bounds(spark, sf):
     return nullmodel.chunk_bounds(spark, 1000, 7)
 
 
-@query("SELECT range AS trial FROM range(16000) WHERE range NOT IN (SELECT trial FROM null_scores)", "null_scores")
-def null_remaining(spark, sf):
-    return nullmodel.remaining(spark.range(16000).withColumnRenamed("id", "trial"), view(spark, sf, "null_scores"))
+def up_to(df: DataFrame, column: str, more: int, name: str) -> DataFrame:
+    """Whole numbers from 0 to ``more`` beyond the largest of a column."""
+    return df.agg(F.max(column).cast("long").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + more)).alias(name))
 
 
-NULL2000 = "n AS (SELECT score FROM null_scores WHERE trial <= 2000)"
+@query("SELECT trial FROM (SELECT unnest(range((SELECT max(trial) + 1001 FROM null_scores))) AS trial) WHERE trial NOT IN (SELECT trial FROM null_scores)", "null_scores")
+def null_remaining(spark, sf):
+    """All trials up to 1000 beyond the last one done."""
+    null = view(spark, sf, "null_scores")
+    return nullmodel.remaining(up_to(null, "trial", 1000, "trial"), null)
 
 
 def assessed(spark, sf):
-    null = view(spark, sf, "null_scores").where("trial <= 2000")
-    return significance.p_values(view(spark, sf, "graph").withColumn("score", F.col("score") * 1.001), null)
+    return significance.p_values(view(spark, sf, "graph").withColumn("score", F.col("score") * 1.001), view(spark, sf, "null_scores"))
 
 
-PV = f"{NULL2000}, g AS (SELECT * REPLACE (score * 1.001e0 AS score) FROM graph), pv AS (SELECT pair_id, idx_a, idx_b, score, ((SELECT count(*) FROM n WHERE n.score >= g.score) + 1) / ((SELECT count(*) FROM n) + 1e0) AS p_value FROM g)"
+PV = "g AS (SELECT * REPLACE (score * 1.001e0 AS score) FROM graph), u AS (SELECT score, 0 AS n FROM g UNION ALL SELECT score, 1 FROM null_scores), c AS (SELECT DISTINCT score, sum(n) OVER (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above FROM u), pv AS (SELECT pair_id, idx_a, idx_b, g.score, (above + 1) / ((SELECT count(*) FROM null_scores) + 1e0) AS p_value FROM g JOIN c ON c.score = g.score)"
 
 
 @query(f"+ {PV} SELECT pair_id, round(p_value, 9) AS p_value, round(1 - p_value, 9) AS percentile_score FROM pv", "null_scores", "graph")
@@ -353,14 +366,34 @@ def rescore_hypotheses(spark, sf):
     return rounded(rescore.hypothesis_summary(pairs, rescore.grid_of(spark, HYPO), 0.05).select("hypothesis", "best_score", "mean_score", "n_above", "n_pairs"))
 
 
-SWEPT, SCALES = ("sigma_radius", "sigma_nls"), [0.5, 1.0, 2.0]
-SWEEP_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {x!r}::DOUBLE, " + ", ".join(f"{float(getattr(DEFAULT, c)) * (x if c == p else 1.0)!r}::DOUBLE" for c in score.SIGMAS) + ")" for p in SWEPT for x in SCALES) + f") AS g(parameter, scale, {BASE_SIGMAS})), under AS (SELECT * FROM pairs, grid)"
+SWEEP_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {x!r}::DOUBLE, " + ", ".join(f"{float(getattr(DEFAULT, c)) * (x if c == p else 1.0)!r}::DOUBLE" for c in score.SIGMAS) + ")" for p in rescore.SWEPT for x in rescore.scales()) + f") AS g(parameter, scale, {BASE_SIGMAS})), under AS (SELECT * FROM pairs, grid)"
 
 
-@query(f"+ {PAIRS}, {SWEEP_SQL}, {scored_sql('under', {c: c for c in score.SIGMAS}, 'parameter, scale,')} SELECT parameter, scale, round(max(score), 6) AS best_score, count(*) FILTER (score >= 0.05) AS n_above FROM ranked GROUP BY parameter, scale", "craters")
+@query(f"""+ {PAIRS}, {SWEEP_SQL}, {scored_sql('under', {c: c for c in score.SIGMAS}, 'parameter, scale,')}, base AS (SELECT round(score, 9) AS s0 FROM ({{BASE}})),
+    t AS (SELECT parameter, scale, round(score, 9) AS s FROM ranked), lim AS (SELECT quantile_cont(score, 0.95) AS p95 FROM null_scores),
+    top AS (SELECT parameter, scale, s, row_number() OVER (PARTITION BY parameter, scale ORDER BY s DESC) AS k FROM t QUALIFY k <= 10), b10 AS (SELECT s0, row_number() OVER (ORDER BY s0 DESC) AS k FROM base QUALIFY k <= 10),
+    z AS (SELECT parameter, scale, k, s0, s FROM top JOIN b10 USING (k)),
+    tau AS (SELECT x.parameter, x.scale, sum(sign(x.s0 - y.s0) * sign(x.s - y.s)) / nullif(sqrt(CAST(count(*) FILTER (x.s0 <> y.s0) AS DOUBLE) * count(*) FILTER (x.s <> y.s)), 0) AS tau FROM z x JOIN z y ON x.parameter = y.parameter AND x.scale = y.scale AND x.k < y.k GROUP BY 1, 2),
+    per AS (SELECT parameter, scale, max(s) AS best_score, count(*) FILTER (s >= p95) AS n_above FROM t, lim GROUP BY 1, 2)
+    SELECT per.parameter, round(per.scale, 6) AS scale, round(best_score, 6) AS best_score, n_above, round(tau, 6) AS tau FROM per LEFT JOIN tau ON tau.parameter = per.parameter AND tau.scale = per.scale""".replace("{BASE}", f"SELECT score FROM (WITH {scored_sql()} SELECT score FROM ranked)"), "craters", "null_scores")
 def sigma_sweep(spark, sf):
+    """Five parameters times sixty scales, against the null model's 95th percentile."""
     pairs = conejoin.build_pairs(view(spark, sf, "craters"))
-    return rounded(rescore.sensitivity(pairs, rescore.sweep(spark, SWEPT, SCALES), 0.05))
+    limit = significance.percentiles(view(spark, sf, "null_scores")).first()["p95"]
+    return rounded(rescore.sensitivity(pairs, rescore.sweep(spark), limit))
+
+
+@query(f"""+ {PAIRS}, {scored_sql()}, best AS (SELECT idx_a, idx_b FROM ranked ORDER BY round(ranked.score, 9) DESC, idx_a, idx_b LIMIT 200), {GRID_SQL.replace('FROM pairs, grid', 'FROM pairs JOIN best USING (idx_a, idx_b), grid')},
+    h AS (SELECT hypothesis, round(score, 9) AS s FROM (WITH {scored_sql('under', {c: c for c in score.SIGMAS}, 'hypothesis,')} SELECT hypothesis, score FROM ranked)),
+    pv AS (SELECT hypothesis, s, ((SELECT count(*) FROM null_scores n WHERE n.score >= h.s) + 1) / ((SELECT count(*) FROM null_scores) + 1e0) AS p FROM h),
+    r AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY p) AS k, row_number() OVER (PARTITION BY hypothesis ORDER BY s DESC) AS place, count(*) OVER (PARTITION BY hypothesis) AS m FROM pv),
+    e AS (SELECT hypothesis, max(p) FILTER (p <= 0.05e0 * k / m) AS edge FROM r GROUP BY 1),
+    tau AS (SELECT x.hypothesis, sum(sign(x0.s - y0.s) * sign(x.s - y.s)) / nullif(sqrt(CAST(count(*) FILTER (x0.s <> y0.s) AS DOUBLE) * count(*) FILTER (x.s <> y.s)), 0) AS tau FROM r x JOIN r y ON x.hypothesis = y.hypothesis AND x.place < y.place JOIN r x0 ON x0.hypothesis = 'H0' AND x0.place = x.place JOIN r y0 ON y0.hypothesis = 'H0' AND y0.place = y.place GROUP BY 1)
+    SELECT r.hypothesis, round(max(s), 6) AS best_score, round(min(p), 9) AS best_p, round(1 - min(p), 9) AS best_percentile, count(*) FILTER (coalesce(p <= edge, false)) AS n_significant, round(max(tau), 6) AS tau FROM r JOIN e USING (hypothesis) LEFT JOIN tau USING (hypothesis) GROUP BY 1""", "craters", "null_scores")
+def hypothesis_rounds(spark, sf):
+    """The 200 best pairs under each hypothesis against the null scores."""
+    r = rescore.rounds(conejoin.build_pairs(view(spark, sf, "craters")), rescore.grid_of(spark, HYPO), view(spark, sf, "null_scores"))
+    return r.select("hypothesis", F.round("best_score", 6).alias("best_score"), F.round("best_p", 9).alias("best_p"), F.round("best_percentile", 9).alias("best_percentile"), "n_significant", F.round("tau", 6).alias("tau"))
 
 
 @query("+ t AS (SELECT * FROM graph ORDER BY score DESC, pair_id LIMIT 100), s AS (SELECT sign(a.idx_a - b.idx_a) * sign(a.idx_b - b.idx_b) AS s, a.idx_a = b.idx_a AS tx, a.idx_b = b.idx_b AS ty FROM t a JOIN t b ON a.pair_id < b.pair_id) SELECT round(sum(s) / sqrt(CAST(count(*) FILTER (NOT tx) AS DOUBLE) * count(*) FILTER (NOT ty)), 6) AS tau, count(*) AS n_compared, count(*) FILTER (s > 0) AS concordant, count(*) FILTER (s < 0) AS discordant FROM s", "graph")
@@ -406,7 +439,14 @@ def shares(spark, sf):
     return d.withColumn("covered", F.round(stats.covered_share(F.col("n") * 1.44), 9))
 
 
-@query()
+ENDS = ", ".join(f"cos(radians(lat_deg_{s})) * cos(radians(lon_deg_{s})) AS {s}_x, cos(radians(lat_deg_{s})) * sin(radians(lon_deg_{s})) AS {s}_y, sin(radians(lat_deg_{s})) AS {s}_z" for s in "ab")
+ALONG = ", ".join(f"sin((1 - t) * w) / sin(w) * a_{c} + sin(t * w) / sin(w) * b_{c} AS {c}" for c in "xyz")
+
+
+@query(f"""+ {PAIRS}, {scored_sql()}, best AS (SELECT idx_a, idx_b, score FROM ranked ORDER BY ranked.score DESC, idx_a, idx_b LIMIT 20), lim AS (SELECT min(score) AS lo, max(score) AS hi FROM best),
+    e AS (SELECT idx_a, idx_b, CASE WHEN hi > lo THEN (best.score - lo) / (hi - lo) ELSE 1 END AS shade, {ENDS} FROM best JOIN pairs USING (idx_a, idx_b), lim),
+    p AS (SELECT *, acos(least(1, greatest(-1, a_x * b_x + a_y * b_y + a_z * b_z))) AS w FROM e), s AS (SELECT *, range AS i, range / 59e0 AS t FROM p, range(60)), v AS (SELECT idx_a, idx_b, shade, i, {ALONG} FROM s)
+    SELECT idx_a, idx_b, round(shade, 6) AS shade, CAST(i AS INTEGER) AS i, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(asin(least(1, greatest(-1, z / sqrt(x * x + y * y + z * z))))), 6) AS lat FROM v""", "craters")
 def chord_arcs(spark, sf):
     return rounded(report.arcs(conejoin.build_pairs(view(spark, sf, "craters"))))
 
@@ -459,10 +499,74 @@ def chip_depth_proxy(spark, sf):
 def chip_detect(spark, sf):
     """Features of chips of 32 x 32 cells: each cell of an 8 x 8 chip becomes 4 x 4."""
     big = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda x: F.get("embedding", (F.floor(y / 4) * 8 + F.floor(x / 4)).cast("int")))))
-    d = spark.read.parquet(f"{sf}/embeddings.parquet").where("size(embedding) = 64").select(F.col("vec_id").alias("chip_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), big.alias("pixels"), F.lit(1.0).alias("mpp"))
+    d = spark.read.parquet(f"{sf}/embeddings.parquet").where("size(embedding) >= 64").select(F.col("vec_id").alias("chip_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), big.alias("pixels"), F.lit(1.0).alias("mpp"))
     return rounded(raster.detections(d))
 
 
+# More of the reports.
+HIST = "SELECT CAST(range AS INT) AS bin, round(range * 0.02e0, 6) AS lo, round((range + 1) * 0.02e0, 6) AS hi, count(score) AS n FROM range(50) LEFT JOIN {} ON least(floor(score / 0.02e0), 49) = range AND score BETWEEN 0 AND 1 GROUP BY range"
+
+
+@query("SELECT idx, lon_deg, lat_deg, freshness_index FROM craters WHERE lon_deg IS NOT NULL AND lat_deg IS NOT NULL", "craters")
+def coverage_points(spark, sf):
+    return report.coverage_points(view(spark, sf, "craters"))
+
+
+@query(f"+ h AS ({HIST.format('null_scores')}), c AS (SELECT count(*) AS c FROM null_scores) SELECT h.*, round(n / (c * 0.02e0), 6) AS density FROM h, c", "null_scores")
+def null_histogram(spark, sf):
+    return rounded(report.null_histogram(view(spark, sf, "null_scores")))
+
+
+@query(f"+ h AS ({HIST.format('graph')}), c AS (SELECT count(*) AS c, round(quantile_cont(score, 0.95), 6) AS p95, round(max(score), 6) AS best FROM graph) SELECT h.*, p95, best, round(n / (c * 0.02e0), 6) AS density FROM h, c", "graph")
+def score_histogram(spark, sf):
+    return rounded(report.score_histogram(view(spark, sf, "graph")))
+
+
+@query(f"+ h AS ({HIST.format('graph')}), l AS (SELECT quantile_cont(score, 0.9987) AS t FROM null_scores), a AS (SELECT count(*) AS above FROM graph, l WHERE score >= t) SELECT h.*, round(t, 6) AS threshold, above FROM h, l, a", "graph", "null_scores")
+def scores_against_null(spark, sf):
+    return rounded(report.scores_against_null(view(spark, sf, "graph"), view(spark, sf, "null_scores")))
+
+
+@query("SELECT pair_id, g.idx_a, g.idx_b, g.score, a.lon_deg AS a_lon_deg, a.lat_deg AS a_lat_deg, a.radius_m AS a_radius_m, b.lon_deg AS b_lon_deg, b.lat_deg AS b_lat_deg, b.radius_m AS b_radius_m FROM graph g JOIN craters a ON a.idx = g.idx_a JOIN craters b ON b.idx = g.idx_b", "graph", "craters")
+def pair_ends(spark, sf):
+    return report.pair_ends(view(spark, sf, "graph"), view(spark, sf, "craters"))
+
+
+@query("+ t AS (SELECT idx_a, idx_b, score, CAST(row_number() OVER (ORDER BY score DESC, idx_a, idx_b) AS INT) AS place FROM graph QUALIFY place <= 10) SELECT t.*, a.lon_deg AS a_lon_deg, a.lat_deg AS a_lat_deg, b.lon_deg AS b_lon_deg, b.lat_deg AS b_lat_deg FROM t JOIN craters a ON a.idx = t.idx_a JOIN craters b ON b.idx = t.idx_b", "graph", "craters")
+def pairs_on_map(spark, sf):
+    return report.pairs_on_map(view(spark, sf, "graph"), view(spark, sf, "craters"))
+
+
+@query(f"+ g AS (SELECT range AS i, range / 499e0 AS t FROM range(500)) SELECT 'offset_deg' AS curve, i, round(10 + t * {V_ESCAPE - 10}, 6) AS x, round(degrees({OMEGA!r} * 2 * {RADIUS_M!r} / ((10 + t * {V_ESCAPE - 10}) * 1e3)), 6) AS y FROM g UNION ALL SELECT 'ellipticity', i, round(30 + t * 150, 6), round(1 / sin(radians(30 + t * 150) / 2), 6) FROM g UNION ALL SELECT 'survival_myr', i, round(1 + t * 9, 6), round((1 + t * 9) * (1 + t * 9) / (4 * {KAPPA!r}), 6) FROM g", "craters")
+def method_curves(spark, sf):
+    return rounded(report.curves(spark))
+
+
+@query("SELECT -180e0 + (range % 72) * 5e0 AS lon, -85e0 + (range // 72) * 5e0 AS lat FROM range(1000)")
+def manifest_grid_first(spark, sf):
+    return catalog.grid(spark, 5.0, most=1000)
+
+
+@query("+ d AS (SELECT CAST(idx % 997 AS INT) AS chip_index FROM craters) SELECT count(*) AS n_craters, count(DISTINCT chip_index) AS n_chips FROM d", "craters")
+def chips_with_craters(spark, sf):
+    return catalog.chips_with_craters(view(spark, sf, "craters").withColumn("chip_index", (F.col("idx") % 997).cast("int")))
+
+
+@query("SELECT s.chip_index AS manifest_index, s.status, s.n_craters FROM status s JOIN (SELECT DISTINCT CAST(idx_b AS INT) AS i FROM graph) w ON w.i = s.chip_index", "status", "graph")
+def manifest_lookup(spark, sf):
+    """The rows of the chips that pairs name."""
+    wanted = view(spark, sf, "graph").select(F.col("idx_b").cast("int").alias("manifest_index"))
+    return chips_plan.lookup(view(spark, sf, "status").withColumnRenamed("chip_index", "manifest_index").drop("chip_span_m"), wanted)
+
+
+@query("+ k AS (SELECT c, (SELECT max(trial) + 1001 FROM null_scores) // 8 AS each, (SELECT max(trial) + 1001 FROM null_scores) % 8 AS more FROM (SELECT range AS c FROM range(8))), b AS (SELECT c, c * each + least(c, more) AS lo, c * each + least(c, more) + each + CASE WHEN c < more THEN 1 ELSE 0 END AS hi FROM k), n AS (SELECT c, hi - lo - count(DISTINCT trial) AS lacking FROM b LEFT JOIN null_scores ON trial >= lo AND trial < hi GROUP BY c, lo, hi) SELECT c AS chunk, lacking FROM n WHERE lacking > 0", "null_scores")
+def missing_chunks(spark, sf):
+    """Of eight chunks over the trials up to 1000 beyond the last one done, those that lack some."""
+    null = view(spark, sf, "null_scores")
+    trials = null.agg(F.max("trial")).first()[0] + 1001
+    return pipeline.missing_chunks(nullmodel.chunk_bounds(spark, trials, 8), null)
+
+
 # Progress.
 @query("SELECT round(sum(coalesce(nullif(chip_span_m, 0), 1200) * coalesce(nullif(chip_span_m, 0), 1200)) / 1e6, 6) AS coverage_km2, count(*) AS n_chips FROM status", "status")
 def coverage_area(spark, sf):
@@ -474,11 +578,14 @@ def status_breakdown(spark, sf):
     return catalog.status_counts(view(spark, sf, "status"))
 
 
-@query("+ m AS (SELECT range AS i FROM range(12000)), j AS (SELECT s.status, s.n_craters FROM m LEFT JOIN status s ON s.chip_index = m.i) SELECT CASE WHEN status IS NULL THEN 'missing' WHEN status = 'error' THEN 'failed' WHEN status IN ('no_data', 'blank_chip', 'noise_floor') OR n_craters = 0 THEN 'empty' ELSE 'ok' END AS state, count(*) AS n FROM j GROUP BY 1", "status")
+@query("+ m AS (SELECT unnest(range((SELECT max(chip_index) + 2001 FROM status))) AS i), j AS (SELECT s.status, s.n_craters FROM m LEFT JOIN status s ON s.chip_index = m.i) SELECT CASE WHEN status IS NULL THEN 'missing' WHEN status = 'error' THEN 'failed' WHEN status IN ('no_data', 'blank_chip', 'noise_floor') OR n_craters = 0 THEN 'empty' ELSE 'ok' END AS state, count(*) AS n FROM j GROUP BY 1", "status")
 def chip_progress(spark, sf):
-    return monitor.chip_progress(spark.range(12000).withColumnRenamed("id", "manifest_index"), view(spark, sf, "status"))
+    """All chips up to 2000 beyond the last one with a status."""
+    status = view(spark, sf, "status")
+    return monitor.chip_progress(up_to(status, "chip_index", 2000, "manifest_index"), status)
 
 
-@query("SELECT range AS manifest_index FROM range(12000) WHERE range NOT IN (SELECT chip_index FROM status)", "status")
+@query("SELECT i AS manifest_index FROM (SELECT unnest(range((SELECT max(chip_index) + 2001 FROM status))) AS i) WHERE i NOT IN (SELECT chip_index FROM status)", "status")
 def missing_chips(spark, sf):
-    return monitor.missing_chips(spark.range(12000).withColumnRenamed("id", "manifest_index"), view(spark, sf, "status"))
+    status = view(spark, sf, "status")
+    return monitor.missing_chips(up_to(status, "chip_index", 2000, "manifest_index"), status)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from farpoint.functions import geo, score, stats
+from farpoint.config import RADIUS_M, V_ESCAPE
+from farpoint.functions import geo, score, stats, velocity
 
 
 def arcs(pairs: DataFrame, top: int = 20, points: int = 60) -> DataFrame:
@@ -39,4 +41,49 @@ def projected(craters: DataFrame, lon: Column, lat: Column) -> DataFrame:
 
 
 def score_histogram(pairs: DataFrame, bins: int = 50) -> DataFrame:
-    return stats.histogram(pairs, "score", 0.0, 1.0, bins)
+    """(bin, lo, hi, n, density, p95, best) of the scores between 0 and 1."""
+    ends = pairs.agg(F.percentile("score", 0.95).alias("p95"), F.max("score").alias("best"), F.count("score").alias("__all"))
+    return stats.histogram(pairs, "score", 0.0, 1.0, bins).crossJoin(F.broadcast(ends)).withColumn("density", F.try_divide(F.col("n"), F.col("__all") * (F.col("hi") - F.col("lo")))).drop("__all")
+
+
+def coverage_points(craters: DataFrame) -> DataFrame:
+    """(idx, lon_deg, lat_deg, freshness_index): where craters lie and how fresh they are."""
+    return craters.where("lon_deg is not null and lat_deg is not null").select("idx", "lon_deg", "lat_deg", "freshness_index")
+
+
+def null_histogram(null: DataFrame, bins: int = 50) -> DataFrame:
+    """(bin, lo, hi, n, density) of the null model's best scores, between 0 and 1."""
+    h = stats.histogram(null, "score", 0.0, 1.0, bins)
+    total = F.broadcast(null.agg(F.count("score").alias("__all")))
+    return h.crossJoin(total).withColumn("density", F.try_divide(F.col("n"), F.col("__all") * (F.col("hi") - F.col("lo")))).drop("__all")
+
+
+def scores_against_null(pairs: DataFrame, null: DataFrame, bins: int = 50) -> DataFrame:
+    """(bin, lo, hi, n, threshold, above): the pairs' scores, the null model's three-sigma percentile, and how many pairs reach it."""
+    limit = F.broadcast(null.agg(F.percentile("score", 0.9987).alias("threshold")))
+    above = F.broadcast(pairs.crossJoin(limit).agg(F.count_if(F.col("score") >= F.col("threshold")).alias("above")))
+    return stats.histogram(pairs, "score", 0.0, 1.0, bins).crossJoin(limit).crossJoin(above)
+
+
+def pair_ends(pairs: DataFrame, craters: DataFrame, columns: tuple[str, ...] = ("lon_deg", "lat_deg", "radius_m"), idx: str = "idx") -> DataFrame:
+    """``pairs`` with both ends' rows of the catalogue; pairs with an end that it lacks are left out."""
+    side = lambda s: craters.select(F.col(idx).alias(f"idx_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    return pairs.join(side("a"), "idx_a").join(side("b"), "idx_b")
+
+
+def pairs_on_map(pairs: DataFrame, craters: DataFrame, top: int = 10) -> DataFrame:
+    """(place, score, idx_a, idx_b, a_lon_deg ...): the best pairs in order, with the places of both ends."""
+    best = pairs.orderBy(F.desc_nulls_last("score"), "idx_a", "idx_b").limit(top)
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("score"), "idx_a", "idx_b")  # over the best
+    ranked = best.select("idx_a", "idx_b", "score", F.row_number().over(w).alias("place"))
+    return pair_ends(ranked, craters, ("lon_deg", "lat_deg"))
+
+
+def curves(spark: SparkSession, n: int = 500) -> DataFrame:
+    """(curve, i, x, y) of the method: the offset by the speed, the ellipticity by the separation, the survival by the radius."""
+    even = lambda lo, hi: lo + F.col("id") * ((hi - lo) / (n - 1))
+    of = lambda name, lo, hi, y: spark.range(n).select(F.lit(name).alias("curve"), F.col("id").alias("i"), even(lo, hi).alias("x"), y(even(lo, hi)).alias("y"))
+    offset = of("offset_deg", 10.0, V_ESCAPE, lambda v: velocity.rotation_offset(F.lit(2.0 * RADIUS_M), v))
+    shape = of("ellipticity", 30.0, 180.0, geo.expected_ellipticity)
+    life = of("survival_myr", 1.0, 10.0, stats.survival_myr)
+    return offset.union(shape).union(life)

@@ -1,22 +1,23 @@
-"""What SQL does not say: edges, walks and runs."""
+"""What SQL does not say: edges, walks and runs, against brute force on values of a generator."""
 
 import json
 import math
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from farpoint.config import DEFAULT
-from farpoint.functions import geo, raster, velocity
-from farpoint.operators import catalog, conejoin, matching, nullmodel, significance
-from farpoint.plans import pipeline
+from farpoint.functions import geo, raster, score, stats, velocity
+from farpoint.operators import catalog, conejoin, matching, nullmodel, ranks, rescore, significance
+from farpoint.plans import pipeline, report
 from farpoint.sources import files, survey
 from farpoint.streaming import monitor
-from dataclasses import replace
 
 KINDS = "idx long, lon_deg double, lat_deg double, radius_m double, freshness_index double, nls double, rcr double, ellipticity double, orientation_deg double, shape_reliable boolean, depth_proxy double"
+OPPOSITE = dict(lon=-33.5, lat=12.25, r=5.5, fresh=0.31, nls=2.2, rcr=1.7, e=1.21, turn=17.0, reliable=False, depth=0.71)
 
 
 def craters(spark, *rows):
@@ -24,100 +25,250 @@ def craters(spark, *rows):
 
 
 def pair(**change):
-    a = dict(lon=10.0, lat=20.0, r=4.0, nls=1.5, rcr=3.0, e=1.0)
-    b = a | dict(lon=-170.0, lat=-20.0, e=1.001) | change
-    return [(i, x["lon"], x["lat"], x["r"], 0.6, x["nls"], x["rcr"], x["e"], 0.0, False, 0.5) for i, x in enumerate((a, b))]
+    """Two craters at the ends of a diameter, alike but for what ``change`` says of the second."""
+    a = dict(OPPOSITE)
+    b = a | dict(lon=a["lon"] + 180.0, lat=-a["lat"], fresh=0.32) | change
+    return [(i, *x.values()) for i, x in enumerate((a, b))]
 
 
-@pytest.mark.parametrize(("change", "n"), [({}, 1), ({"lon": 15.0, "lat": 20.0}, 0), ({"r": 10.0}, 0), ({"nls": 4.0}, 0), ({"rcr": 8.0}, 0)])
+@pytest.mark.parametrize(
+    ("change", "n"),
+    [({}, 1), ({"lon": -23.0, "lat": 20.0}, 0), ({"r": 5.5 + DEFAULT.max_radius_diff_m + 0.1}, 0), ({"r": 5.5 + DEFAULT.max_radius_diff_m - 0.1}, 1), ({"nls": 2.2 - DEFAULT.max_nls_diff - 0.1}, 0), ({"rcr": 1.8 + DEFAULT.max_rcr_diff}, 0), ({"depth": 0.1}, 0)],
+)
 def test_pairs(spark, change, n):
     got = conejoin.build_pairs(craters(spark, *pair(**change))).collect()
     assert len(got) == n
-    assert not n or got[0]["score"] > 0.5 and got[0]["T_radius"] == 1.0
+    if not change:
+        assert got[0]["score"] == pytest.approx(1.0) and got[0]["separation_deg"] == pytest.approx(180.0)
 
 
 def test_no_pairs(spark):
     assert conejoin.build_pairs(craters(spark)).count() == 0
     assert conejoin.build_pairs(craters(spark, pair()[0])).count() == 0
-    missing = [(0, None, None, None, None, None, None, None, None, None, None), *[(i + 1, *r[1:]) for i, r in enumerate(pair())]]
-    assert conejoin.build_pairs(craters(spark, *missing)).count() == 1
+    nothing = (0, *[None] * 10)
+    assert conejoin.build_pairs(craters(spark, nothing, *[(i + 1, *r[1:]) for i, r in enumerate(pair())])).count() == 1
 
 
 def test_missing_differences_reject_nothing(spark):
-    assert conejoin.build_pairs(craters(spark, *pair(nls=None))).count() == 1
-    assert conejoin.build_pairs(craters(spark, *pair(nls=float("nan")))).count() == 1
+    for missing in (None, float("nan")):
+        assert conejoin.build_pairs(craters(spark, *pair(nls=missing))).count() == 1
+
+
+def walk(rows):
+    used, out = set(), []
+    for r in sorted(rows, key=lambda x: (-x[3], x[1], x[2])):
+        if not used & {r[1], r[2]}:
+            used |= {r[1], r[2]}
+            out.append(r[1:])
+    return out
 
 
 def test_matching_is_the_walk(spark):
     rng = np.random.default_rng(3)
     e = [(i, int(a), int(b), float(s)) for i, (a, b, s) in enumerate(zip(rng.integers(0, 60, 400), rng.integers(40, 100, 400), rng.integers(0, 40, 400) / 40, strict=True)) if a != b]
-    used, want = set(), []
-    for _, a, b, s in sorted(e, key=lambda x: (-x[3], x[1], x[2])):
-        if a not in used and b not in used:
-            used |= {a, b}
-            want.append((a, b, s))
-    df = spark.createDataFrame(e, "pair_id long, idx_a long, idx_b long, score double")
-    got = [(r["idx_a"], r["idx_b"], r["score"]) for r in matching.non_overlapping(df).collect()]
-    assert got == want
-    assert [(r["idx_a"], r["idx_b"], r["score"]) for r in matching.non_overlapping(df, 5).collect()] == want[:5]
+    kind = "pair_id long, idx_a long, idx_b long, score double"
+    df = spark.createDataFrame(e, kind)
+    got = [tuple(r)[1:] for r in matching.non_overlapping(df).collect()]
+    assert got == walk(e)
+    assert [tuple(r)[1:] for r in matching.non_overlapping(df, 5).collect()] == walk(e)[:5]
     assert matching.non_overlapping(df.limit(0)).count() == 0
+    again = spark.createDataFrame([*e, *[(i + 1000, *r) for i, *r in e[:50]], *[(i + 2000, a, b, s) for i, a, b, s in e[50:90]]], kind)
+    assert [tuple(r)[1:] for r in matching.non_overlapping(again).collect()] == walk(e)  # repeated rows are taken once
+
+
+def plain_discoveries(ps, alpha):
+    order = sorted(ps)
+    edge = max((p for k, p in enumerate(order, 1) if p <= alpha * k / len(order)), default=None)
+    return sum(edge is not None and p <= edge for p in ps)
 
 
-@pytest.mark.parametrize(("ps", "want"), [([0.001, 0.002, 0.003, 0.004, 0.005], 5), ([0.5, 0.6, 0.7, 0.8, 0.9], 0), ([0.04, 0.005, 0.5, 0.011, 0.02], 4), ([0.01], 1), ([0.1], 0), ([], 0)])
-def test_discoveries(spark, ps, want):
-    df = spark.createDataFrame([(p,) for p in ps], "p_value double")
-    assert significance.with_discoveries(df).where("bh_significant").count() == want
+def test_discoveries(spark):
+    rng = np.random.default_rng(11)
+    for n, low in ((0, 0.0), (1, 0.0), (40, 0.2), (200, 0.5), (500, 1.0)):
+        ps = [round(float(x), 3) for x in np.where(rng.random(n) < low, rng.random(n) ** 6, rng.random(n))]
+        df = spark.createDataFrame([(p,) for p in [*ps, None]], "p_value double")
+        for alpha in (0.05, 0.4):
+            assert significance.with_discoveries(df, alpha).where("bh_significant").count() == plain_discoveries(ps, alpha)
 
 
 def test_p_values(spark):
-    pairs, null = spark.createDataFrame([(0.6,), (None,)], "score double"), spark.createDataFrame([(x / 10,) for x in range(1, 6)], "score double")
-    assert sorted((r["p_value"] for r in significance.p_values(pairs, null).collect()), key=str) == pytest.approx([1 / 6, None])
-    assert significance.p_values(pairs, null.limit(0)).first()["p_value"] == 1.0
+    rng = np.random.default_rng(12)
+    scores, null = rng.integers(0, 50, 120) / 50, rng.integers(0, 50, 333) / 50
+    pairs = spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)] + [(900, None), (901, float("nan"))], "i long, score double")
+    nulls = spark.createDataFrame([(float(x),) for x in null] + [(None,)], "score double")
+    got = {r["i"]: r["p_value"] for r in significance.p_values(pairs, nulls).collect()}
+    assert got[900] is None and got[901] is None and len(got) == 122
+    assert all(got[i] == pytest.approx((sum(null >= s) + 1) / 334) for i, s in enumerate(scores))
+    assert {r["p_value"] for r in significance.p_values(pairs.where("i < 5"), nulls.limit(0)).collect()} == {1.0}
+
+
+def test_running_counts(spark):
+    rng = np.random.default_rng(13)
+    values = {float(v): int(n) for v, n in zip(rng.standard_normal(700), rng.integers(0, 9, 700), strict=True)}
+    df = spark.createDataFrame(list(values.items()), "v double, n long")
+    for ranges in (1, 7, 300):
+        got = {r["v"]: r["up_to"] for r in ranks.running(df, "v", ranges=ranges).collect()}
+        total = 0
+        for v in sorted(values):
+            total += values[v]
+            assert got[v] == total
+    assert ranks.running(df.limit(0), "v").count() == 0
+
+
+def test_spearman_of_ties(spark):
+    rng = np.random.default_rng(14)
+    x, y = rng.integers(0, 9, 200).astype(float), rng.integers(0, 7, 200).astype(float)
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    got = stats.spearman(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0)], "x double, y double"), "x", "y").first()
+    assert got["rho"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1]) and got["n"] == 200
+
+
+def test_tau_of_places(spark):
+    rng = np.random.default_rng(15)
+    rows = [(h, float(s)) for h in ("H0", "H1", "H2") for s in rng.integers(0, 6, 30) / 6]
+    got = {(r["one"], r["other"]): r["tau"] for r in rescore.tau_matrix(spark.createDataFrame(rows, "hypothesis string, score double"), top=20).collect()}
+    best = {h: sorted((s for x, s in rows if x == h), reverse=True)[:20] for h in ("H0", "H1", "H2")}
+    for (a, b), tau in got.items():
+        d = [(np.sign(best[a][i] - best[a][j]), np.sign(best[b][i] - best[b][j])) for i in range(20) for j in range(i)]
+        assert tau == pytest.approx(sum(p * q for p, q in d) / math.sqrt(sum(p != 0 for p, _ in d) * sum(q != 0 for _, q in d)))
+    with pytest.raises(ValueError, match="more than"):
+        rescore.kendall(spark.range(rescore.LONGEST + 1).selectExpr("id AS k", "id AS x", "id AS y"), "x", "y", "k")
+
+
+def test_hypotheses(spark):
+    """A relaxed term is 1 for every pair; what no term reads changes nothing."""
+    rows = [(i, (i * 61) % 360 - 180.0, (i * 29) % 150 - 75.0, 3.0 + i % 4 / 2, i / 100, 1.5 + i % 5 / 10, 3.0 + i % 4 / 10, 1.0 + i % 7 / 10, float(i * 13 % 180), i % 3 > 0, 0.5) for i in range(80)]
+    pairs = conejoin.build_pairs(craters(spark, *rows)).cache()
+    open_ = {h: rescore.rescored(pairs, s) for h, s in rescore.hypotheses().items()}
+    assert open_["H1"].where("abs(T_radius - 1) > 1e-6").count() == 0 and open_["H2"].where("abs(T_ellipticity - 1) > 1e-6").count() == 0
+    null = spark.createDataFrame([(t, 0.4) for t in range(20)], "trial long, score double")
+    got = {r["hypothesis"]: r for r in rescore.rounds(pairs, rescore.grid_of(spark, rescore.hypotheses()), null, top=30).collect()}
+    assert set(got) == {f"H{k}" for k in range(6)} and got["H0"]["tau"] == pytest.approx(1.0) and got["H4"]["best_score"] >= got["H0"]["best_score"]
+    swept = rescore.sensitivity(pairs, rescore.sweep(spark, ("sigma_freshness", "sigma_radius"), [0.5, 2.0]), 0.1).collect()
+    assert len({r["best_score"] for r in swept if r["parameter"] == "sigma_freshness"}) == 1 and len(swept) == 4
+    detail = spark.createDataFrame([r.asDict() | {"trial": i % 3} for i, r in enumerate(pairs.limit(9).collect())], pairs.withColumn("trial", F.lit(0)).schema)
+    assert rescore.rounds(pairs, rescore.grid_of(spark, rescore.hypotheses()), null, detail, top=5).count() == 6
 
 
 def test_geometry(spark):
-    lon = [r[0] for r in spark.createDataFrame([(x,) for x in (0.0, 181.0, 360.0, 540.0, -181.0, -180.0)], "x double").select(geo.normalize_lon(F.col("x"))).collect()]
-    assert lon == [0.0, -179.0, 0.0, -180.0, 179.0, -180.0]
-    one = spark.range(1)
-    get = lambda c: one.select(c).first()[0]
-    assert get(geo.bbox(F.lit(0.0), F.lit(90.0), F.lit(1e5))) is None and get(geo.bbox(F.lit(179.99), F.lit(0.0), F.lit(1e5))) is None
-    assert get(geo.expected_ellipticity(F.lit(0.0))) == math.inf and get(geo.expected_ellipticity(F.lit(90.0))) == pytest.approx(math.sqrt(2))
+    rng = np.random.default_rng(16)
+    wide = [*map(float, rng.uniform(-1000, 1000, 60)), -180.0, 180.0, 900.0]
+    lon = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(wide)], "i long, x double").orderBy("i").select(geo.normalize_lon(F.col("x"))).collect()]
+    assert lon == pytest.approx([(x + 180) % 360 - 180 for x in wide]) and all(-180 <= x < 180 for x in lon)
+    get = lambda c: spark.range(1).select(c).first()[0]
+    for at in ((12.0, 90.0), (179.999, 5.0), (-179.999, -5.0)):
+        assert get(geo.bbox(F.lit(at[0]), F.lit(at[1]), F.lit(2e5))) is None
+    assert get(geo.expected_ellipticity(F.lit(0.0))) == math.inf
+    for sep in (35.0, 77.0, 141.0):
+        assert get(geo.expected_ellipticity(F.lit(sep))) == pytest.approx(1 / math.sin(math.radians(sep) / 2))
     assert get(velocity.speed_from_offset(F.lit(0.0), F.lit(1e6))) == math.inf
-    arc = get(geo.arc_points(geo.unit(F.lit(0.0), F.lit(0.0)), geo.unit(F.lit(90.0), F.lit(0.0)), 91))
-    assert [p["lon"] for p in arc] == pytest.approx(range(91), abs=1e-9)
+    a, b = geo.unit(F.lit(-12.0), F.lit(0.0)), geo.unit(F.lit(33.0), F.lit(0.0))
+    assert [p["lon"] for p in get(geo.arc_points(a, b, 46))] == pytest.approx(range(-12, 34), abs=1e-9)
+    rim = get(geo.cap_boundary(geo.unit(F.lit(50.0), F.lit(-20.0)), F.lit(7.0), 25))
+    centre = np.array([math.cos(math.radians(-20)) * math.cos(math.radians(50)), math.cos(math.radians(-20)) * math.sin(math.radians(50)), math.sin(math.radians(-20))])
+    for p in rim:
+        v = [math.cos(math.radians(p["lat"])) * math.cos(math.radians(p["lon"])), math.cos(math.radians(p["lat"])) * math.sin(math.radians(p["lon"])), math.sin(math.radians(p["lat"]))]
+        assert math.degrees(math.acos(float(centre @ v))) == pytest.approx(7.0)
+    assert get(velocity.max_physical_offset(60.0)) == pytest.approx(get(velocity.rotation_offset(F.lit(2 * 1_737_400.0), F.lit(60.0))))
+    assert get(stats.survival_s(F.lit(3.0), anomalous=True)) == pytest.approx(get(stats.survival_s(F.lit(3.0))) / 56)
 
 
 def test_null_trials(spark):
-    clones = craters(spark, *[(i, i / 2, 0.0, 4.0, 0.5, 1.5, 3.0, None, None, False, 0.5) for i in range(10)])
+    same = craters(spark, *[(i, 3.0 * i, -8.0, 6.5, 0.2, 2.5, 4.0, None, None, False, 0.9) for i in range(7)])
     trials = spark.range(4).withColumnRenamed("id", "trial")
-    assert {r["score"] for r in nullmodel.best_scores(clones, trials).collect()} == {0.0}
+    assert {r["score"] for r in nullmodel.best_scores(same, trials).collect()} == {0.0}  # one fingerprint, so one crater and no pair
     a, b = nullmodel.streams(spark, trials, 5).collect(), nullmodel.streams(spark, trials.where("trial >= 2"), 5).collect()
     assert {tuple(r) for r in b} <= {tuple(r) for r in a} and len(a) == 20
+    assert [nullmodel.tasks(n, 4) for n in (0, 1, 4, 5, 9)] == [0, 1, 1, 2, 3]
+
+
+def scattered_rows(n=60):
+    return [(i, (i * 37) % 360 - 180.0, (i * 53) % 160 - 80.0, 3.0 + i % 3, i / 100, 1.5 + i % 5 / 10, 3.0 + i % 4 / 10, None, None, False, 0.5) for i in range(n)]
 
 
 def test_run_resumes(spark, tmp_path):
-    rows = [(i, (i * 37) % 360 - 180.0, (i * 53) % 160 - 80.0, 3 + i % 3, i / 100, 1.5 + i % 5 / 10, 3.0 + i % 4 / 10, None, None, False, 0.5) for i in range(60)]
-    s = replace(DEFAULT, trials=6)
-    out = str(tmp_path / "run")
-    first = pipeline.run(craters(spark, *[(*r[:3], float(r[3]), *r[4:]) for r in rows]), out, s, chunks=2, top=5).first()
-    assert first["n_trials"] == 6
-    assert pipeline.run_chunk(spark, out, 0, 2, s) == 0
+    s, out = replace(DEFAULT, trials=6), str(tmp_path / "run")
+    rows = craters(spark, *scattered_rows())
+    first = pipeline.run(rows, out, s, chunks=2, top=5).first()
+    assert first["n_trials"] == 6 and pipeline.run_chunk(spark, out, 0, 2, s) == 0
     with pytest.raises(ValueError, match="have no score"):
         pipeline.finish(spark, out, replace(s, trials=7))
+    wanted = pipeline.marks(s, 5, 2, "")
+    assert pipeline.state(spark, out, wanted) == {"prepared": True, "missing_chunks": [], "finished": True}
+    before = {f: os.path.getmtime(f"{out}/{f}") for f in ("pairs", "top", "null", "summary")}
+    assert pipeline.run(rows, out, s, chunks=2, top=5).first() == first
+    assert before == {f: os.path.getmtime(f"{out}/{f}") for f in before}  # nothing was done again
+    with pytest.raises(ValueError, match="trials .checkpoint 6, now 8"):
+        pipeline.run(rows, out, replace(s, trials=8), chunks=2, top=5)
+    assert pipeline.run(rows, out, replace(s, trials=8), chunks=2, top=5, force=True).first()["n_trials"] == 8
+    # a chunk that lost its trials is the only one that is done again
+    null = spark.read.parquet(f"{out}/null").where("chunk = 1").collect()
+    spark.createDataFrame(null, pipeline.TRIAL).write.mode("overwrite").parquet(f"{out}/null")
+    assert pipeline.state(spark, out, pipeline.marks(replace(s, trials=8), 5, 2, ""))["missing_chunks"] == [0]
+    assert spark.read.csv(f"{out}/all_pairs_csv", header=True).count() == spark.read.parquet(f"{out}/pairs").count()
+    assert {"trial", "score", "pair"} == set(spark.read.json(f"{out}/null_pairs_json").columns)
+
+
+def bowl(n, spots, noise=0.01, seed=5):
+    """A chip with dark round spots (x, y, radius, depth), with flat floors, on a slope of light."""
+    y, x = np.mgrid[:n, :n]
+    image = 0.55 + 0.1 * x / n + np.random.default_rng(seed).normal(0, noise, (n, n))
+    for cx, cy, r, depth in spots:
+        image -= depth / (1 + (np.hypot(x - cx, y - cy) / r) ** 6)
+    return np.clip(image, 0, 1)
 
 
-def crater_image(n, r, seed=42):
-    y, x = np.mgrid[:n, :n]
-    return np.clip(0.7 - 0.6 * np.exp(-((x - n / 2) ** 2 + (y - n / 2) ** 2) / (r * r)) + np.random.default_rng(seed).normal(0, 0.02, (n, n)), 0, 1)
+SPOTS = [(20.0, 25.0, 5.0, 0.3), (70.0, 30.0, 8.0, 0.4), (45.0, 75.0, 6.0, 0.35)]
+FEW = replace(DEFAULT, radius_range_m=(3.0, 14.0), peak_quantile=0.985, min_circularity=0.3, min_radius_px=2.0, n_scales=8)
 
 
 def test_detection(spark):
-    s = replace(DEFAULT, radius_range_m=(3.0, 20.0), peak_quantile=0.99, min_circularity=0.3, min_radius_px=2.0, n_scales=8)
-    chips = [(0, 64, 64, crater_image(64, 8).ravel().tolist(), 1.0), (1, 64, 64, [0.5] * 4096, 1.0), (2, 64, 64, None, 1.0)]
-    got = raster.detections(spark.createDataFrame(chips, "chip_id long, h int, w int, pixels array<float>, mpp double"), s).collect()
+    chips = [(0, 96, 96, bowl(96, SPOTS).ravel().tolist(), 1.0), (1, 96, 96, [0.25] * 96 * 96, 1.0), (2, 96, 96, None, 1.0)]
+    df = spark.createDataFrame(chips, "chip_id long, h int, w int, pixels array<float>, mpp double")
+    got = raster.detections(df, FEW).collect()
     assert {r["chip_id"] for r in got} == {0}
-    assert math.hypot(got[0]["x"] - 32, got[0]["y"] - 32) < 8
-    assert list(raster.suppressed(np.array([[10, 10], [10.5, 10.5], [50, 50]]), np.full(3, 5.0), np.array([1.0, 0.8, 0.9]))) == [0, 2]
+    for x, y, r, _ in SPOTS:
+        near = min(got, key=lambda f: math.hypot(f["x"] - x, f["y"] - y))
+        assert math.hypot(near["x"] - x, near["y"] - y) < 2.5 and 0.5 * r < near["radius_px"] < 2 * r and near["rcr"] > 0
+    states = {r["chip_id"]: (r["found"]["status"], len(r["found"]["rows"])) if r["found"] and r["found"]["status"] else None for r in raster.inspected(df, FEW).collect()}
+    assert states == {0: ("ok", len(got)), 1: ("blank_chip", 0), 2: None}
+
+
+def test_kernels_against_plain_loops():
+    """Peaks, suppression, moments and contrast, each by its definition, cell by cell."""
+    image = bowl(40, [(12.0, 14.0, 4.0, 0.3), (28.0, 26.0, 5.0, 0.4)], seed=6)
+    cube = raster.scale_space(1 - image, np.geomspace(1.5, 5, 5))
+    edge = float(np.quantile(cube, 0.97))
+    want = set()
+    for y, x, k in np.ndindex(cube.shape):
+        around = cube[max(y - 2, 0) : y + 3, max(x - 2, 0) : x + 3, max(k - 1, 0) : k + 2]
+        if cube[y, x, k] >= edge and cube[y, x, k] == around.max():
+            want.add((y, x, k))
+    assert {tuple(map(int, p)) for p in raster.peaks(cube, edge)} == want
+
+    rng = np.random.default_rng(21)
+    xy, r, strength = rng.uniform(0, 60, (80, 2)), rng.uniform(2, 9, 80), rng.uniform(0, 1, 80)
+    kept = []
+    for i in sorted(range(80), key=lambda i: -strength[i]):
+        if all(math.dist(xy[i], xy[j]) > max(3.0, 0.75 * r[i]) for j in kept):
+            kept.append(i)
+    assert raster.suppressed(xy, r, strength).tolist() == kept
+
+    patch = 1 - image[4:25, 2:23]  # 2.5 radii of 4 around (12, 14)
+    w = np.maximum(patch - np.median(patch), 0)
+    cells = [(x + 2, y + 4, w[y, x]) for y in range(21) for x in range(21)]
+    total = sum(c[2] for c in cells)
+    mx, my = sum(x * v for x, _, v in cells) / total, sum(y * v for _, y, v in cells) / total
+    cov = np.array([[sum((x - mx) ** 2 * v for x, _, v in cells), sum((x - mx) * (y - my) * v for x, y, v in cells)], [sum((x - mx) * (y - my) * v for x, y, v in cells), sum((y - my) ** 2 * v for _, y, v in cells)]]) / total
+    minor, major = np.sqrt(np.linalg.eigvalsh(cov))
+    circ, e, turn, reliable, *_ = raster.shape_of(image, 12, 14, 4.0, confident=5.0)
+    assert circ == pytest.approx(minor / major) and e == pytest.approx(major / minor) and not reliable
+    axis = np.linalg.eigh(cov)[1][:, 1]
+    assert abs(axis @ [math.cos(math.radians(turn)), math.sin(math.radians(turn))]) == pytest.approx(1.0)
+
+    d = {(x, y): math.hypot(x - 28, y - 26) for y in range(40) for x in range(40)}
+    zone = lambda a, b: np.array([image[y, x] for (x, y), v in d.items() if a * 4.0 <= v <= b * 4.0])
+    assert raster.contrast_of(image, 28, 26, 4.0) == pytest.approx((zone(0.8, 1.3).mean() - zone(0, 0.5).mean()) / zone(2, 3).std())
 
 
 def test_files(spark, tmp_path):
@@ -134,6 +285,42 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in spark.table("seen").collect()] == [("ok", 1, 3)]
 
 
+def test_manifest_and_json_files(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("manifest_index,product_id,resolution_mpp\n4,M7,0.5\n5,M8,x\n")
+    assert [(r["manifest_index"], r["product_id"], r["resolution_mpp"], r["center_lon"]) for r in files.read_manifest(spark, str(tmp_path / "m.csv")).orderBy("manifest_index").collect()] == [(4, "M7", 0.5, None), (5, "M8", None, None)]
+    (tmp_path / "bad.csv").write_text("product_id\nM7\n")
+    with pytest.raises(ValueError, match="manifest_index"):
+        files.read_manifest(spark, str(tmp_path / "bad.csv"))
+    files.write_json(spark, {"a": 1, "b": [2]}, str(tmp_path / "j"))
+    assert files.read_json(spark, str(tmp_path / "j")).first()["a"] == 1
+    (tmp_path / "broken.json").write_text("{")
+    assert files.read_json(spark, str(tmp_path / "broken.json"), files.METADATA).first()["status"] is None
+    files.write_csv(files.empty(spark, files.MANIFEST), str(tmp_path / "e"))
+    assert files.read_csv(spark, str(tmp_path / "e"), files.MANIFEST).count() == 0
+    assert survey.task_range(spark.range(10).withColumnRenamed("id", "manifest_index"), 1, 4, 7).count() == 3
+
+
+def test_progress(spark):
+    chunks = spark.range(4).withColumnRenamed("id", "chunk")
+    parts = spark.createDataFrame([(0, 5.0), (0, 5.0), (2, 1.5)], "chunk long, runtime_s double")
+    assert tuple(monitor.chunk_progress(chunks, parts).first()) == (2, 2, 3, 6.5)
+    bars = [r[0] for r in spark.createDataFrame([(0, 4), (2, 4), (4, 4), (3, 0)], "d long, t long").select(monitor.bar(F.col("d"), F.col("t"), 8)).collect()]
+    assert bars == ["[........]", "[####....]", "[########]", "[########]"]
+
+
+def test_report_tables(spark):
+    rows = craters(spark, *[(i, 40.0 * i - 100, 10.0 * i, 4.0, 0.5, 1.0, 1.0, 1.0 + i / 5, 20.0 * i, i != 2, 0.5) for i in range(4)])
+    panels = report.cone_panels(rows, 6.0, 9).collect()
+    assert {(r["idx"], r["bearing"]) for r in panels} == {(i, b) for i in (0, 1, 3) for b in (0, 1)} and len(panels) == 54
+    shape = report.outlines(spark.createDataFrame([(5.0, 4.0), (5.0, None)], "radius_px double, ellipticity double")).collect()
+    assert [(r["half_major"], r["half_minor"]) for r in shape] == [(10.0, 2.5), (5.0, 5.0)]
+    seen = {r["idx"]: r for r in report.projected(rows, F.lit(-100.0), F.lit(0.0)).collect()}
+    assert (seen[0]["right"], seen[0]["up"]) == pytest.approx((0.0, 0.0)) and seen[0]["visible"] and not seen[3]["visible"]
+    assert len({r["idx"] for r in stats.hashed_sample(rows, 2).collect()}) == 2 and stats.hashed_sample(rows, 2).collect() == stats.hashed_sample(rows.orderBy(F.desc("idx")), 2).collect()
+    strength = [r[0] for r in spark.createDataFrame([(6.0,), (3.0,)], "s double").select(score.relative_strength(F.col("s"), F.lit(3.0))).collect()]
+    assert strength == pytest.approx([2.0, 1.0])
+
+
 def test_survey(spark):
     def transport(params):
         if params["bbox"].startswith("-0.05"):
