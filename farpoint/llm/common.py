@@ -125,6 +125,18 @@ def maybe_in(bits: np.ndarray, column: str) -> Column:
     return known(spot(F.col(f"`{column}`")))
 
 
+#: Bytes of an Arrow batch of texts.
+ARROW_BYTES = 8 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, and from now on no Arrow batch of its session holds more than about ARROW_BYTES (one longer row is a batch of its own): a worker's memory does not depend on how long the texts are."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)) > ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+    return df
+
+
 def slices(b: pa.RecordBatch, at: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of ``b`` with about ``limit`` bytes of the text column ``at`` each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farpoint.llm.common import text_batches
+
 # Element names of HTML.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -276,4 +278,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             texts = [main_text(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*b.schema.names[:-1], "text", "n_chars"])
 
-    return src.mapInArrow(run, schema)
+    return text_batches(src).mapInArrow(run, schema)

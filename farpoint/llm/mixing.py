@@ -114,7 +114,9 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, source
     kinds = dict(docs.dtypes)
     row = F.struct(*[F.col(f"`{c}`") for c in keep])  # apart from the columns made here, whatever they are called
     hashed = F.xxhash64(F.col(f"`{doc_id}`"), *[F.col(f"`{c}`") for c in keep if "map<" not in kinds[c] and kinds[c] != "variant"])
-    base = docs.select(row.alias("row"), F.col(f"`{source}`").cast("string").alias("s"), F.col(f"`{doc_id}`").alias("i"), hashed.alias("r"))
+    name = F.col(f"`{source}`").cast("string")
+    # the source, and the same without nulls, so that rows are dealt by plain keys once
+    base = docs.select(row.alias("row"), name.alias("s"), F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("k"), F.col(f"`{doc_id}`").alias("i"), hashed.alias("r"))
     counts = {r[0]: r[1] for r in base.groupBy("s").agg(F.count("*")).limit(SOURCES + 1).collect()}
     if len(counts) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
@@ -126,20 +128,21 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, source
 
     # rows before each group of a source, by way of sets of SET groups
     base = base.withColumn("g", bucket(F.col("r"), groups, 5))
-    sizes = base.groupBy("s", "g").agg(F.count("*").alias("n")).withColumn("u", F.floor(F.col("g") / SET))
-    sets = sizes.groupBy("s", "u").agg(F.sum("n").alias("n"))
-    sets = sets.select(F.col("s").alias("s2"), F.col("u").alias("u2"), (F.sum("n").over(Window.partitionBy("s").orderBy("u")) - F.col("n")).alias("b2"))
-    inside = sizes.withColumn("b", F.sum("n").over(Window.partitionBy("s", "u").orderBy("g")) - F.col("n"))
-    before = inside.join(sets, F.col("s").eqNullSafe(F.col("s2")) & (F.col("u") == F.col("u2"))).select(F.col("s").alias("s1"), F.col("g").alias("g1"), (F.col("b") + F.col("b2")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("s", "g").orderBy("r", "i"))
-    numbered = base.withColumn("n", at).join(before, F.col("s").eqNullSafe(F.col("s1")) & (F.col("g") == F.col("g1")))
-    numbered = numbered.select("row", "s", (F.col("before") + F.col("n") - 1).alias("n")).withColumn("mix_block", F.floor(F.col("n") / block).cast("long"))
+    sizes = base.groupBy("k", "g").agg(F.count("*").alias("n")).withColumn("u", F.floor(F.col("g") / SET))
+    sets = sizes.groupBy("k", "u").agg(F.sum("n").alias("n"))
+    sets = sets.select("k", "u", (F.sum("n").over(Window.partitionBy("k").orderBy("u")) - F.col("n")).alias("earlier"))
+    inside = sizes.withColumn("b", F.sum("n").over(Window.partitionBy("k", "u").orderBy("g")) - F.col("n"))
+    before = inside.join(sets, ["k", "u"]).select("k", "g", (F.col("b") + F.col("earlier")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("k", "g").orderBy("r", "i"))
+    numbered = base.withColumn("n", at).join(before, ["k", "g"])
+    numbered = numbered.select("row", "k", (F.col("before") + F.col("n") - 1).alias("n")).withColumn("mix_block", F.floor(F.col("n") / block).cast("long"))
 
     plan = phases({s: pieces(n, block) for s, n in counts.items()}, weights, period)
     table = [(s, i, p.start, p.period, p.first[s], p.first[s] + p.count[s], p.slots[s]) for i, p in enumerate(plan) for s in p.first]
     spark = docs.sparkSession
-    deal = spark.createDataFrame(table, "s3 string, mix_phase int, start long, period long, lo long, hi long, slots array<int>")
-    on = F.col("s").eqNullSafe(F.col("s3")) & (F.col("mix_block") >= F.col("lo")) & (F.col("mix_block") < F.col("hi"))
+    deal = spark.createDataFrame(table, "source string, mix_phase int, start long, period long, lo long, hi long, slots array<int>")
+    deal = deal.withColumn("k2", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    on = (F.col("k") == F.col("k2")) & (F.col("mix_block") >= F.col("lo")) & (F.col("mix_block") < F.col("hi"))
     out = numbered.join(F.broadcast(deal), on)
     k, size, i = F.col("mix_block") - F.col("lo"), F.size("slots"), F.col("period")
     out = out.withColumns(

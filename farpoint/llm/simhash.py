@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import cut, drop, fresh, maybe_in, pieces, sieve, slices
+from farpoint.llm.common import cut, drop, fresh, maybe_in, pieces, sieve, slices, text_batches
 from farpoint.llm.components import components
 from farpoint.llm.shingling import compared, rolled, shingle_hashes, word_hashes, words_of
 
@@ -151,7 +151,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", k: int = 3, others: tu
             f = np.fromiter((fingerprint(t, k) for t in b.column(b.num_columns - 1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
-    return src.mapInArrow(run, schema)
+    return text_batches(src).mapInArrow(run, schema)
 
 
 def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
@@ -344,7 +344,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 s = [np.unique((shingle_hashes(words_of(t), k) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["key", "s"])
 
-    return both.mapInArrow(run, "key binary, s binary").groupBy("key").agg(F.first("s").alias("s"))
+    return text_batches(both).mapInArrow(run, "key binary, s binary").groupBy("key").agg(F.first("s").alias("s"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def marked(docs: DataFrame) -> DataFrame:
                 keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(map(long_fingerprint, words), pa.binary())], names=["i", "h", "key", "f"])
 
-    return docs.mapInArrow(mark, docs.select("i", "h", F.lit(b"").alias("key"), F.lit(b"").alias("f")).schema)
+    return text_batches(docs).mapInArrow(mark, docs.select("i", "h", F.lit(b"").alias("key"), F.lit(b"").alias("f")).schema)
 
 
 def near_groups(docs: DataFrame, texts: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

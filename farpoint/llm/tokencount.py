@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import by_bytes
+from farpoint.llm.common import by_bytes, text_batches
 
 #: Safe boundaries: a cut before a blank, tab or line end that follows a character that is no white space.
 #: Pre-tokenizers of the byte-level kind match from left to right and look ahead only at white space, so a text's
@@ -71,4 +71,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
             yield pa.RecordBatch.from_arrays([*cols, n], names=[*names, "n_tokens"])
 
     order = [f"`{c}`" for c in keep]
-    return src.select(*order, "n_bytes", "__text").mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return text_batches(src.select(*order, "n_bytes", "__text")).mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import slices
+from farpoint.llm.common import slices, text_batches
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a worker remembers; beyond, it starts anew.
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False)
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(exact, pa.bool_())], names=[*b.schema.names[:-1], "ids", "exact"])
 
-    out = src.mapInArrow(run, schema).withColumn("n_pieces", F.size("ids").cast("long"))
+    out = text_batches(src).mapInArrow(run, schema).withColumn("n_pieces", F.size("ids").cast("long"))
     return out if check else out.drop("exact")
 
 
@@ -282,4 +282,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [model.decode([i for i in x if i is not None and 0 <= i < n]) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "text"])
 
-    return src.mapInArrow(run, schema)
+    return text_batches(src).mapInArrow(run, schema)
