@@ -6,7 +6,9 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import merge
 from itertools import groupby
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -19,7 +21,8 @@ from farpoint.llm.common import slices, text_batches
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a worker remembers; beyond, it starts anew.
 MEMORY, PAIRS = 300_000, 600_000
-UNKNOWN = -1
+#: What stands before a segment, and the arc of a character that is no piece.
+UNKNOWN, FALLBACK = -1, -2
 
 
 class Transducer:
@@ -161,53 +164,61 @@ class Transducer:
 
     # shortest paths
 
+    def arcs(self, s: str) -> Iterator[tuple[int, tuple[int, int]]]:
+        """The arcs of ``s`` composed with the transducer, by where they end: (last character, (length, piece)). A character that is no piece has one arc, FALLBACK, which puts out its bytes."""
+        pieces = self.automaton.iter(s)
+        if self.alphabet.issuperset(s):
+            return pieces
+        return merge(pieces, ((i, (1, FALLBACK)) for i, c in enumerate(s) if c not in self.alphabet), key=itemgetter(0))
+
     def consistent(self, s: str) -> list[int]:
         """The path through pieces composed with the pair acceptor: all its arcs weigh 0, so the path that exists is the shortest.
 
         What merging makes of a prefix ends in one piece, so at each position one state (position, last piece) is alive.
+        After bytes the state is that of a start.
         """
         n, pairs, follows = len(s), self.pairs.get, self.may_follow
         last: list[int | None] = [UNKNOWN] + [None] * n
         back = [0] * (n + 1)
-        for j, (k, t) in self.automaton.iter(s):
+        for j, (k, t) in self.arcs(s):
             j += 1
             if last[j] is None:
                 a = last[j - k]
-                if a is not None:
+                if t == FALLBACK:
+                    last[j], back[j] = t, j - k
+                elif a is not None:
+                    a = UNKNOWN if a == FALLBACK else a
                     ok = pairs((a + 1) << 32 | t)
                     if follows(a, t) if ok is None else ok:
                         last[j], back[j] = t, j - k
-        return self.trace(last, back)
+        return self.trace(s, last, back)
 
     def cheapest(self, s: str) -> list[int]:
-        """The path of least weight; of equals the one whose last piece is longer."""
+        """The path of least weight; of equals the one whose last piece is longer. Bytes weigh nothing: where they stand there is no other arc."""
         n, weight = len(s), self.weight
         cost = [0.0] + [math.inf] * n
         last: list[int | None] = [UNKNOWN] + [None] * n
         back = [0] * (n + 1)
-        for j, (k, t) in self.automaton.iter(s):
-            c = cost[j + 1 - k] + weight[t]
+        for j, (k, t) in self.arcs(s):
+            c = cost[j + 1 - k] + (0.0 if t == FALLBACK else weight[t])
             if c < cost[j + 1]:
                 cost[j + 1], last[j + 1], back[j + 1] = c, t, j + 1 - k
-        return self.trace(last, back)
+        return self.trace(s, last, back)
 
     def path(self, s: str) -> list[int]:
-        """The shortest path of ``s``. A character that is no piece has its bytes' arcs alone, so paths part there."""
-        best = self.consistent if self.merges else self.cheapest
-        if self.alphabet.issuperset(s):
-            return best(s)
-        out: list[int] = []
-        for known, run in groupby(s, self.alphabet.__contains__):
-            out += best("".join(run)) if known else self.bytes_of("".join(run))
-        return out
+        """The pieces of the shortest path of ``s``."""
+        return self.consistent(s) if self.merges else self.cheapest(s)
 
     def bytes_of(self, s: str) -> list[int]:
         return [self.fallback[b] for b in s.encode()] if self.byte_of else [self.unk] * len(s)
 
-    def trace(self, last: list[int | None], back: list[int]) -> list[int]:
+    def trace(self, s: str, last: list[int | None], back: list[int]) -> list[int]:
         out, j = [], len(last) - 1
         while j:
-            out.append(last[j])
+            if last[j] == FALLBACK:
+                out += self.bytes_of(s[j - 1])[::-1]
+            else:
+                out.append(last[j])
             j = back[j]
         return out[::-1]
 
