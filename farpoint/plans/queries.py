@@ -443,12 +443,12 @@ ENDS = ", ".join(f"cos(radians(lat_deg_{s})) * cos(radians(lon_deg_{s})) AS {s}_
 ALONG = ", ".join(f"sin((1 - t) * w) / sin(w) * a_{c} + sin(t * w) / sin(w) * b_{c} AS {c}" for c in "xyz")
 
 
-@query(f"""+ {PAIRS}, {scored_sql()}, best AS (SELECT idx_a, idx_b, score FROM ranked ORDER BY ranked.score DESC, idx_a, idx_b LIMIT 20), lim AS (SELECT min(score) AS lo, max(score) AS hi FROM best),
+@query(f"""+ {PAIRS}, {scored_sql()}, best AS (SELECT idx_a, idx_b, round(ranked.score, 9) AS score FROM ranked ORDER BY round(ranked.score, 9) DESC, idx_a, idx_b LIMIT 20), lim AS (SELECT min(score) AS lo, max(score) AS hi FROM best),
     e AS (SELECT idx_a, idx_b, CASE WHEN hi > lo THEN (best.score - lo) / (hi - lo) ELSE 1 END AS shade, {ENDS} FROM best JOIN pairs USING (idx_a, idx_b), lim),
     p AS (SELECT *, acos(least(1, greatest(-1, a_x * b_x + a_y * b_y + a_z * b_z))) AS w FROM e), s AS (SELECT *, range AS i, range / 59e0 AS t FROM p, range(60)), v AS (SELECT idx_a, idx_b, shade, i, {ALONG} FROM s)
     SELECT idx_a, idx_b, round(shade, 6) AS shade, CAST(i AS INTEGER) AS i, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(asin(least(1, greatest(-1, z / sqrt(x * x + y * y + z * z))))), 6) AS lat FROM v""", "craters")
 def chord_arcs(spark, sf):
-    return rounded(report.arcs(conejoin.build_pairs(view(spark, sf, "craters"))))
+    return rounded(report.arcs(scored(spark, sf)))
 
 
 # Chips.
