@@ -163,7 +163,12 @@ def test_pieces(spark):
     assert [list(r["ids"]) for r in got] == [lib.encode(t) for t in texts] and all(r["exact"] for r in got)
     back = wfst.decode(wfst.encode(docs(spark, *texts), tokenizer("piece_bpe_32k.model")), tokenizer("piece_bpe_32k.model")).orderBy("doc_id").collect()
     assert [r["text"] for r in back] == texts
-    assert wfst.encode(awkward(spark), tokenizer("piece_bpe_32k.model")).count() == 7
+    out = wfst.encode(awkward(spark), tokenizer("piece_bpe_32k.model")).collect()
+    by = {r["doc_id"]: r for r in out}
+    assert len(out) == 7 and by[1]["ids"] == by[2]["ids"] == [] and by[4]["ids"] == by[None]["ids"] == lib.encode(prose(1, 60)) and by[3]["ids"] == lib.encode(" \n\t ") and sum(r["doc_id"] == 4 for r in out) == 2
+    assert wfst.encode(awkward(spark).limit(0), tokenizer("piece_bpe_32k.model")).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, [5, None, 10**6, -1]), (2, [5, None, 10**6, -1])], "doc_id long, ids array<int>")
+    assert [r["text"] for r in wfst.decode(odd, tokenizer("piece_bpe_32k.model")).orderBy("doc_id").collect()] == ["", lib.decode([5]), lib.decode([5])] and wfst.decode(odd.limit(0), tokenizer("piece_bpe_32k.model")).count() == 0
 
 
 def test_cheapest_path():
@@ -209,7 +214,11 @@ def test_simhash(spark):
     for _ in texts:
         root = [min(root[j] for j in range(len(texts)) if bin(fp[i] ^ fp[j]).count("1") <= 3) for i in range(len(texts))]
     assert [got[i]["component_id"] for i in range(len(texts))] == root
-    assert simhash.simhash(awkward(spark)).count() == 7 and simhash.simhash(awkward(spark).limit(0)).count() == 0
+    out = simhash.simhash(awkward(spark)).collect()
+    of = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in out}
+    t = f"{brute(prose(1, 60)):016x}"
+    assert len(out) == 7 and of[1] == of[2] == of[3] == ("0" * 16, 1) and of[None] == of[4] == (t, 4) and of[5][0] == f"{brute(chr(10).join([prose(1, 60)] * 400)):016x}"
+    assert simhash.simhash(awkward(spark).limit(0)).count() == 0
 
 
 def test_links_of_short_fingerprints(spark):
@@ -283,7 +292,10 @@ def test_token_counts(spark):
     got = tokencount.token_counts(docs(spark, *texts), tokenizer("byte_bpe_50k.json")).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in got] == [len(t.encode(x, add_special_tokens=False)) for x in texts]
     assert [r["n_bytes"] for r in got] == [len(x.encode()) for x in texts] and got[0]["over_limit"]
-    assert tokencount.token_counts(awkward(spark), tokenizer("byte_bpe_50k.json")).count() == 7
+    out = tokencount.token_counts(awkward(spark), tokenizer("byte_bpe_50k.json")).collect()
+    of = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in out}
+    n = lambda x: (len(x.encode()), len(t.encode(x, add_special_tokens=False)), len(t.encode(x, add_special_tokens=False)) > 512)
+    assert len(out) == 7 and of[1] == of[2] == (0, 0, False) and of[3] == n(" \n\t ") and of[4] == of[None] == n(prose(1, 60)) and of[5] == n("\n".join([prose(1, 60)] * 400))
 
 
 def test_quality(spark):
@@ -291,7 +303,15 @@ def test_quality(spark):
     rows = quality.score(d, l).where("held_out").join(l, "doc_id").collect()
     assert len(rows) > 50 and sum(r["predicted"] == r["quality"] for r in rows) / len(rows) >= 0.95
     none = spark.createDataFrame([(1, None), (None, 1), (4, 1)], "doc_id long, quality int")
-    assert quality.score(awkward(spark), none).count() == 7
+    out = quality.score(awkward(spark), none).collect()
+    assert len(out) == 7 and {(r["score"], r["predicted"]) for r in out} == {(0.5, 1)}  # one label alone is no preference
+    both = spark.createDataFrame([(2, 0), (4, 1), (5, 0), (3, 0)], "doc_id long, quality int")
+    of = {}
+    for r in quality.score(awkward(spark), both).collect():
+        of.setdefault(r["doc_id"], set()).add((r["score"], r["predicted"]))
+    assert of[1] == of[2] == of[3] and of[4] == of[None] and all(len(v) == 1 for v in of.values())
+    kept = quality.keep_good(awkward(spark), both)
+    assert kept.columns == awkward(spark).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(k) for k, v in of.items() for _ in range(1 + (k == 4)) if next(iter(v))[1])
     assert quality.score(awkward(spark).limit(0), none.limit(0)).count() == 0
 
 
@@ -372,7 +392,11 @@ def test_paragraphs(spark):
     assert got[3]["n_runs"] > 0 and not got[3]["spans"] and got[4]["spans"] and 3 in got[4]["keepers"]
     left = {r["doc_id"]: r["text"] for r in paragraphs.remove_repeats(docs(spark, *texts)).collect()}
     assert left[0] == p and left[1] == "x" and left[2] == texts[2] and len(left[4]) < len(inside)
-    assert paragraphs.repeats(awkward(spark)).count() == 7 and paragraphs.repeats(awkward(spark).limit(0)).count() == 0
+    out = paragraphs.repeats(awkward(spark)).collect()
+    of = {r["doc_id"]: r for r in out}
+    assert len(out) == 7 and all(of[i]["n_paragraphs"] == 0 and of[i]["keepers"] == [] for i in (1, 2, 3))
+    assert of[4]["removed"] == [] and of[None]["removed"] == [0] and of[None]["keepers"] == [4] and of[5]["removed"] == list(range(400)) and of[5]["keepers"] == [4] and of[5]["n_paragraphs"] == 400
+    assert paragraphs.repeats(awkward(spark).limit(0)).count() == 0
 
 
 def wrapped(text, *widths):
