@@ -19,7 +19,9 @@ SECONDS_PER_MYR = 1e6 * 365.25 * 86_400.0
 
 @dataclass(frozen=True)
 class Settings:
-    """What steers detection, pairing, scoring and the null model; the values are the defaults users expect."""
+    """What steers detection, pairing, scoring and the null model."""
+
+    # The defaults that users expect.
 
     grid_step_deg: float = 2.0
     max_grid_points: int = 0
@@ -54,7 +56,6 @@ class Settings:
     trials: int = 2000
     seed: int = 42
     alpha: float = 0.05
-    max_images: int = 60
 
 
 DEFAULT = Settings()
