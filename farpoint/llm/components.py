@@ -1,38 +1,76 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: forests of parts of the edges, then of the edges between their roots."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import cut, drop
+from farpoint.llm.common import cut, drop, pieces
+
+#: Edges that a task takes.
+EDGES = 500_000
+
+
+def forest(a: list, b: list) -> tuple[list, list]:
+    """(nodes, roots): of the graph's nodes, each with the least one that it is linked to."""
+    names, at = np.unique(np.array([*a, *b], dtype=object), return_inverse=True)
+    up = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return names.tolist(), [names[root(x)] for x in range(len(names))]
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """(node, root) of each partition's edges."""
+    kind = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = [b for b in batches if b.num_rows]
+        if t:
+            node, root = forest(*([x for b in t for x in b.column(c).to_pylist()] for c in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(node, t[0].column(0).type), pa.array(root, t[0].column(0).type)], names=["node", "root"])
+
+    return edges.select("a", "b").mapInArrow(run, kind)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b of one type): root is the least node it is linked to.
 
-    Each round hangs a node's larger neighbours on its least one, then its smaller ones; both only lower what nodes
-    hang on, so the edges end as stars around the roots. The least neighbour is an aggregate that is summed before the
-    shuffle; the join that follows can be split where one node has many edges. Rounds grow with the logarithm of the
-    nodes. Each round's edges go to a table in the shared folder, and the driver sees one count and one checksum.
-    Edges with a null end and loops are left out; repeated edges count once.
+    Edges are dealt into parts of about EDGES; a task finds the forest of its part. Nodes that have several roots, in
+    several parts, link those: these links are the edges of the next level, of fewer nodes, until they are one part or
+    none. Levels grow with the logarithm of the nodes, and no task or group sees more than a part, or one node's roots.
+    Each level is a table in the shared folder; the driver sees counts. Edges with a null end and loops are left out;
+    repeated edges count once.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("a <> m").select("a", F.col("m").alias("b")))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        new = cut(small)
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop(e)
-        e = new
-        if now == seen:
+    levels: list[DataFrame] = []
+    while True:
+        parts = pieces(e.count(), EDGES)
+        if parts == 1:
+            named = cut(forests(e.coalesce(1)))
             break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        stars = cut(forests(e.repartition(parts, "b")))
+        per = cut(stars.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")))
+        links = cut(per.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+        levels.append(per.select("node", "root"))
+        drop(e, stars)
+        e = links
+    drop(e)
+    for below in reversed(levels):
+        above = named.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        new = cut(below.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        drop(named, below)
+        named = new
+    return named

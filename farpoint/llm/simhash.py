@@ -181,6 +181,8 @@ TABLES, BITS = 12, 28
 FAR = 32
 #: A group of variants takes about so many entries.
 ENTRIES = 20_000
+#: In a round after the first an entry is compared with the NEAR nearest of other groups that it was not compared with yet, of the OFFERED nearest in each group of variants.
+NEAR, OFFERED = 8, 32
 
 
 def long_fingerprint(words: list[bytes]) -> bytes:
@@ -261,13 +263,13 @@ def hubs_of(fp: np.ndarray, span: np.ndarray, who: np.ndarray) -> np.ndarray:
 
 
 def nearest_of(fp: np.ndarray, group: np.ndarray, span: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """Later rounds: pairs within FAR bits, for each bucket of several groups and each entry in it that is not of its largest group: with the nearest entry of the largest, and the nearest of the others."""
-    found = [np.zeros((0, 2), np.int64)]
+    """Later rounds: (entry, other, bits apart) within FAR bits, for each entry that meets another group: in each bucket the nearest of the largest group and of the others, for the entries outside the largest; of an entry's pairs the OFFERED nearest."""
     size = span[:, 1] - span[:, 0]
     two = span[size == 2, 0]
     x, y = who[two], who[two + 1]
-    near = (group[x] != group[y]) & (apart(fp[x], fp[y]) <= FAR)
-    found.append(np.stack([x, y], 1)[near])
+    d = apart(fp[x], fp[y]).astype(np.int64)
+    near = (group[x] != group[y]) & (d <= FAR)
+    found = [np.stack([p, q, d], 1)[near] for p, q in ((x, y), (y, x))]
     for a, b in span[size > 2]:
         w = who[a:b]
         names, g, many = np.unique(group[w], return_inverse=True, return_counts=True)
@@ -280,16 +282,19 @@ def nearest_of(fp: np.ndarray, group: np.ndarray, span: np.ndarray, who: np.ndar
             d = apart(fp[w[f]][:, None, :], fp[w][None, :, :]).astype(np.int64)
             d[g[f][:, None] == g[None, :]] = 1 << 20
             for barred in (~large, large):
-                x = np.where(barred[None, :], 1 << 20, d)
-                at = x.argmin(1)
-                ok = x[np.arange(len(f)), at] <= FAR
-                found.append(np.stack([w[f][ok], w[at[ok]]], 1))
-    p = np.sort(np.concatenate(found), axis=1)
-    return np.unique(p, axis=0)
+                z = np.where(barred[None, :], 1 << 20, d)
+                at = z.argmin(1)
+                least = z[np.arange(len(f)), at]
+                ok = least <= FAR
+                found.append(np.stack([w[f][ok], w[at[ok]], least[ok]], 1))
+    p = np.unique(np.concatenate(found), axis=0)
+    p = p[np.lexsort((p[:, 1], p[:, 2], p[:, 0]))]
+    start = np.flatnonzero(np.concatenate([[True], p[1:, 0] != p[:-1, 0]])) if len(p) else np.zeros(0, np.int64)
+    return p[np.arange(len(p)) - np.repeat(start, np.diff([*start, len(p)])) < OFFERED]
 
 
 def met(entries: DataFrame, count: int, first: bool) -> DataFrame:
-    """Pairs a, b (keys) of ``entries`` (key, f, and group in later rounds) that meet in a variant: with w, the hub b's weight, in the first round.
+    """Pairs a, b (keys) of ``entries`` (key, f, and group in later rounds) that meet in a variant, and w: in the first round the hub b's weight, later the bits that they are apart.
 
     Variants that agree in the first bits of a table go to one task. An entry goes there once with all its variants,
     and once for each of these bits to where flipping it leads.
@@ -323,10 +328,10 @@ def met(entries: DataFrame, count: int, first: bool) -> DataFrame:
         fp = fps.view(np.uint64)
         got = hubs_of(fp, span, who) if first else nearest_of(fp, group, span, who)
         columns = {name: pa.array([key[i].tobytes() for i in got[:, c]], pa.binary()) for c, name in enumerate("ab")}
-        return pa.table(columns | {"w": pa.array(got[:, 2], pa.int64())} if first else columns)
+        return pa.table(columns | {"w": pa.array(got[:, 2], pa.int64())})
 
     dealt = entries.select("key", "f", F.lit(0).cast("long").alias("group") if first else "group").mapInArrow(out, "t int, g int, p binary")
-    return dealt.repartition(pieces(TABLES << prefix, 4), "t", "g").groupBy("t", "g").applyInArrow(back, "a binary, b binary" + ", w long" * first)
+    return dealt.repartition(pieces(TABLES << prefix, 4), "t", "g").groupBy("t", "g").applyInArrow(back, "a binary, b binary, w long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -365,9 +370,10 @@ def near_groups(docs: DataFrame, texts: DataFrame, k: int = 5, similarity: float
 
     Texts are linked if the Jaccard similarity of their sets of k-word shingles is at least ``similarity``; groups are
     the components of the links. Candidates come from the ball hashing of TABLES parts of the fingerprint: texts meet
-    if in one of them at most 2 bits differ. First each text is compared with one hub. Then, round by round, in each
-    bucket where several groups meet each text outside the largest one is compared with the nearest of another group,
-    until a round finds no new link. No pair is compared twice, and no bucket has a limit.
+    if in one of them at most 2 bits differ. First each text is compared with one hub. Then, round by round, each text
+    that meets other groups, but for those of a bucket's largest group, is compared with the nearest NEAR of them, until
+    a round finds no new link. No pair is compared twice, so rounds go on to farther ones while there are links; a text
+    linked to none of its nearest in the last round may have a link that is farther, in families of very many variants.
 
     A pair of similarity 0.8 meets with probability 0.91 if one text is the other with a fifth more at its end, and
     0.99 if single words are changed; of 0.9 with 0.99 and more. Copies of one source meet in groups, where one link of
@@ -386,7 +392,9 @@ def near_groups(docs: DataFrame, texts: DataFrame, k: int = 5, similarity: float
     while True:
         roots = components(links)
         named = open_.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "f", F.xxhash64(F.coalesce("root", "key")).alias("group"))
-        pairs = cut(met(named, count, False).distinct().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        offered = met(named, count, False).select(F.col("a").alias("x"), "w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
+        chosen = offered.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("w", "a", "b"))), 1, NEAR).alias("p")).select(F.explode("p").alias("p"))
+        pairs = cut(chosen.select("p.a", "p.b").distinct())
         more = cut(compared(pairs, sets, np.uint32).where(F.col("d") <= far).select("a", "b"))
         if more.isEmpty():
             drop(open_, sets, pairs, more, tried)
