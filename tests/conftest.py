@@ -13,7 +13,7 @@ def spark():
 
     top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", top).config("spark.checkpoint.dir", f"{top}/checkpoints").config("spark.driver.memory", "4g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
