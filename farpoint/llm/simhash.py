@@ -181,8 +181,8 @@ TABLES, BITS = 12, 28
 FAR = 32
 #: A group of variants takes about so many entries.
 ENTRIES = 20_000
-#: In a round after the first an entry is compared with the NEAR nearest of other groups that it was not compared with yet, of the OFFERED nearest in each group of variants.
-NEAR, OFFERED = 8, 32
+#: In the second round an entry is compared with its NEAR nearest of other groups, in each later one with twice as many, of the OFFERED nearest in each group of variants.
+NEAR, OFFERED = 8, 64
 
 
 def long_fingerprint(words: list[bytes]) -> bytes:
@@ -371,9 +371,9 @@ def near_groups(docs: DataFrame, texts: DataFrame, k: int = 5, similarity: float
     Texts are linked if the Jaccard similarity of their sets of k-word shingles is at least ``similarity``; groups are
     the components of the links. Candidates come from the ball hashing of TABLES parts of the fingerprint: texts meet
     if in one of them at most 2 bits differ. First each text is compared with one hub. Then, round by round, each text
-    that meets other groups, but for those of a bucket's largest group, is compared with the nearest NEAR of them, until
-    a round finds no new link. No pair is compared twice, so rounds go on to farther ones while there are links; a text
-    linked to none of its nearest in the last round may have a link that is farther, in families of very many variants.
+    that meets other groups, but for those of a bucket's largest group, is compared with the nearest of them, first NEAR
+    and then twice as many in each round, until a round finds no new link. No pair is compared twice. A text linked to
+    none of its nearest in the last round may have a link that is farther, in families of very many variants.
 
     A pair of similarity 0.8 meets with probability 0.91 if one text is the other with a fifth more at its end, and
     0.99 if single words are changed; of 0.9 with 0.99 and more. Copies of one source meet in groups, where one link of
@@ -388,13 +388,15 @@ def near_groups(docs: DataFrame, texts: DataFrame, k: int = 5, similarity: float
     tried = cut(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     drop(hubs)
     links = cut(compared(tried, sets, np.uint32).where(F.col("d") <= far).select("a", "b"))
-    count = open_.count()
+    count, near = open_.count(), NEAR
     while True:
         roots = components(links)
         named = open_.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "f", F.xxhash64(F.coalesce("root", "key")).alias("group"))
-        offered = met(named, count, False).select(F.col("a").alias("x"), "w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-        chosen = offered.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("w", "a", "b"))), 1, NEAR).alias("p")).select(F.explode("p").alias("p"))
-        pairs = cut(chosen.select("p.a", "p.b").distinct())
+        # each text's nearest ones first, of which those of earlier rounds go
+        offered = met(named, count, False).select(F.col("a").alias("x"), F.struct("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("p"))
+        chosen = offered.groupBy("x").agg(F.slice(F.array_sort(F.collect_set("p")), 1, near).alias("p")).select(F.explode("p").alias("p"))
+        pairs = cut(chosen.select("p.a", "p.b").distinct().join(tried, ["a", "b"], "left_anti"))
+        near *= 2
         more = cut(compared(pairs, sets, np.uint32).where(F.col("d") <= far).select("a", "b"))
         if more.isEmpty():
             drop(open_, sets, pairs, more, tried)
