@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import ann, html, linededup, mixing, paragraphs, quality, sharding, simhash, spelling, tokencount, topk, wfst
+from farpoint.llm import ann, html, lexical, linededup, mixing, paragraphs, quality, sharding, simhash, spelling, tokencount, topk, wfst
+from farpoint.llm.common import drop
 
 
 def tokenizer(name: str) -> str:
@@ -71,13 +72,20 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), slips=spelling.SLIPS)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.index(table(spark, sf_dir, "documents"))
+    out = lexical.search(found, lexical.asked(table(spark, sf_dir, "benchmark")))
+    drop(found)
+    return out
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_ann, op3_mixing, op4_wfst, op5_linededup, op6_simhash, op7_tokencount, op8_quality, op9_html, op10_paragraphs, op11_spelling, op13_sharding)}
+    return {f.__name__: f for f in (op1_topk, op2_ann, op3_mixing, op4_wfst, op5_linededup, op6_simhash, op7_tokencount, op8_quality, op9_html, op10_paragraphs, op11_spelling, op12_lexical, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.top_k_sql(), "op5_linededup": linededup.dedup_lines_sql(), "op11_spelling": spelling.variants_sql(), "op13_sharding": sharding.shards_sql()}
+    return {"op1_topk": topk.top_k_sql(), "op5_linededup": linededup.dedup_lines_sql(), "op11_spelling": spelling.variants_sql(), "op12_lexical": lexical.search_sql(), "op13_sharding": sharding.shards_sql()}
