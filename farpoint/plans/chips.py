@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from farpoint.config import DEFAULT, Settings
 from farpoint.functions import geo, raster
-from farpoint.sources import imagery, survey
+from farpoint.sources import imagery, service, survey
 from farpoint.sources.files import CRATERS, METADATA, exists
 from farpoint.streaming import monitor
 
@@ -29,7 +29,7 @@ def remaining(manifest: DataFrame, out: str) -> DataFrame:
     return monitor.missing_chips(manifest, done)
 
 
-def process(manifest: DataFrame, transport: survey.Transport, out: str, settings: Settings = DEFAULT, layers: tuple[str, str] = (IMAGES, HEIGHTS), per_second: float = 2.0, terrain_px: int = 64) -> tuple[DataFrame, DataFrame]:
+def process(manifest: DataFrame, transport: service.Transport, out: str, settings: Settings = DEFAULT, layers: tuple[str, str] = (IMAGES, HEIGHTS), per_second: float = 2.0, terrain_px: int = 64) -> tuple[DataFrame, DataFrame]:
     """Works off what ``remaining`` says and appends to the tables ``out``/craters and ``out``/chips; returns both, whole.
 
     A chip's status is ok, invalid_bbox (its box crosses a pole or the date line), chip_download_failed, blank_chip or
@@ -42,13 +42,14 @@ def process(manifest: DataFrame, transport: survey.Transport, out: str, settings
     todo = todo.withColumns({"mpp_x": mpp[0], "mpp_y": mpp[1]}).withColumn("mpp", (F.col("mpp_x") + F.col("mpp_y")) / 2.0)
     ask = lambda layer, kind, n: F.struct(F.lit(kind).alias("kind"), imagery.map_request(layer, F.col("bbox"), n, n, kind).alias("params"))
     asked = todo.withColumn("ask", F.explode(F.array(ask(layers[0], imagery.IMAGE, px), ask(layers[1], imagery.TERRAIN, terrain_px)))).select(*todo.columns, "ask.*")
-    got = imagery.fetched(asked, transport, f"{out}/answers", per_second).drop("params")
+    got = service.fetched(asked, transport, f"{out}/answers", per_second).drop("params")
     images, heights = got.where(F.col("kind") == imagery.IMAGE), got.where(F.col("kind") == imagery.TERRAIN)
     seen = raster.inspected(imagery.decoded(images, imagery.IMAGE).withColumnRenamed("manifest_index", "chip_id"), settings)
     ground = raster.terrain(imagery.decoded(heights, imagery.TERRAIN), "manifest_index")
 
     status = F.when(F.col("bbox").isNull(), "invalid_bbox").when(F.col("pixels").isNull(), "chip_download_failed").otherwise(F.col("found.status"))
-    done = seen.join(ground.withColumnRenamed("manifest_index", "chip_id"), "chip_id", "left").withColumn("status", status)
+    seen = seen.withColumn("status", status).drop("pixels")  # no pixels in the shuffle of the join
+    done = seen.join(ground.withColumnRenamed("manifest_index", "chip_id"), "chip_id", "left")
     done.select(
         F.col("chip_id").cast("int").alias("chip_index"), "product_id", "center_lon", "center_lat", "bbox", "mpp_x", "mpp_y", F.col("mpp").alias("mpp_mean"), F.lit(px).alias("chip_size_px"), F.lit(settings.chip_span_m).alias("chip_span_m"),
         F.coalesce(F.size("found.rows"), F.lit(0)).alias("n_craters"), F.col("found.threshold").alias("threshold"), "terrain_mean_m", "terrain_std_m", "terrain_slope_proxy", "status", F.current_timestamp().alias("written"), F.col("found.rows").alias("rows"),

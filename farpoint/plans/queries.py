@@ -16,6 +16,7 @@ from farpoint.functions import geo, raster, score, stats, velocity
 from farpoint.operators import catalog, conejoin, matching, nullmodel, rescore, significance
 from farpoint.plans import chips as chips_plan
 from farpoint.plans import pipeline, report
+from farpoint.sources import records, survey
 from farpoint.streaming import monitor
 
 # Views: name to (table, its columns as SQL that both engines read).
@@ -35,6 +36,10 @@ VIEWS = {
         concat('M', CAST(o_orderkey % 4001 AS VARCHAR(20)), CASE WHEN o_orderkey % 2 = 0 THEN 'LE' ELSE 'LC' END) AS product_id,
         5e-1 + CAST((o_orderkey * 37) % 200 AS DOUBLE) / 1e2 AS resolution_mpp,
         CAST((o_orderkey * 7919) % 36000 AS DOUBLE) / 1e2 - 180e0 AS center_lon, CAST((o_orderkey * 104729) % 17000 AS DOUBLE) / 1e2 - 85e0 AS center_lat"""),
+    "observed": ("orders", """
+        CAST(floor(o_orderkey / 20e0) AS BIGINT) AS point, concat('M', CAST(o_orderkey AS VARCHAR(20))) AS product_id, 5e-1 + CAST((o_orderkey * 37) % 200 AS DOUBLE) / 1e2 AS resolution,
+        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST((o_orderkey * 7919) % 36000 AS DOUBLE) / 1e2 - 180e0 END AS lon, CAST((o_orderkey * 104729) % 17000 AS DOUBLE) / 1e2 - 85e0 AS lat,
+        CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST((o_orderkey * 31) % 900 AS DOUBLE) / 1e1 END AS incidence"""),
     "null_scores": ("orders", "CAST(o_orderkey AS BIGINT) AS trial, CAST((o_orderkey * 7919) % 10007 AS DOUBLE) / 10007e0 AS score"),
     "graph": ("orders", "CAST(o_orderkey AS BIGINT) AS pair_id, CAST(o_custkey % 997 AS BIGINT) AS idx_a, CAST(1000 + (o_orderkey * 31) % 991 AS BIGINT) AS idx_b, CAST((o_orderkey * 7919) % 100003 AS DOUBLE) / 100003e0 AS score"),
     "status": ("events", """CAST(event_id AS INT) AS chip_index, CASE event_id % 7 WHEN 0 THEN 'no_data' WHEN 1 THEN 'blank_chip' WHEN 2 THEN 'noise_floor' WHEN 3 THEN NULL WHEN 4 THEN 'error' ELSE 'ok' END AS status,
@@ -187,6 +192,17 @@ def manifest_stratified(spark, sf):
     return catalog.numbered(catalog.stratified(catalog.best_products(view(spark, sf, "products")), 400)).select("product_id", "resolution_mpp", "manifest_index")
 
 
+@query("SELECT product_id, round(resolution, 6) AS resolution_mpp, round(coalesce(lon, CAST(point % 360 AS DOUBLE) - 180e0), 6) AS center_lon, round(lat, 6) AS center_lat, incidence AS incidence_angle_deg FROM observed WHERE point % 7 <> 0 AND point % 11 <> 0 AND resolution <= 2e0", "observed")
+def survey_records(spark, sf):
+    """Product rows read back from answers of up to 20 records each: every seventh answer is malformed, every eleventh an exception, records without a longitude lie at their grid point."""
+    seen = view(spark, sf, "observed")
+    text = records.record_text({"product_id": F.concat(F.lit("' "), "product_id", F.lit(" '")), "resolution": F.col("resolution"), "center_longitude": F.col("lon"), "center_latitude": F.col("lat"), "incidence_angle": F.col("incidence")})
+    body = F.concat(F.lit("other: ~\nnac:\n"), F.array_join(F.collect_list(text), ""), F.when(F.col("point") % 7 == 0, " broken: [\n").otherwise(F.lit("")))
+    body = F.when(F.col("point") % 11 == 0, F.lit("<ServiceExceptionReport/>")).otherwise(body)
+    answers = seen.groupBy("point").agg(body.cast("binary").alias("body")).select(((F.col("point") % 360).cast("double") - 180.0).alias("lon"), F.lit(0.0).alias("lat"), "body")
+    return rounded(catalog.clean_products(survey.products(answers, "nac")).select("product_id", "resolution_mpp", "center_lon", "center_lat", "incidence_angle_deg"))
+
+
 @query("SELECT product_id, resolution_mpp, center_lon, center_lat FROM products WHERE center_lon >= 150 OR center_lon < -160", "products")
 def lon_in_range(spark, sf):
     return catalog.in_lon_range(view(spark, sf, "products"), 150.0, 200.0)
@@ -311,8 +327,9 @@ def null_chunk_bounds(spark, sf):
 
 
 def up_to(df: DataFrame, column: str, more: int, name: str) -> DataFrame:
-    """Whole numbers from 0 to ``more`` beyond the largest of a column."""
-    return df.agg(F.max(column).cast("long").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + more)).alias(name))
+    """Whole numbers from 0 to ``more`` beyond the largest of a column, over as many tasks as a range takes."""
+    most = df.agg(F.max(column).cast("long")).first()[0]
+    return df.sparkSession.range(0 if most is None else most + more + 1).withColumnRenamed("id", name)
 
 
 @query("SELECT trial FROM (SELECT unnest(range((SELECT max(trial) + 1001 FROM null_scores))) AS trial) WHERE trial NOT IN (SELECT trial FROM null_scores)", "null_scores")

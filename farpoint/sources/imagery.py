@@ -1,20 +1,17 @@
-"""Images and terrain of a map service: requests, kept answers, and their pixels."""
+"""Images and terrain of a map service: requests and pixels."""
 
 from __future__ import annotations
 
-import json
 import struct
-import time
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.sources.files import exists
-from farpoint.sources.survey import Transport, is_exception, request_key, requested
+from farpoint.sources.survey import is_exception
 
 #: Fixed values of the service's protocol.
 MAP = {"SERVICE": "WMS", "VERSION": "1.1.1", "REQUEST": "GetMap", "SRS": "EPSG:4326", "STYLES": "", "TRANSPARENT": "TRUE"}
@@ -28,39 +25,6 @@ def map_request(layer: str, box: Column, width: int, height: int, kind: str) ->
     return F.when(box.isNotNull(), F.to_json(F.struct(*[own[k].alias(k) for k in sorted(own)])))
 
 
-def fetched(requests: DataFrame, transport: Transport, store: str, per_second: float = 2.0, partitions: int = 8) -> DataFrame:
-    """``requests`` (with params, JSON) and body: what the service answers, null where all tries failed.
-
-    Answers are kept in the table at ``store`` under the request's key; what is there is not asked for again, in this
-    run or a later one. Equal requests are made once. Failed ones are not kept. The rate holds for the whole job: each
-    partition waits ``partitions`` times as long between its requests.
-    """
-    spark = requests.sparkSession
-    key = F.udf(lambda p: request_key(json.loads(p)) if p is not None else None, "string")
-    keyed = requests.withColumn("__key", key("params"))
-    kind = "key string, body binary"
-    have = lambda: spark.read.schema(kind).parquet(store) if exists(spark, f"{store}/*.parquet") else spark.createDataFrame([], kind)
-    lacking = keyed.where(F.col("__key").isNotNull()).select(F.col("__key").alias("key"), "params").dropDuplicates(["key"]).join(have(), "key", "left_anti")
-    gap = partitions / per_second if per_second > 0 else 0.0
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for k, params in zip(f["key"], f["params"], strict=True):
-                began = time.monotonic()
-                try:
-                    out.append((k, requested(transport, json.loads(params))))
-                except Exception:  # kept out: the next run asks again
-                    continue
-                finally:
-                    time.sleep(max(0.0, gap - (time.monotonic() - began)))
-            yield pd.DataFrame(out, columns=["key", "body"])
-
-    lacking.repartition(partitions).mapInPandas(run, kind).write.mode("append").parquet(store)
-    # two tasks of one stage may both have asked
-    return keyed.join(have().groupBy("key").agg(F.first("body").alias("body")), F.col("__key") == F.col("key"), "left").drop("__key", "key")
-
-
 def png_pixels(data: bytes) -> np.ndarray:
     """Rows x columns from 0 to 1 of a PNG of 8 bits: grey as it is, colours as their luminance; alpha is left out."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -131,23 +95,48 @@ def tiff_pixels(data: bytes) -> np.ndarray:
     return np.frombuffer(flat, f"{order}f4").reshape(tags[257][0], tags[256][0]).astype(float)
 
 
+def shape_and_pixels(body: bytes | None, kind: str) -> tuple:
+    """(h, w, pixels in row order) of an image, or of heights; three times None for what is none."""
+    try:
+        x = (png_pixels if kind in (IMAGE, "images") else tiff_pixels)(body) if body is not None else None
+    except (ValueError, KeyError, TypeError, struct.error, zlib.error):
+        x = None
+    return (None, None, None) if x is None else (*x.shape, x.ravel().astype(np.float32))
+
+
+def pixel_lists(pixels: list[np.ndarray | None]) -> pa.Array:
+    """Lists of floats from arrays, without a Python number for each pixel."""
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in pixels)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.float32), *(x for x in pixels if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in pixels], pa.bool_()))
+
+
+def pixel_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """(id, h, w, pixels) as a batch."""
+    ids, h, w, px = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(h, pa.int32()), pa.array(w, pa.int32()), pixel_lists(px)], names=["id", "h", "w", "pixels"])
+
+
+#: Bytes of pixels in a batch, about.
+BATCH_BYTES = 32 << 20
+
+
 def decoded(answers: DataFrame, kind: str, body: str = "body", out: str = "pixels") -> DataFrame:
-    """``answers`` with h, w and the pixels in row order instead of the body; null where there is none, for exceptions, and for what is no image."""
+    """``answers`` with h, w and the pixels (floats) in row order instead of the body; null where there is none, for exceptions, and for what is no image. Batches are bounded by the bytes that they decode to."""
     keep = [c for c in answers.columns if c not in (body, "h", "w", out)]
-    src = answers.select(*[f"`{c}`" for c in keep], F.when(~is_exception(F.col(body)), F.col(body)).alias("__b"))
-    read = png_pixels if kind == IMAGE else tiff_pixels
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = []
-            for b in f.pop("__b"):
-                try:
-                    x = read(bytes(b)) if b is not None else None
-                except (ValueError, KeyError, TypeError, struct.error, zlib.error):
-                    x = None
-                made.append((None, None, None) if x is None else (*x.shape, x.ravel()))
-            f["h"], f["w"], f[out] = (pd.Series([m[k] for m in made], index=f.index, dtype=object) for k in range(3))
-            yield f
-
-    schema = src.select(*[f"`{c}`" for c in keep], F.lit(None).cast("int").alias("h"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("array<double>").alias(out)).schema
-    return src.mapInPandas(run, schema)
+    src = answers.select(*[f"`{c}`" for c in keep], F.when(~is_exception(F.col(body)), F.col(body)).alias(body))
+    schema = src.select(*[f"`{c}`" for c in keep], F.lit(None).cast("int").alias("h"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("array<float>").alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            begin, made, size = 0, [], 0
+            for k in range(b.num_rows):
+                made.append(shape_and_pixels(b.column(len(keep))[k].as_py(), kind))
+                size += 0 if made[-1][2] is None else made[-1][2].nbytes
+                if size >= BATCH_BYTES or k == b.num_rows - 1:
+                    h, w, px = zip(*made, strict=True)
+                    own = [b.column(i).slice(begin, len(made)) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(h, pa.int32()), pa.array(w, pa.int32()), pixel_lists(px)], names=[*keep, "h", "w", out])
+                    begin, made, size = k + 1, [], 0
+
+    return src.mapInArrow(run, schema)

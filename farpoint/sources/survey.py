@@ -1,88 +1,56 @@
-"""A survey's map service as a source: products around grid points, through any transport."""
+"""A survey's map service as a source of products around grid points."""
 
 from __future__ import annotations
 
-import hashlib
-import time
-from collections.abc import Callable, Iterator
-from urllib.parse import urlencode
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farpoint.config import DEFAULT
 from farpoint.functions import geo
+from farpoint.sources import records
+from farpoint.sources.service import Transport, fetched
 
-#: Fixed values of the service: the marker of an exception answer, and where it stands.
+# Fixed values of the service: the marker of an exception answer and where it stands, and a request for records.
 MARKER, WITHIN = "ServiceExceptionReport", 1500
-TRIES, FIRST_WAIT = 4, 0.6
-PRODUCT = "product_id string, resolution_mpp string, center_lon string, center_lat string, incidence_angle_deg string, emission_angle_deg string, phase_angle_deg string"
+INFO = {
+    "SERVICE": "WMS", "VERSION": "1.1.1", "REQUEST": "GetFeatureInfo", "SRS": "EPSG:4326", "WIDTH": "512", "HEIGHT": "512",
+    "STYLES": "", "FORMAT": "image/png", "X": "256", "Y": "256", "INFO_FORMAT": "text/yaml",
+}
 
-#: Gives the answer's bytes for a request's parameters, or raises.
-Transport = Callable[[dict], bytes]
 
+def is_exception(body: Column) -> Column:
+    return F.decode(F.substring(body, 1, WITHIN), "ISO-8859-1").contains(MARKER)  # any bytes can be read so
 
-def request_key(params: dict) -> str:
-    """The name under which an answer is kept."""
-    return hashlib.sha1(urlencode(sorted(params.items())).encode()).hexdigest()
 
+def search_radius(step: float) -> float:
+    """Degrees around a grid point that a request covers: neighbours overlap."""
+    return max(0.6 * step, 0.15)
 
-def is_exception(body: Column) -> Column:
-    return F.decode(F.substring(body, 1, WITHIN), "ISO-8859-1").contains(MARKER)  # any bytes can be read so
 
+def info_request(layer: str, lon: Column, lat: Column, radius_deg: float, feature_count: int = DEFAULT.feature_count) -> Column:
+    """The parameters, as JSON, of a request for the records around a point; null where its box crosses the date line.
 
-def requested(transport: Transport, params: dict, wait: Callable[[float], None] = time.sleep) -> bytes:
-    """The answer, after waits that double between tries; the last error if all fail."""
-    for n in range(TRIES):
-        try:
-            return transport(params)
-        except Exception:
-            if n == TRIES - 1:
-                raise
-            wait(FIRST_WAIT * 2**n)
-    raise AssertionError
+    Bounds in longitude are wrapped; latitudes beyond a pole are asked for as they are, as the service takes them.
+    """
+    west, east = geo.normalize_lon(lon - radius_deg), geo.normalize_lon(lon + radius_deg)
+    bounds = F.concat_ws(",", *[x.cast("string") for x in (west, lat - radius_deg, east, lat + radius_deg)])
+    own = {k: F.lit(v) for k, v in INFO.items()} | {"BBOX": bounds, "LAYERS": F.lit(layer), "QUERY_LAYERS": F.lit(layer), "FEATURE_COUNT": F.lit(str(feature_count))}
+    return F.when((west <= east) & lat.isNotNull(), F.to_json(F.struct(*[own[k].alias(k) for k in sorted(own)])))
 
 
-def answers(points: DataFrame, transport: Transport, per_second: float = 2.0, partitions: int = 8, radius_deg: float = 0.05, feature_count: int = 40) -> DataFrame:
-    """(lon, lat, key, body) for the points whose box crosses neither pole nor date line; body is null where all tries failed.
+def answers(points: DataFrame, transport: Transport, store: str, layer: str, radius_deg: float = 0.15, feature_count: int = DEFAULT.feature_count, per_second: float = 2.0, partitions: int = 8) -> DataFrame:
+    """(lon, lat, body) for ``points``: what the service answers around them, kept at ``store`` as ``service.fetched`` keeps it.
 
-    The rate holds for the whole job: each partition waits ``partitions`` times as long between its requests.
+    body is null for points whose box crosses the date line, which are not asked for, and where all tries failed.
     """
-    gap = partitions / per_second if per_second > 0 else 0.0
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for p in f.itertuples():
-                began = time.monotonic()
-                params = {"bbox": f"{p.lon - radius_deg},{p.lat - radius_deg},{p.lon + radius_deg},{p.lat + radius_deg}", "feature_count": feature_count}
-                try:
-                    body = requested(transport, params)
-                except Exception:
-                    body = None
-                out.append((p.lon, p.lat, request_key(params), body))
-                time.sleep(max(0.0, gap - (time.monotonic() - began)))
-            yield pd.DataFrame(out, columns=["lon", "lat", "key", "body"])
-
-    inside = points.where((F.col("lon") - radius_deg >= -180) & (F.col("lon") + radius_deg <= 180))
-    return inside.select("lon", "lat").repartition(partitions).mapInPandas(run, "lon double, lat double, key string, body binary")
-
-
-def products(got: DataFrame, parse: Callable[[bytes], list[dict]]) -> DataFrame:
-    """Raw product rows of the answers that are no exceptions; ``parse`` gives an answer's features as dicts. Answers that can't be parsed give none."""
-    names = [c.split()[0] for c in PRODUCT.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for body in f["body"]:
-                try:
-                    rows += [[None if x.get(n) is None else str(x[n]) for n in names] for x in parse(bytes(body))]
-                except (ValueError, TypeError, AttributeError):
-                    continue
-            yield pd.DataFrame(rows, columns=names)
-
-    return got.where(F.col("body").isNotNull() & ~is_exception(F.col("body"))).select("body").mapInPandas(run, PRODUCT)
+    asked = points.select("lon", "lat", info_request(layer, F.col("lon"), F.col("lat"), radius_deg, feature_count).alias("params"))
+    return fetched(asked, transport, store, per_second, partitions).drop("params")
+
+
+def products(got: DataFrame, layer: str) -> DataFrame:
+    """Raw product rows of the ``answers`` that are no exceptions; a place that a record lacks is its grid point's."""
+    raw = records.records(got.where(~is_exception(F.col("body"))), layer)
+    return raw.withColumns({c: F.when(F.expr(f"try_cast({c} AS DOUBLE)").isNotNull(), F.col(c)).otherwise(F.col(p).cast("string")) for c, p in (("center_lon", "lon"), ("center_lat", "lat"))}).drop("lon", "lat")
 
 
 def chip_boxes(manifest: DataFrame, span_m: float) -> DataFrame:

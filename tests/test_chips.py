@@ -76,9 +76,9 @@ def test_chain(spark, tmp_path):
     rows = [(0, "M0", 10.0, 5.0), (1, "M1", 50.0, 5.0), (2, "M2", 80.0, 5.0), (3, "M3", 10.0, 90.0), (4, "M4", None, None)]
     manifest = spark.createDataFrame(rows, "manifest_index int, product_id string, center_lon double, center_lat double")
     out = str(tmp_path / "out")
-    from farpoint.sources import survey
+    from farpoint.sources import service
 
-    wait, survey.TRIES = survey.TRIES, 1
+    wait, service.TRIES = service.TRIES, 1
     try:
         craters, seen = chips.process(manifest, transport, out, s, per_second=0)
         states = {r["chip_index"]: r for r in seen.collect()}
@@ -97,22 +97,7 @@ def test_chain(spark, tmp_path):
         assert len(os.listdir(log)) == asked + 2  # the image and the heights of the chip that failed
         assert chips.remaining(manifest, out).count() == 0
     finally:
-        survey.TRIES = wait
-
-
-def test_equal_requests_are_made_once(spark, tmp_path):
-    log = tmp_path / "asked"
-    log.mkdir()
-
-    def transport(params):
-        (log / f"{os.getpid()}-{len(os.listdir(log))}").touch()
-        return params["a"].encode()
-
-    asked = spark.createDataFrame([(i, json.dumps({"a": str(i % 2)})) for i in range(6)] + [(9, None)], "i long, params string")
-    for _ in range(2):
-        got = {r["i"]: r["body"] for r in imagery.fetched(asked, transport, str(tmp_path / "store"), per_second=0, partitions=1).collect()}
-        assert got == {**{i: str(i % 2).encode() for i in range(6)}, 9: None}
-    assert len(os.listdir(log)) == 2
+        service.TRIES = wait
 
 
 def test_lookup(spark):

@@ -319,16 +319,3 @@ def test_report_tables(spark):
     assert len({r["idx"] for r in stats.hashed_sample(rows, 2).collect()}) == 2 and stats.hashed_sample(rows, 2).collect() == stats.hashed_sample(rows.orderBy(F.desc("idx")), 2).collect()
     strength = [r[0] for r in spark.createDataFrame([(6.0,), (3.0,)], "s double").select(score.relative_strength(F.col("s"), F.lit(3.0))).collect()]
     assert strength == pytest.approx([2.0, 1.0])
-
-
-def test_survey(spark):
-    def transport(params):
-        if params["bbox"].startswith("-0.05"):
-            raise OSError("down")
-        return b"ServiceExceptionReport" if params["bbox"].startswith("9.95") else b'[{"product_id": " M1 ", "resolution_mpp": "1.5", "center_lon": "190", "center_lat": "x"}, {"product_id": "M2", "resolution_mpp": 1.0, "center_lon": 190, "center_lat": 3}]'
-
-    points = spark.createDataFrame([(0.0, 0.0), (10.0, 0.0), (20.0, 0.0), (180.0, 0.0)], "lon double, lat double")
-    got = survey.answers(points, transport, per_second=0, partitions=2)
-    assert got.count() == 3
-    rows = catalog.clean_products(survey.products(got, json.loads)).collect()
-    assert [(r["product_id"], r["center_lon"]) for r in rows] == [("M2", -170.0)]
