@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from farpoint.config import ANOMALOUS, AREA_KM2, FLUX_G_S, KAPPA, SECONDS_PER_MYR
-from farpoint.operators.ranks import running
+from farpoint.operators.ranks import percentiles, running
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -34,7 +34,9 @@ def latitude_density(df: DataFrame, column: str = "lat_deg", size: float = 10.0)
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: n, mean, sample deviation, least, exact quartiles, most."""
     each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e")).select("e.*").where("v is not null")
-    return each.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), *[F.percentile("v", q).alias(n) for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))], F.max("v").alias("max"))
+    quartiles = percentiles(each, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ("column",))
+    per = each.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return per.join(F.broadcast(quartiles), "column", "left").select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")  # a row for each column
 
 
 def mean_ranks(df: DataFrame, column: str, out: str) -> DataFrame:

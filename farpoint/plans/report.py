@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from farpoint.config import RADIUS_M, V_ESCAPE
 from farpoint.functions import geo, score, stats, velocity
+from farpoint.operators.ranks import percentiles
 
 
 def arcs(pairs: DataFrame, top: int = 20, points: int = 60) -> DataFrame:
@@ -42,7 +43,7 @@ def projected(craters: DataFrame, lon: Column, lat: Column) -> DataFrame:
 
 def score_histogram(pairs: DataFrame, bins: int = 50) -> DataFrame:
     """(bin, lo, hi, n, density, p95, best) of the scores between 0 and 1."""
-    ends = pairs.agg(F.percentile("score", 0.95).alias("p95"), F.max("score").alias("best"), F.count("score").alias("__all"))
+    ends = pairs.agg(F.max("score").alias("best"), F.count("score").alias("__all")).crossJoin(F.broadcast(percentiles(pairs, "score", {"p95": 0.95})))
     return stats.histogram(pairs, "score", 0.0, 1.0, bins).crossJoin(F.broadcast(ends)).withColumn("density", F.try_divide(F.col("n"), F.col("__all") * (F.col("hi") - F.col("lo")))).drop("__all")
 
 
@@ -60,7 +61,7 @@ def null_histogram(null: DataFrame, bins: int = 50) -> DataFrame:
 
 def scores_against_null(pairs: DataFrame, null: DataFrame, bins: int = 50) -> DataFrame:
     """(bin, lo, hi, n, threshold, above): the pairs' scores, the null model's three-sigma percentile, and how many pairs reach it."""
-    limit = F.broadcast(null.agg(F.percentile("score", 0.9987).alias("threshold")))
+    limit = F.broadcast(percentiles(null, "score", {"threshold": 0.9987}))
     above = F.broadcast(pairs.crossJoin(limit).agg(F.count_if(F.col("score") >= F.col("threshold")).alias("above")))
     return stats.histogram(pairs, "score", 0.0, 1.0, bins).crossJoin(limit).crossJoin(above)
 

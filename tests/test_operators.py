@@ -115,6 +115,40 @@ def test_running_counts(spark):
     assert ranks.running(df.limit(0), "v").count() == 0
 
 
+def test_running_counts_of_groups(spark):
+    rng = np.random.default_rng(15)
+    rows = [(str(g), float(v), int(n)) for g in range(3) for v, n in zip(rng.permutation(60), rng.integers(1, 9, 60), strict=True)]
+    for ranges in (1, 11):
+        got = {(r["g"], r["v"]): r["up_to"] for r in ranks.running(spark.createDataFrame(rows, "g string, v double, n long"), "v", by=("g",), ranges=ranges).collect()}
+        assert got == {(g, v): sum(m for h, w, m in rows if h == g and w <= v) for g, v, n in rows}
+
+
+def test_percentiles(spark):
+    """Against numpy, with ties, in few and many ranges, for groups of one value and of many."""
+    rng = np.random.default_rng(16)
+    values = {"a": rng.integers(0, 40, 501) / 7, "b": rng.standard_normal(300), "c": np.array([2.5]), "d": np.array([3.0, 3.0, 4.0])}
+    rows = [(g, float(v)) for g, x in values.items() for v in x] + [("a", None), ("b", float("nan")), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = {"least": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "three": 0.9987, "most": 1.0}
+    for ranges in (1, 9, 200):
+        got = {r["g"]: r for r in ranks.percentiles(df, "v", at, ("g",), ranges).collect()}
+        assert got.keys() == values.keys() and all(got[g][n] == pytest.approx(np.quantile(x, q)) for g, x in values.items() for n, q in at.items())
+        one = ranks.percentiles(df, "v", at, ranges=ranges).first()
+        assert all(one[n] == pytest.approx(np.quantile(np.concatenate([*values.values()]), q)) for n, q in at.items())
+    assert ranks.percentiles(df.limit(0), "v", at).first()["p50"] is None
+
+
+def test_p_values_of_groups(spark):
+    rng = np.random.default_rng(17)
+    scores, null = {g: rng.integers(0, 20, 40) / 20 for g in "ab"}, {"a": rng.integers(0, 20, 90) / 20}
+    pairs = spark.createDataFrame([(g, i, float(s)) for g, x in scores.items() for i, s in enumerate(x)], "h string, i long, score double")
+    got = {(r["h"], r["i"]): r for r in significance.assess(pairs, spark.createDataFrame([(g, float(s)) for g, x in null.items() for s in x], "h string, score double"), 0.5, ("h",)).collect()}
+    assert all(got["a", i]["p_value"] == pytest.approx((sum(null["a"] >= s) + 1) / 91) and got["b", i]["p_value"] == 1.0 for i, s in enumerate(scores["a"]))
+    p = sorted(got["a", i]["p_value"] for i in range(40))
+    edge = max((x for k, x in enumerate(p, 1) if x <= 0.5 * k / 40), default=-1)
+    assert all(got["a", i]["bh_significant"] == (got["a", i]["p_value"] <= edge) for i in range(40)) and not any(got["b", i]["bh_significant"] for i in range(40))
+
+
 def test_spearman_of_ties(spark):
     rng = np.random.default_rng(14)
     x, y = rng.integers(0, 9, 200).astype(float), rng.integers(0, 7, 200).astype(float)
@@ -319,3 +353,34 @@ def test_report_tables(spark):
     assert len({r["idx"] for r in stats.hashed_sample(rows, 2).collect()}) == 2 and stats.hashed_sample(rows, 2).collect() == stats.hashed_sample(rows.orderBy(F.desc("idx")), 2).collect()
     strength = [r[0] for r in spark.createDataFrame([(6.0,), (3.0,)], "s double").select(score.relative_strength(F.col("s"), F.lit(3.0))).collect()]
     assert strength == pytest.approx([2.0, 1.0])
+
+
+def taken_in_order(rows, k=None):
+    out, used = [], set()
+    for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if a not in used and b not in used and (k is None or len(out) < k):
+            used |= {a, b}
+            out.append((a, b, s))
+    return out
+
+
+@pytest.mark.parametrize("size", [50, 200_000])
+def test_matching_of_rising_paths(spark, monkeypatch, size):
+    """Ten thousand pairs whose scores rise along a path: one a round would be five thousand rounds."""
+    made = []
+    monkeypatch.setattr(matching, "saved", lambda df, save=matching.saved: made.append(1) or save(df))
+    n = 10_000 if size > 1_000 else 200
+    rows = [(i, i + 1, float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "idx_a long, idx_b long, score double").repartition(4)
+    assert [tuple(r) for r in matching.non_overlapping(df, walk=size).collect()] == taken_in_order(rows)
+    assert len(made) <= 2 * (4 + n // size) + 1
+    made.clear()
+    assert [tuple(r) for r in matching.non_overlapping(df, 30, walk=size).collect()] == taken_in_order(rows, 30) and len(made) <= 8
+
+
+def test_matching_against_the_walk(spark):
+    rng = np.random.default_rng(18)
+    rows = [(int(a), int(b) + 60, float(s)) for (a, b), s in zip({(int(x), int(y)) for x, y in rng.integers(0, 60, (700, 2))}, rng.integers(0, 30, 700), strict=False)]
+    df = spark.createDataFrame(rows, "idx_a long, idx_b long, score double")
+    for k, size in ((None, 7), (None, 10**6), (5, 10**6), (100, 9), (0, 9)):
+        assert [tuple(r) for r in matching.non_overlapping(df, k, walk=size).collect()] == taken_in_order(rows, k)
