@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farpoint.config import DEFAULT, Settings
 from farpoint.functions import geo, score
+from farpoint.operators.tables import saved
 
 #: Columns of a catalogue; the optional ones are added as nulls (a depth as 1) where they lack.
 NEEDED = ("idx", "lon_deg", "lat_deg", "radius_m", "nls", "rcr", "ellipticity", "orientation_deg", "shape_reliable")
@@ -50,25 +51,86 @@ def known(v: dict[str, Column]) -> dict[str, Column]:
     return {a: F.coalesce(c, F.lit(9.0)) for a, c in v.items()}
 
 
-def in_cone(probe: DataFrame, build: DataFrame, half_angle: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``probe`` (p_*) and ``build`` (b_*) with b_idx > p_idx and b within ``half_angle`` of the centre p_cx, p_cy, p_cz.
+NEAR = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+CELL = ("cx", "cy", "cz")
+#: Comparisons in a cell above which it is divided: about a second of a task.
+CROWD = 20_000_000
 
-    The sphere lies in a grid of cells as wide as the cone's chord: a build row is in one cell, a centre looks into the
-    27 around its own. So the range join is an equi-join on the cell (and ``keys``), with the exact distance as a
-    residual; no pair comes twice for a centre. A crowded cell is split by skew handling, as a join on equal keys is.
+
+def around(rows: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """Each row for each of the 27 cells at and around its ``own``, as CELL."""
+    near = F.array(*[F.struct(*[F.lit(o).alias(c) for c, o in zip("ijk", at, strict=True)]) for at in NEAR])
+    out = rows.withColumn("o", F.explode(near))
+    return out.withColumns({c: F.col(p) + F.col(f"o.{x}") for c, p, x in zip(CELL, own, "ijk", strict=True)}).drop("o", *own)
+
+
+def crowded(probe: DataFrame, build: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:
+    """(keys, CELL, parts, copy_probe) of the cells where probes and build rows make more than ``most`` comparisons: how many parts bring them below, and whether probes are fewer.
+
+    Centres are counted in their own cells, and these counts added up around: as many rows as there are cells.
     """
+    b = build.groupBy(*keys, *CELL).agg(F.count("*").alias("b"))
+    p = around(probe.groupBy(*keys, "px", "py", "pz").agg(F.count("*").alias("p")), ("px", "py", "pz")).groupBy(*keys, *CELL).agg(F.sum("p").alias("p"))
+    work = F.col("b").cast("double") * F.col("p")
+    return b.join(p, [*keys, *CELL]).where(work > most).select(*keys, *CELL, F.ceil(work / most).cast("int").alias("parts"), (F.col("p") <= F.col("b")).alias("copy_probe"))
+
+
+def divided(left: DataFrame, right: DataFrame, hot: DataFrame, side: float, chord: float, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``sub`` and ``part``: of a hot cell, its halves along each axis, which a centre looks into if they are in reach; and parts, into which the larger side is dealt and to each of which the smaller is copied. A pair still meets once."""
+    on = [*keys, *CELL]
+    half = side / 2.0
+    is_hot = F.col("parts").isNotNull()
+    each = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    dealt = lambda idx: F.array(F.coalesce(F.pmod(F.xxhash64(idx), F.col("parts").cast("long")).cast("int"), F.lit(0)))
+    sub = lambda bits: sum((F.lit(w) * x for w, x in zip((1, 2, 4), bits, strict=True)), F.lit(0)).cast("int")
+    right = right.join(hot, on, "left")
+    place = [F.floor((F.col(f"b_v{a}") + 1.0) / half).cast("int") - 2 * F.col(c) for a, c in zip("xyz", CELL, strict=True)]
+    place = [F.least(F.greatest(x, F.lit(0)), F.lit(1)) for x in place]  # a rounding of the last bit stays in the cell
+    right = right.withColumn("sub", F.coalesce(F.when(is_hot, sub(place)), F.lit(0))).withColumn("part", F.explode(F.when(F.col("copy_probe"), dealt("b_idx")).otherwise(F.when(is_hot, each).otherwise(F.array(F.lit(0))))))
+
+    left = left.join(hot, on, "left")
+    gap = lambda a, c, bit: F.greatest(F.lit(0.0), 2 * F.col(c) * half + bit * half - 1.0 - F.col(f"p_c{a}"), F.col(f"p_c{a}") - (2 * F.col(c) + bit + 1) * half + 1.0)
+    reach = []
+    for n in range(8):
+        bits = [n & 1, n >> 1 & 1, n >> 2]
+        far = sum((gap(a, c, bit) * gap(a, c, bit) for a, c, bit in zip("xyz", CELL, bits, strict=True)), F.lit(0.0))
+        reach.append(F.when(far <= chord * chord * (1.0 + 1e-6), F.lit(n)))
+    subs = F.when(is_hot, F.array_compact(F.array(*reach))).otherwise(F.array(F.lit(0)))
+    left = left.withColumn("sub", F.explode(subs)).withColumn("part", F.explode(F.when(is_hot & ~F.col("copy_probe"), dealt("p_idx")).otherwise(F.when(is_hot, each).otherwise(F.array(F.lit(0))))))
+    return left.drop("parts", "copy_probe"), right.drop("parts", "copy_probe")
+
+
+def keyed(probe: DataFrame, build: DataFrame, half_angle: float, keys: tuple[str, ...] = (), most: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of the cone join, and the columns on which they meet (see ``in_cone``)."""
     chord = 2.0 * math.sin(math.radians(half_angle) / 2.0)
     side = chord * (1.0 + 1e-9)
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    left = probe.withColumns(dict(zip(("px", "py", "pz"), cells({a: F.col(f"p_c{a}") for a in "xyz"}, side), strict=True))).withColumn("o", F.explode(near))
-    left = left.withColumns({"cx": F.col("px") + F.col("o.i"), "cy": F.col("py") + F.col("o.j"), "cz": F.col("pz") + F.col("o.k")}).drop("o", "px", "py", "pz")
-    right = build.withColumns(dict(zip(("cx", "cy", "cz"), cells(known({a: F.col(f"b_v{a}") for a in "xyz"}), side), strict=True)))
+    left = probe.withColumns(dict(zip(("px", "py", "pz"), cells({a: F.col(f"p_c{a}") for a in "xyz"}, side), strict=True)))
+    right = build.withColumns(dict(zip(CELL, cells(known({a: F.col(f"b_v{a}") for a in "xyz"}), side), strict=True)))
     for k in keys:
         right = right.withColumnRenamed(f"b_{k}", k)
         left = left.withColumnRenamed(f"p_{k}", k)
+    hot = saved(crowded(left, right, keys, most)) if most is not None else None
+    left = around(left, ("px", "py", "pz"))
+    if hot is None or hot.isEmpty():
+        return left, right, [*keys, *CELL]
+    return *divided(left, right, hot, side, chord, keys), [*keys, *CELL, "sub", "part"]
+
+
+def in_cone(probe: DataFrame, build: DataFrame, half_angle: float, keys: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """Rows of ``probe`` (p_*) and ``build`` (b_*) with b_idx > p_idx and b within ``half_angle`` of the centre p_cx, p_cy, p_cz.
+
+    The sphere lies in a grid of cells as wide as the cone's chord: a build row is in one cell, a centre looks into the
+    27 around its own. So the range join is an equi-join on the cell (and ``keys``), with the exact distance as a
+    residual; no pair comes twice for a centre.
+
+    most: comparisons of one key. Cells are counted first, and those with more are divided (``divided``); the others
+    stay as they are. Without it no cell is counted, as for positions drawn evenly.
+    """
+    chord = 2.0 * math.sin(math.radians(half_angle) / 2.0)
+    left, right, on = keyed(probe, build, half_angle, keys, most)
     d = sum(((F.col(f"b_v{a}") - F.col(f"p_c{a}")) * (F.col(f"b_v{a}") - F.col(f"p_c{a}")) for a in "xyz"), F.lit(0.0))
-    joined = left.join(right, [*keys, "cx", "cy", "cz"]).where((F.col("b_idx") > F.col("p_idx")) & (d <= chord * chord))
-    return joined.drop("cx", "cy", "cz", "p_cx", "p_cy", "p_cz")
+    joined = left.join(right, on).where((F.col("b_idx") > F.col("p_idx")) & (d <= chord * chord))
+    return joined.drop(*[c for c in on if c not in keys], "p_cx", "p_cy", "p_cz")
 
 
 def cuts(settings: Settings = DEFAULT) -> Column:
@@ -78,18 +140,18 @@ def cuts(settings: Settings = DEFAULT) -> Column:
     return keep("nls", settings.max_nls_diff) & keep("rcr", settings.max_rcr_diff) & keep("radius_m", settings.max_radius_diff_m) & (sep >= settings.min_separation_deg)
 
 
-def candidate_pairs(rows: DataFrame, settings: Settings = DEFAULT, keys: tuple[str, ...] = ()) -> DataFrame:
-    """p_* and b_* of the pairs that pass cone and cuts, each once; ``rows`` are qualifying ones, paired within equal ``keys``."""
+def candidate_pairs(rows: DataFrame, settings: Settings = DEFAULT, keys: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """p_* and b_* of the pairs that pass cone and cuts, each once; ``rows`` are qualifying ones, paired within equal ``keys``. most: see ``in_cone``."""
     probe = rows.select([F.col(c).alias(f"p_{c}") for c in rows.columns] + [directed().alias("dir")])
     build = rows.select([F.col(c).alias(f"b_{c}") for c in rows.columns])
     one, two, v = geo.vec("p_e1"), geo.vec("p_e2"), geo.vec("p_v")
     round_ = F.coalesce(F.col("p_shape_reliable"), F.lit(False)) & (F.col("p_ellipticity") == 1.0)
     opposite = {a: F.when(round_, e).otherwise(-x) for a, e, x in zip("xyz", one, v, strict=True)}
     wide = probe.where(~F.col("dir")).withColumns({f"p_c{a}": c for a, c in known(opposite).items()}).drop("dir")
-    wide = in_cone(wide, build, settings.cone_deg, keys)
+    wide = in_cone(wide, build, settings.cone_deg, keys, most)
     narrow = probe.where("dir").withColumn("c", F.explode(F.array(one.struct(), two.struct())))
     narrow = narrow.withColumns({f"p_c{a}": c for a, c in known({a: F.col("c")[a] for a in "xyz"}).items()}).drop("c", "dir")
-    narrow = in_cone(narrow, build, settings.cone_reliable_deg, keys)
+    narrow = in_cone(narrow, build, settings.cone_reliable_deg, keys, most)
     # both centres of a row can meet one partner
     narrow = narrow.where(cuts(settings)).dropDuplicates([*keys, "p_idx", "b_idx"])
     return wide.where(cuts(settings)).unionByName(narrow)
@@ -104,9 +166,9 @@ def with_scores(pairs: DataFrame, settings: Settings = DEFAULT, keys: tuple[str,
     return df.select(*keys, F.col("p_idx").alias("idx_a"), F.col("b_idx").alias("idx_b"), "separation_deg", *ends, *score.TERMS, "score", "chord_length_m", "expected_ellipticity")
 
 
-def build_pairs(craters: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """All scored pairs of a catalogue whose ``idx`` is its order."""
-    return with_scores(candidate_pairs(qualifying(craters, settings), settings), settings)
+def build_pairs(craters: DataFrame, settings: Settings = DEFAULT, most: int | None = CROWD) -> DataFrame:
+    """All scored pairs of a catalogue whose ``idx`` is its order. Cells of more than ``most`` comparisons are divided."""
+    return with_scores(candidate_pairs(qualifying(craters, settings), settings, most=most), settings)
 
 
 def best_pairs(pairs: DataFrame, n: int = DEFAULT.max_pairs) -> DataFrame:

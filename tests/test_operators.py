@@ -384,3 +384,28 @@ def test_matching_against_the_walk(spark):
     df = spark.createDataFrame(rows, "idx_a long, idx_b long, score double")
     for k, size in ((None, 7), (None, 10**6), (5, 10**6), (100, 9), (0, 9)):
         assert [tuple(r) for r in matching.non_overlapping(df, k, walk=size).collect()] == taken_in_order(rows, k)
+
+
+@pytest.mark.parametrize("angle", [2.0, 10.0])
+def test_crowded_cone(spark, angle):
+    """Half of all rows in one cone, their centres in another: pairs are those of all rows, and no key has more than a few times the comparisons that it may."""
+    rng = np.random.default_rng(19)
+    n, most = 600, 3000
+
+    def points(m, spread):
+        v = rng.standard_normal((m, 3)) * [spread, spread, 1 if spread == 1 else 0] + ([0, 0, 0] if spread == 1 else [0.6, 0.0, 0.8])
+        return v / np.linalg.norm(v, axis=1)[:, None]
+
+    v = np.vstack([points(n // 2, math.radians(angle) / 8), points(n // 2, 1)])
+    c = np.vstack([points(n // 2, math.radians(angle) / 8), points(n // 2, 1)])
+    order = rng.permutation(n)
+    rows = [(int(i), *map(float, x), *map(float, y)) for i, x, y in zip(order, v, c, strict=True)]
+    probe = spark.createDataFrame([(i, *y) for i, *y in ((r[0], *r[4:]) for r in rows)], "p_idx long, p_cx double, p_cy double, p_cz double")
+    build = spark.createDataFrame([r[:4] for r in rows], "b_idx long, b_vx double, b_vy double, b_vz double")
+    got = sorted((r["p_idx"], r["b_idx"]) for r in conejoin.in_cone(probe, build, angle, most=most).select("p_idx", "b_idx").collect())
+    chord = 2 * math.sin(math.radians(angle) / 2)
+    assert got == sorted((p, b) for p, *_, x, y, z in rows for b, bx, by, bz, *_ in rows if b > p and (bx - x) ** 2 + (by - y) ** 2 + (bz - z) ** 2 <= chord * chord)
+    assert got == sorted((r["p_idx"], r["b_idx"]) for r in conejoin.in_cone(probe, build, angle).select("p_idx", "b_idx").collect())
+    left, right, on = conejoin.keyed(probe, build, angle, most=most)
+    work = left.groupBy(*on).count().withColumnRenamed("count", "l").join(right.groupBy(*on).count(), on).select((F.col("l") * F.col("count")).alias("w")).collect()
+    assert "part" in on and max(r["w"] for r in work) <= 2 * most
