@@ -172,16 +172,31 @@ BLANK, NOISE_FLOOR = 1e-4, 0.01
 COLUMNS = "x double, y double, radius_px double, radius_m double, strength double, depth_proxy double, circularity double, ellipticity double, orientation_deg double, shape_reliable boolean, orientation_unc_deg double, ellipticity_unc double, nls double, rcr double, freshness_index double, threshold double, row_in_chip int"
 
 
+def sigmas_of(mpp: float, settings: Settings = DEFAULT) -> np.ndarray:
+    """The scales of the smoothing for pixels of ``mpp`` metres, from the least radius to the largest, each by the same factor."""
+    small = max(settings.radius_range_m[0] / mpp, 1.2)
+    large = max(settings.radius_range_m[1] / mpp, 1.2 * small)
+    s0 = max(small / math.sqrt(2), 0.55)
+    return np.geomspace(s0, max(large / math.sqrt(2), 1.01 * s0), settings.n_scales)
+
+
+def feature(image: np.ndarray, x: float, y: float, r: float, strength: float, depth: float, threshold: float, mpp: float, settings: Settings = DEFAULT) -> tuple | None:
+    """COLUMNS but the last of a peak at (x, y) of ``image``; None where its shape is too long."""
+    shape = shape_of(image, x, y, r, settings.confident_radius_px)
+    if not math.isnan(shape[0]) and shape[0] < settings.min_circularity:
+        return None
+    nls, rcr = strength / max(threshold, 1e-30), contrast_of(image, x, y, r)
+    fresh = settings.weight_strength * min(max((nls - 1.0) / (settings.nls_scale - 1.0), 0.0), 1.0) + settings.weight_contrast * min(max(rcr / settings.rcr_scale, 0.0), 1.0)
+    return (x, y, r, r * mpp, strength, depth, *shape, nls, rcr, fresh, threshold)
+
+
 def inspect(image: np.ndarray, mpp: float, settings: Settings = DEFAULT) -> tuple[str, float | None, list[tuple]]:
     """(status, threshold, rows of COLUMNS, strongest first): blank_chip and noise_floor have no rows, others are ok."""
     if image.std() < BLANK:
         return "blank_chip", None, []
     lo, hi = np.percentile(image, [1, 99])
     inverted = 1.0 - np.clip((image - lo) / (hi - lo + 1e-6), 0, 1)
-    small = max(settings.radius_range_m[0] / mpp, 1.2)
-    large = max(settings.radius_range_m[1] / mpp, 1.2 * small)
-    s0 = max(small / math.sqrt(2), 0.55)
-    sigmas = np.geomspace(s0, max(large / math.sqrt(2), 1.01 * s0), settings.n_scales)
+    sigmas = sigmas_of(mpp, settings)
     cube = scale_space(inverted, sigmas)
     threshold = float(np.quantile(cube, settings.peak_quantile))
     if threshold < NOISE_FLOOR:
@@ -198,13 +213,9 @@ def inspect(image: np.ndarray, mpp: float, settings: Settings = DEFAULT) -> tupl
     depth = (s - s.min()) / (s.max() - s.min() + 1e-12)
     out = []
     for i, d in zip(keep, depth, strict=True):
-        y, x, rad = float(at[i, 0]), float(at[i, 1]), float(r[i])
-        shape = shape_of(image, x, y, rad, settings.confident_radius_px)
-        if not math.isnan(shape[0]) and shape[0] < settings.min_circularity:
-            continue
-        nls, rcr = float(strength[i]) / max(threshold, 1e-30), contrast_of(image, x, y, rad)
-        fresh = settings.weight_strength * min(max((nls - 1.0) / (settings.nls_scale - 1.0), 0.0), 1.0) + settings.weight_contrast * min(max(rcr / settings.rcr_scale, 0.0), 1.0)
-        out.append((x, y, rad, rad * mpp, float(strength[i]), float(d), *shape, nls, rcr, fresh, threshold, len(out)))
+        row = feature(image, float(at[i, 1]), float(at[i, 0]), float(r[i]), float(strength[i]), float(d), threshold, mpp, settings)
+        if row is not None:
+            out.append((*row, len(out)))
     return "ok", threshold, out
 
 

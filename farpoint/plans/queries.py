@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from farpoint.config import AREA_KM2, DEFAULT, FLUX_G_S, KAPPA, OMEGA, RADIUS_M, V_CIRCULAR, V_ESCAPE
 from farpoint.functions import geo, raster, score, stats, velocity
-from farpoint.operators import catalog, conejoin, matching, nullmodel, rescore, significance
+from farpoint.operators import catalog, conejoin, detection, matching, nullmodel, rescore, significance
 from farpoint.plans import chips as chips_plan
 from farpoint.plans import pipeline, report
 from farpoint.sources import records, survey
@@ -517,7 +517,7 @@ def chip_detect(spark, sf):
     """Features of chips of 32 x 32 cells: each cell of an 8 x 8 chip becomes 4 x 4."""
     big = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda x: F.get("embedding", (F.floor(y / 4) * 8 + F.floor(x / 4)).cast("int")))))
     d = spark.read.parquet(f"{sf}/embeddings.parquet").where("size(embedding) >= 64").select(F.col("vec_id").alias("chip_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), big.alias("pixels"), F.lit(1.0).alias("mpp"))
-    return rounded(raster.detections(d))
+    return rounded(detection.detections(d))
 
 
 # More of the reports.
