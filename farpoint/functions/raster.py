@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -224,25 +223,6 @@ def detect(image: np.ndarray, mpp: float, settings: Settings = DEFAULT) -> list[
     return inspect(image, mpp, settings)[2]
 
 
-def inspected(chips: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """``chips`` (chip_id, h, w, pixels, mpp and others) with found: status, threshold and rows of COLUMNS; null without pixels."""
-    kind = "struct<status:string,threshold:double,rows:array<struct<" + ",".join(":".join(c.split()) for c in COLUMNS.split(", ")) + ">>>"
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
-    cols = ("h", "w", "pixels", "mpp")
-
-    def run(h: pd.Series, w: pd.Series, pixels: pd.Series, mpp: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, p, m in zip(h, w, pixels, mpp, strict=True):
-            if p is None:
-                out.append((None, None, None))
-                continue
-            status, threshold, rows = inspect(np.asarray(p, float).reshape(int(a), int(b)), m, settings)
-            out.append((status, threshold, [dict(zip(names, r, strict=True)) for r in rows]))
-        return pd.DataFrame(out, columns=["status", "threshold", "rows"])
-
-    return chips.withColumn("found", F.pandas_udf(run, kind)(*cols))
-
-
 def terrain(chips: DataFrame, key: str, pixels: str = "pixels") -> DataFrame:
     """(key, terrain_mean_m, terrain_std_m, terrain_slope_proxy) of heights in row order; null where none is finite."""
 
@@ -259,15 +239,3 @@ def terrain(chips: DataFrame, key: str, pixels: str = "pixels") -> DataFrame:
 
     g = chips.select(key, F.pandas_udf(run, "struct<mean:double,std:double,slope:double>")("h", "w", pixels).alias("g"))
     return g.select(key, F.col("g.mean").alias("terrain_mean_m"), F.col("g.std").alias("terrain_std_m"), F.col("g.slope").alias("terrain_slope_proxy"))
-
-
-def detections(chips: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """chip_id and COLUMNS of every feature of ``chips`` (chip_id, h, w, pixels, mpp): each chip is worked on where it lies."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["chip_id", *[c.split()[0] for c in COLUMNS.split(", ")]]
-        for f in frames:
-            rows = [(c.chip_id, *row) for c in f.itertuples() if c.pixels is not None for row in detect(np.asarray(c.pixels, float).reshape(c.h, c.w), c.mpp, settings)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return chips.select("chip_id", "h", "w", "pixels", "mpp").mapInPandas(run, f"chip_id long, {COLUMNS}")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from farpoint.config import DEFAULT, Settings
 from farpoint.functions import geo, raster
+from farpoint.operators import detection
+from farpoint.operators.tables import saved
 from farpoint.sources import imagery, service, survey
 from farpoint.sources.files import CRATERS, METADATA, exists
 from farpoint.streaming import monitor
@@ -34,7 +36,7 @@ def process(manifest: DataFrame, transport: service.Transport, out: str, setting
 
     A chip's status is ok, invalid_bbox (its box crosses a pole or the date line), chip_download_failed, blank_chip or
     noise_floor; all but the first have no features. Answers are kept in ``out``/answers, so a second run asks only for
-    what failed. Of a chip that failed before, the last row counts. Each chip is worked on where it lies.
+    what failed. Of a chip that failed before, the last row counts. Large chips are worked on in tiles.
     """
     spark, px = manifest.sparkSession, settings.chip_size_px
     todo = survey.chip_boxes(remaining(manifest, out).select("manifest_index", "product_id", "center_lon", "center_lat"), settings.chip_span_m)
@@ -44,15 +46,17 @@ def process(manifest: DataFrame, transport: service.Transport, out: str, setting
     asked = todo.withColumn("ask", F.explode(F.array(ask(layers[0], imagery.IMAGE, px), ask(layers[1], imagery.TERRAIN, terrain_px)))).select(*todo.columns, "ask.*")
     got = service.fetched(asked, transport, f"{out}/answers", per_second).drop("params")
     images, heights = got.where(F.col("kind") == imagery.IMAGE), got.where(F.col("kind") == imagery.TERRAIN)
-    seen = raster.inspected(imagery.decoded(images, imagery.IMAGE).withColumnRenamed("manifest_index", "chip_id"), settings)
+    # pixels are read once, and once more in tiles; they are in no join
+    pixels = saved(imagery.decoded(images, imagery.IMAGE).withColumnRenamed("manifest_index", "chip_id"))
+    found = detection.found(pixels, settings).withColumnRenamed("status", "seen")
     ground = raster.terrain(imagery.decoded(heights, imagery.TERRAIN), "manifest_index")
 
-    status = F.when(F.col("bbox").isNull(), "invalid_bbox").when(F.col("pixels").isNull(), "chip_download_failed").otherwise(F.col("found.status"))
-    seen = seen.withColumn("status", status).drop("pixels")  # no pixels in the shuffle of the join
-    done = seen.join(ground.withColumnRenamed("manifest_index", "chip_id"), "chip_id", "left")
+    status = F.when(F.col("bbox").isNull(), "invalid_bbox").when(F.col("lacks"), "chip_download_failed").otherwise(F.col("seen"))
+    done = pixels.withColumn("lacks", F.col("pixels").isNull()).drop("pixels").join(found, "chip_id", "left").withColumn("status", status)
+    done = done.join(ground.withColumnRenamed("manifest_index", "chip_id"), "chip_id", "left")
     done.select(
         F.col("chip_id").cast("int").alias("chip_index"), "product_id", "center_lon", "center_lat", "bbox", "mpp_x", "mpp_y", F.col("mpp").alias("mpp_mean"), F.lit(px).alias("chip_size_px"), F.lit(settings.chip_span_m).alias("chip_span_m"),
-        F.coalesce(F.size("found.rows"), F.lit(0)).alias("n_craters"), F.col("found.threshold").alias("threshold"), "terrain_mean_m", "terrain_std_m", "terrain_slope_proxy", "status", F.current_timestamp().alias("written"), F.col("found.rows").alias("rows"),
+        F.coalesce(F.size("rows"), F.lit(0)).alias("n_craters"), "threshold", "terrain_mean_m", "terrain_std_m", "terrain_slope_proxy", "status", F.current_timestamp().alias("written"), "rows",
     ).write.mode("append").parquet(f"{out}/chips")
     return results(spark, out, settings)
 

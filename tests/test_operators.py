@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from farpoint.config import DEFAULT
 from farpoint.functions import geo, raster, score, stats, velocity
-from farpoint.operators import catalog, conejoin, matching, nullmodel, ranks, rescore, significance
+from farpoint.operators import catalog, conejoin, detection, matching, nullmodel, ranks, rescore, significance
 from farpoint.plans import pipeline, report
 from farpoint.sources import files, survey
 from farpoint.streaming import monitor
@@ -259,13 +259,13 @@ FEW = replace(DEFAULT, radius_range_m=(3.0, 14.0), peak_quantile=0.985, min_circ
 def test_detection(spark):
     chips = [(0, 96, 96, bowl(96, SPOTS).ravel().tolist(), 1.0), (1, 96, 96, [0.25] * 96 * 96, 1.0), (2, 96, 96, None, 1.0)]
     df = spark.createDataFrame(chips, "chip_id long, h int, w int, pixels array<float>, mpp double")
-    got = raster.detections(df, FEW).collect()
+    got = detection.detections(df, FEW, 40).collect()
     assert {r["chip_id"] for r in got} == {0}
     for x, y, r, _ in SPOTS:
         near = min(got, key=lambda f: math.hypot(f["x"] - x, f["y"] - y))
         assert math.hypot(near["x"] - x, near["y"] - y) < 2.5 and 0.5 * r < near["radius_px"] < 2 * r and near["rcr"] > 0
-    states = {r["chip_id"]: (r["found"]["status"], len(r["found"]["rows"])) if r["found"] and r["found"]["status"] else None for r in raster.inspected(df, FEW).collect()}
-    assert states == {0: ("ok", len(got)), 1: ("blank_chip", 0), 2: None}
+    states = {r["chip_id"]: (r["status"], len(r["rows"])) for r in detection.found(df, FEW).collect()}
+    assert states == {0: ("ok", len(got)), 1: ("blank_chip", 0)}
 
 
 def test_kernels_against_plain_loops():
