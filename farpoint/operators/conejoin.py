@@ -176,7 +176,7 @@ def best_pairs(pairs: DataFrame, n: int = DEFAULT.max_pairs) -> DataFrame:
     return pairs.orderBy(F.desc_nulls_last("score"), "idx_a", "idx_b").limit(n)
 
 
-def max_pair(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The best score and its pair for each of ``keys`` (one row without): an aggregate that is summed before its shuffle."""
-    top = F.max_by(F.struct("idx_a", "idx_b", "separation_deg"), F.struct("score", -F.col("idx_a"), -F.col("idx_b")))
+def max_pair(pairs: DataFrame, keys: tuple[str, ...] = (), columns: tuple[str, ...] = ("idx_a", "idx_b", "separation_deg")) -> DataFrame:
+    """The best score and its pair (``columns``) for each of ``keys`` (one row without): an aggregate that is summed before its shuffle."""
+    top = F.max_by(F.struct(*columns), F.struct("score", -F.col("idx_a"), -F.col("idx_b")))
     return pairs.groupBy(*keys).agg(F.max("score").alias("score"), top.alias("pair")).where(F.col("score") > 0)

@@ -56,18 +56,30 @@ def deep(craters: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return conform(craters).where(F.col("depth_proxy") >= settings.min_depth_proxy)
 
 
-def best_scores(craters: DataFrame, trials: DataFrame, settings: Settings = DEFAULT, uniform: Uniform | None = None, distinct: bool = True) -> DataFrame:
-    """(trial, score, pair): the best pair score of each trial, 0 and no pair where a trial has none.
+def trial_pairs(craters: DataFrame, trials: DataFrame, settings: Settings = DEFAULT, uniform: Uniform | None = None, distinct: bool = True) -> DataFrame:
+    """trial and the columns of every scored pair of each trial's catalogue.
 
     Trials are one more key of the cone join, so all run in one job. ``distinct``: drop repeated fingerprints first, as
     the pairing of the real catalogue does.
     """
     rows = deep(dedup(craters) if distinct else craters, settings)
     drawn = scattered(rows, trials, uniform or hashed(settings.seed))
-    top = max_pair(with_scores(candidate_pairs(with_vectors(drawn), settings, ("trial",)), settings, ("trial",)), ("trial",))
+    return with_scores(candidate_pairs(with_vectors(drawn), settings, ("trial",)), settings, ("trial",))
+
+
+def best_scores(craters: DataFrame, trials: DataFrame, settings: Settings = DEFAULT, uniform: Uniform | None = None, distinct: bool = True) -> DataFrame:
+    """(trial, score, pair): the best pair score of each trial, 0 and no pair where a trial has none."""
+    top = max_pair(trial_pairs(craters, trials, settings, uniform, distinct), ("trial",))
     return trials.select("trial").join(top, "trial", "left").select("trial", F.coalesce("score", F.lit(0.0)).alias("score"), "pair")
 
 
+def best_pairs(craters: DataFrame, trials: DataFrame, settings: Settings = DEFAULT, uniform: Uniform | None = None, distinct: bool = True) -> DataFrame:
+    """trial and all columns of its best pair, to be scored again under other settings; trials without a pair have no row."""
+    pairs = trial_pairs(craters, trials, settings, uniform, distinct)
+    top = max_pair(pairs, ("trial",), tuple(c for c in pairs.columns if c not in ("trial", "score")))
+    return top.select("trial", "score", "pair.*")
+
+
 def chunk_bounds(spark: SparkSession, trials: int, chunks: int) -> DataFrame:
     """(chunk, first, last): trials dealt in order; the first ``trials % chunks`` chunks have one more. ``last`` is exclusive."""
     each, more = divmod(trials, chunks)

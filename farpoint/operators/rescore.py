@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from farpoint.config import DEFAULT, Settings
 from farpoint.functions import geo, score
 from farpoint.operators.conejoin import max_pair
-from farpoint.operators.significance import assess
+from farpoint.operators.significance import p_values, with_discoveries
 from farpoint.operators.tables import saved
 
 #: Rows of a report whose rows are compared with each other.
@@ -119,25 +119,23 @@ def tau_b(df: DataFrame, by: tuple[str, ...], x: str, y: str) -> DataFrame:
     return got.select(*by, F.try_divide("t", F.sqrt(F.col("nx").cast("double") * F.col("ny"))).alias("tau"))
 
 
-def rounds(pairs: DataFrame, grid: DataFrame, null: DataFrame, null_pairs: DataFrame | None = None, alpha: float = DEFAULT.alpha, top: int = 200, places: int = 9) -> DataFrame:
+def rounds(pairs: DataFrame, grid: DataFrame, null: DataFrame | None, null_pairs: DataFrame | None = None, alpha: float = DEFAULT.alpha, top: int = 200, places: int = 9) -> DataFrame:
     """Per hypothesis: the best score of the ``top`` best pairs of ``pairs``, its p and percentile, discoveries, and Kendall's tau with H0, place by place.
 
-    ``null_pairs`` (trial and a pair's columns): the null model's best pairs, scored anew under each hypothesis; without
-    them the scores of ``null`` serve for all.
+    ``null_pairs`` (trial and a pair's columns, see ``nullmodel.best_pairs``): the null model's best pairs, scored anew
+    under each hypothesis, which is held against its own; without them the scores of ``null`` serve for all. All
+    hypotheses run together, as groups of one running count.
     """
     best = pairs.withColumn("score", F.round("score", places)).orderBy(F.desc_nulls_last("score"), "idx_a", "idx_b").limit(top)
-    s = saved(under(best, grid).withColumn("score", F.round("score", places)).select("hypothesis", "idx_a", "idx_b", "score"))
-    names = [r[0] for r in grid.select("hypothesis").collect()]
+    rounded = lambda df: df.withColumn("score", F.round("score", places))
+    s = saved(rounded(under(best, grid)).select("hypothesis", "idx_a", "idx_b", "score"))
     if null_pairs is not None:
-        null = saved(under(null_pairs, grid).groupBy("hypothesis", "trial").agg(F.max("score").alias("score")))
-    parts = []
-    for h in names:
-        own = null.where(F.col("hypothesis") == h) if null_pairs is not None else null
-        one = assess(s.where(F.col("hypothesis") == h), own, alpha)
-        parts.append(one.agg(F.max("score").alias("best_score"), F.min("p_value").alias("best_p"), F.max("percentile_score").alias("best_percentile"), F.count_if("bh_significant").alias("n_significant")).withColumn("hypothesis", F.lit(h)))
-    per = parts[0]
-    for p in parts[1:]:
-        per = per.union(p)
+        own = saved(rounded(under(null_pairs, grid)).groupBy("hypothesis", "trial").agg(F.max("score").alias("score")))
+        held = p_values(s, own, by=("hypothesis",))
+    else:
+        held = p_values(s, null)
+    found = with_discoveries(held, alpha, by=("hypothesis",))
+    per = found.groupBy("hypothesis").agg(F.max("score").alias("best_score"), F.min("p_value").alias("best_p"), F.max("percentile_score").alias("best_percentile"), F.count_if("bh_significant").alias("n_significant"))
     tau = tau_matrix(s).where(F.col("one") == "H0").select(F.col("other").alias("hypothesis"), "tau")
     return per.join(tau, "hypothesis", "left").select("hypothesis", "best_score", "best_p", "best_percentile", "n_significant", "tau")
 

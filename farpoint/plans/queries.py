@@ -413,6 +413,26 @@ def hypothesis_rounds(spark, sf):
     return r.select("hypothesis", F.round("best_score", 6).alias("best_score"), F.round("best_p", 9).alias("best_p"), F.round("best_percentile", 9).alias("best_percentile"), "n_significant", F.round("tau", 6).alias("tau"))
 
 
+OWN_TRIALS = 12
+DRAWN_OWN = DRAWN.replace(f"range({TRIALS})", f"range({OWN_TRIALS})")
+
+
+@query(f"""+ {PAIRS}, {scored_sql()}, best AS (SELECT idx_a, idx_b FROM ranked ORDER BY round(ranked.score, 9) DESC, idx_a, idx_b LIMIT 200), {GRID_SQL.replace('FROM pairs, grid', 'FROM pairs JOIN best USING (idx_a, idx_b), grid')},
+    h AS (SELECT hypothesis, round(score, 9) AS s FROM (WITH {scored_sql('under', {c: c for c in score.SIGMAS}, 'hypothesis,')} SELECT hypothesis, score FROM ranked)),
+    nbest AS (SELECT * FROM (WITH {DRAWN_OWN}, {pairs_sql('drawn', 'trial')}, {scored_sql(keep='trial,')}, r AS (SELECT trial, idx_a, idx_b FROM ranked WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY trial ORDER BY score DESC, idx_a, idx_b) = 1) SELECT pairs.* FROM pairs JOIN r USING (trial, idx_a, idx_b))),
+    nunder AS (SELECT * FROM nbest, grid), nh AS (SELECT hypothesis, trial, round(score, 9) AS s FROM (WITH {scored_sql('nunder', {c: c for c in score.SIGMAS}, 'hypothesis, trial,')} SELECT hypothesis, trial, score FROM ranked)),
+    pv AS (SELECT hypothesis, s, ((SELECT count(*) FROM nh WHERE nh.hypothesis = h.hypothesis AND nh.s >= h.s) + 1) / ((SELECT count(*) FROM nh WHERE nh.hypothesis = h.hypothesis) + 1e0) AS p FROM h),
+    r AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY p) AS k, row_number() OVER (PARTITION BY hypothesis ORDER BY s DESC) AS place, count(*) OVER (PARTITION BY hypothesis) AS m FROM pv),
+    e AS (SELECT hypothesis, max(p) FILTER (p <= 0.05e0 * k / m) AS edge FROM r GROUP BY 1)
+    SELECT r.hypothesis, round(max(s), 6) AS best_score, round(min(p), 9) AS best_p, round(1 - min(p), 9) AS best_percentile, count(*) FILTER (coalesce(p <= edge, false)) AS n_significant FROM r JOIN e USING (hypothesis) GROUP BY 1""", "craters")
+def hypothesis_own_null(spark, sf):
+    """The 200 best pairs under each hypothesis against null pairs that are scored anew under it as well."""
+    c = view(spark, sf, "craters")
+    null = nullmodel.best_pairs(c, spark.range(OWN_TRIALS).withColumnRenamed("id", "trial"), uniform=modular)
+    r = rescore.rounds(conejoin.build_pairs(c), rescore.grid_of(spark, HYPO), None, null)
+    return r.select("hypothesis", F.round("best_score", 6).alias("best_score"), F.round("best_p", 9).alias("best_p"), F.round("best_percentile", 9).alias("best_percentile"), "n_significant")
+
+
 @query("+ t AS (SELECT * FROM graph ORDER BY score DESC, pair_id LIMIT 100), s AS (SELECT sign(a.idx_a - b.idx_a) * sign(a.idx_b - b.idx_b) AS s, a.idx_a = b.idx_a AS tx, a.idx_b = b.idx_b AS ty FROM t a JOIN t b ON a.pair_id < b.pair_id) SELECT round(sum(s) / sqrt(CAST(count(*) FILTER (NOT tx) AS DOUBLE) * count(*) FILTER (NOT ty)), 6) AS tau, count(*) AS n_compared, count(*) FILTER (s > 0) AS concordant, count(*) FILTER (s < 0) AS discordant FROM s", "graph")
 def kendall_tau(spark, sf):
     return rounded(rescore.kendall(view(spark, sf, "graph").orderBy(F.desc("score"), "pair_id").limit(100), "idx_a", "idx_b", "pair_id"))
