@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,17 @@ from farpoint.sources.files import exists, hadoop_path, write_csv, write_json
 TRIAL = "trial long, score double, chunk int, runtime_s double, pair string"
 
 
-def marks(settings: Settings, top: int, chunks: int, source: str) -> dict:
-    """What a run must share with the checkpoint that it goes on with."""
-    return {"trials": settings.trials, "seed": settings.seed, "alpha": settings.alpha, "top": top, "chunks": chunks, "source": source}
+def fingerprint(craters: DataFrame) -> str:
+    """Of a catalogue: its rows and their hashes, in whatever order they come."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(craters.columns)])
+    n, a, b = craters.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(F.pmod(h, F.lit(1_000_003))), F.lit(0))).first()
+    return f"{n}-{a & (1 << 64) - 1:016x}-{b}"
+
+
+def marks(settings: Settings, top: int, chunks: int, source: str, positions: str = nullmodel.HASH, catalogue: str | None = None) -> dict:
+    """What a run must share with the checkpoint that it goes on with: all settings, and the catalogue."""
+    own = {"top": top, "chunks": chunks, "source": source, "positions": positions} | ({"catalogue": catalogue} if catalogue else {})
+    return json.loads(json.dumps(asdict(settings) | own))
 
 
 def guard(spark: SparkSession, out: str, wanted: dict, force: bool = False) -> bool:
@@ -69,14 +78,14 @@ def done_trials(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(TRIAL).parquet(f"{out}/null") if exists(spark, f"{out}/null/*.parquet") else spark.createDataFrame([], TRIAL)
 
 
-def run_chunk(spark: SparkSession, out: str, chunk: int, chunks: int, settings: Settings = DEFAULT) -> int:
+def run_chunk(spark: SparkSession, out: str, chunk: int, chunks: int, settings: Settings = DEFAULT, positions: str = nullmodel.HASH) -> int:
     """Scores of the chunk's trials that have none yet, appended to ``out``/null; how many those were."""
     at = nullmodel.chunk_bounds(spark, settings.trials, chunks).where(F.col("chunk") == chunk).first()
     trials = nullmodel.remaining(spark.range(at["first"], at["last"]).withColumnRenamed("id", "trial"), done_trials(spark, out))
     n = trials.count()
     if n:
         began = time.time()
-        got = nullmodel.best_scores(spark.read.parquet(f"{out}/craters"), trials, settings, distinct=False)
+        got = nullmodel.best_scores(spark.read.parquet(f"{out}/craters"), trials, settings, distinct=False, positions=positions)
         got.select("trial", "score", F.lit(chunk).alias("chunk"), F.lit(None).cast("double").alias("runtime_s"), F.to_json("pair").alias("pair")).write.mode("append").parquet(f"{out}/null")
         write_json(spark, {"chunk": chunk, "trials": n, "runtime_s": time.time() - began}, f"{out}/null_meta/{chunk:04d}")
     return n
@@ -99,18 +108,19 @@ def finish(spark: SparkSession, out: str, settings: Settings = DEFAULT) -> DataF
     return spark.read.parquet(f"{out}/summary")
 
 
-def run(craters: DataFrame, out: str, settings: Settings = DEFAULT, chunks: int = 8, top: int = 200, source: str = "", force: bool = False) -> DataFrame:
-    """All of it. A second run of the same settings goes on where the first stopped: it keeps the tables and does only
-    the trials that lack; other settings are an error, or with ``force`` a new start. ``source`` names the catalogue.
+def run(craters: DataFrame, out: str, settings: Settings = DEFAULT, chunks: int = 8, top: int = 200, source: str = "", force: bool = False, positions: str = nullmodel.HASH) -> DataFrame:
+    """All of it. A second run of the same catalogue and settings goes on where the first stopped: it keeps the tables
+    and does only the trials that lack; another catalogue or other settings are an error, or with ``force`` a new start.
+    ``source`` names the catalogue.
 
-    Positions of null trials are drawn by a hash of seed, trial and row; ``nullmodel.streams`` has numpy's streams.
+    positions: "hash" draws those of null trials by a hash of seed, trial and row, "streams" by numpy's streams.
     """
-    spark, wanted = craters.sparkSession, marks(settings, top, chunks, source)
+    spark, wanted = craters.sparkSession, marks(settings, top, chunks, source, positions, fingerprint(craters))
     now = state(spark, out, wanted, force)
     if not now["prepared"]:
         clear(spark, out)
         prepare(craters, out, settings, top)
         write_json(spark, wanted, f"{out}/meta")
     for c in now["missing_chunks"]:
-        run_chunk(spark, out, c, chunks, settings)
+        run_chunk(spark, out, c, chunks, settings, positions)
     return spark.read.parquet(f"{out}/summary") if now["finished"] else finish(spark, out, settings)

@@ -211,8 +211,15 @@ def test_null_trials(spark):
     same = craters(spark, *[(i, 3.0 * i, -8.0, 6.5, 0.2, 2.5, 4.0, None, None, False, 0.9) for i in range(7)])
     trials = spark.range(4).withColumnRenamed("id", "trial")
     assert {r["score"] for r in nullmodel.best_scores(same, trials).collect()} == {0.0}  # one fingerprint, so one crater and no pair
-    a, b = nullmodel.streams(spark, trials, 5).collect(), nullmodel.streams(spark, trials.where("trial >= 2"), 5).collect()
-    assert {tuple(r) for r in b} <= {tuple(r) for r in a} and len(a) == 20
+    a, b = nullmodel.streams(trials, 25).collect(), nullmodel.streams(trials.where("trial >= 2"), 25, block=7).collect()
+    assert {tuple(r) for r in b} <= {tuple(r) for r in a} and len(a) == 100
+    children = np.random.SeedSequence(DEFAULT.seed).spawn(4)
+    for t, child in enumerate(children):
+        rng = np.random.default_rng(child)
+        z, phi = rng.uniform(-1.0, 1.0, 25), rng.uniform(0.0, 2.0 * np.pi, 25)
+        own = sorted((r for r in a if r["trial"] == t), key=lambda r: r["row"])
+        assert [r["lat_deg"] for r in own] == np.degrees(np.arcsin(z)).tolist() and [r["lon_deg"] for r in own] == (np.degrees(phi) - 180.0).tolist()
+    assert nullmodel.streams(trials, 0).count() == 0
     assert [nullmodel.tasks(n, 4) for n in (0, 1, 4, 5, 9)] == [0, 1, 1, 2, 3]
 
 
@@ -243,6 +250,31 @@ def test_run_resumes(spark, tmp_path):
     assert {"trial", "score", "pair"} == set(spark.read.json(f"{out}/null_pairs_json").columns)
 
 
+def test_run_of_streams(spark, tmp_path):
+    """Chunk by chunk, resumed after a lost one, a run of numpy's streams gives the scores of one pass; each of them is that of a catalogue whose positions are replaced."""
+    s, out = replace(DEFAULT, trials=5), str(tmp_path / "run")
+    rows = craters(spark, *scattered_rows(40))
+    pipeline.run(rows, out, s, chunks=3, top=5, positions="streams")
+    got = {r["trial"]: r["score"] for r in spark.read.parquet(f"{out}/null").collect()}
+    null = spark.read.parquet(f"{out}/null").where("chunk <> 1").collect()
+    spark.createDataFrame(null, pipeline.TRIAL).write.mode("overwrite").parquet(f"{out}/null")
+    pipeline.run(rows, out, s, chunks=3, top=5, positions="streams")
+    assert {r["trial"]: r["score"] for r in spark.read.parquet(f"{out}/null").collect()} == got
+    whole = nullmodel.best_scores(rows, spark.range(5).withColumnRenamed("id", "trial"), s, positions="streams")
+    assert {r["trial"]: r["score"] for r in whole.collect()} == pytest.approx(got) and len(set(got.values())) > 1
+    for t in (0, 3):
+        places = {r["row"]: (r["lon_deg"], r["lat_deg"]) for r in nullmodel.streams(spark.range(t, t + 1).withColumnRenamed("id", "trial"), 40).collect()}
+        moved = craters(spark, *[(r[0], *places[k], *r[3:]) for k, r in enumerate(scattered_rows(40))])
+        best = conejoin.max_pair(conejoin.build_pairs(moved, s)).first()
+        assert got[t] == pytest.approx(best["score"] if best else 0.0)
+    with pytest.raises(ValueError, match="positions"):
+        pipeline.run(rows, out, s, chunks=3, top=5)
+    with pytest.raises(ValueError, match="catalogue"):
+        pipeline.run(rows.where("idx <> 7"), out, s, chunks=3, top=5, positions="streams")
+    with pytest.raises(ValueError, match="cone_deg"):
+        pipeline.run(rows, out, replace(s, cone_deg=9.0), chunks=3, top=5, positions="streams")
+
+
 def bowl(n, spots, noise=0.01, seed=5):
     """A chip with dark round spots (x, y, radius, depth), with flat floors, on a slope of light."""
     y, x = np.mgrid[:n, :n]
