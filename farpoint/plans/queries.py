@@ -589,6 +589,20 @@ def chips_with_craters(spark, sf):
     return catalog.chips_with_craters(view(spark, sf, "craters").withColumn("chip_index", (F.col("idx") % 997).cast("int")))
 
 
+@query(f"""+ cc AS (SELECT count(*) AS craters, count(DISTINCT idx % 997) AS chips FROM craters), kk AS (SELECT sum(coalesce(nullif(chip_span_m, 0), 1200) * coalesce(nullif(chip_span_m, 0), 1200)) / 1e6 AS km2 FROM status), nn AS (SELECT count(*) AS n, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.95) AS p95, quantile_cont(score, 0.99) AS p99, max(score) AS best FROM null_scores),
+    {BH}, t AS (SELECT score, p_value FROM a ORDER BY score DESC, idx_a, idx_b LIMIT 1), v AS (SELECT unnest([
+      {{'section': 'catalogue', 'place': 0, 'label': 'chips with craters', 'value': CAST(cc.chips AS DOUBLE)}}, {{'section': 'catalogue', 'place': 1, 'label': 'craters', 'value': cc.craters}}, {{'section': 'catalogue', 'place': 2, 'label': 'coverage in km2', 'value': km2}}, {{'section': 'catalogue', 'place': 3, 'label': 'craters per chip', 'value': cc.craters / cc.chips}},
+      {{'section': 'pairing', 'place': 0, 'label': 'raw pairs', 'value': (SELECT count(*) FROM graph)}}, {{'section': 'pairing', 'place': 1, 'label': 'pairs without common ends, at most', 'value': 200}},
+      {{'section': 'null model', 'place': 0, 'label': 'trials', 'value': nn.n}}, {{'section': 'null model', 'place': 1, 'label': '50th percentile', 'value': p50}}, {{'section': 'null model', 'place': 2, 'label': '95th percentile', 'value': p95}}, {{'section': 'null model', 'place': 3, 'label': '99th percentile', 'value': p99}}, {{'section': 'null model', 'place': 4, 'label': 'largest', 'value': best}},
+      {{'section': 'results', 'place': 0, 'label': 'best score', 'value': t.score}}, {{'section': 'results', 'place': 1, 'label': 'p value', 'value': t.p_value}}, {{'section': 'results', 'place': 2, 'label': 'significant pairs', 'value': (SELECT count(*) FILTER (sig) FROM a)}}]) AS l FROM cc, kk, nn, t)
+    SELECT l.section AS section, CAST(l.place AS INTEGER) AS place, l.label AS label, round(l.value, 6) AS value FROM v""", "craters", "status", "null_scores", "graph")
+def run_summary(spark, sf):
+    """What a run says about catalogue, pairing, null model and results."""
+    c = view(spark, sf, "craters").withColumn("chip_index", (F.col("idx") % 997).cast("int"))
+    found = significance.with_discoveries(assessed(spark, sf), 0.9)
+    return rounded(report.console(c, view(spark, sf, "status"), view(spark, sf, "graph"), view(spark, sf, "null_scores"), found))
+
+
 @query("SELECT s.chip_index AS manifest_index, s.status, s.n_craters FROM status s JOIN (SELECT DISTINCT CAST(idx_b AS INT) AS i FROM graph) w ON w.i = s.chip_index", "status", "graph")
 def manifest_lookup(spark, sf):
     """The rows of the chips that pairs name."""

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from farpoint.config import RADIUS_M, V_ESCAPE
 from farpoint.functions import geo, score, stats, velocity
+from farpoint.operators import catalog, significance
 from farpoint.operators.ranks import percentiles
 
 
@@ -88,3 +89,28 @@ def curves(spark: SparkSession, n: int = 500) -> DataFrame:
     shape = of("ellipticity", 30.0, 180.0, geo.expected_ellipticity)
     life = of("survival_myr", 1.0, 10.0, stats.survival_myr)
     return offset.union(shape).union(life)
+
+
+def lines(section: str, row: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """(section, place, label, value) from a table of one row."""
+    each = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("label"), c.cast("double").alias("value")) for i, (n, c) in enumerate(labels.items())])
+    return row.select(F.lit(section).alias("section"), F.explode(each).alias("l")).select("section", "l.*")
+
+
+def console(craters: DataFrame, chips: DataFrame, pairs: DataFrame, null: DataFrame, assessed: DataFrame, top: int = 200) -> DataFrame:
+    """(section, place, label, value): what a run prints about its catalogue, pairing, null model and results.
+
+    A table without rows gives its counts as 0 and what it would measure as null.
+    """
+    c = catalog.chips_with_craters(craters).crossJoin(catalog.coverage_km2(chips).select("coverage_km2"))
+    catalogue = lines("catalogue", c, {"chips with craters": F.col("n_chips"), "craters": F.col("n_craters"), "coverage in km2": F.col("coverage_km2"), "craters per chip": F.try_divide("n_craters", "n_chips")})
+    pairing = lines("pairing", pairs.agg(F.count("*").alias("n")), {"raw pairs": F.col("n"), "pairs without common ends, at most": F.lit(top)})
+    n = significance.percentiles(null)
+    trials = lines("null model", n, {"trials": F.col("n_trials"), "50th percentile": F.col("p50"), "95th percentile": F.col("p95"), "99th percentile": F.col("p99"), "largest": F.col("best")})
+    ends = ("lon_a", "lat_a", "lon_b", "lat_b")
+    own = [x for x in ("p_value", "separation_deg", *ends) if x in assessed.columns]
+    best = F.max_by(F.struct("score", *own), F.struct("score", -F.col("idx_a"), -F.col("idx_b")))
+    r = assessed.where("score IS NOT NULL").agg(best.alias("best"), F.count_if("bh_significant").alias("found"))
+    at = {x: F.col(f"best.{x}") for x in own}
+    results = lines("results", r, {"best score": F.col("best.score"), **{x.replace("_", " "): c for x, c in at.items()}, "significant pairs": F.col("found")})
+    return catalogue.union(pairing).union(trials).union(results)

@@ -73,7 +73,7 @@ def unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.
 
 
 def tiff_pixels(data: bytes) -> np.ndarray:
-    """Rows x columns of a TIFF of one 32-bit float a pixel, in strips, plain or deflated."""
+    """Rows x columns of a TIFF of one 32-bit float a pixel, which is what the service's float format gives: in strips, plain or deflated, of either byte order. ValueError for other forms (tiles, LZW, predictors, other samples)."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order:
         raise ValueError("no TIFF")

@@ -363,6 +363,8 @@ def test_manifest_and_json_files(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "broken.json"), files.METADATA).first()["status"] is None
     files.write_csv(files.empty(spark, files.MANIFEST), str(tmp_path / "e"))
     assert files.read_csv(spark, str(tmp_path / "e"), files.MANIFEST).count() == 0
+    header = "".join(p.read_text() for p in (tmp_path / "e").glob("*.csv"))
+    assert header.strip() == ",".join(f.name for f in files.MANIFEST)  # a file of a header alone
     assert survey.task_range(spark.range(10).withColumnRenamed("id", "manifest_index"), 1, 4, 7).count() == 3
 
 
@@ -374,6 +376,13 @@ def test_progress(spark):
     assert bars == ["[........]", "[####....]", "[########]", "[########]"]
 
 
+def test_console_of_empty_tables(spark):
+    pairs = spark.createDataFrame([], "idx_a long, idx_b long, score double, p_value double, separation_deg double, bh_significant boolean")
+    got = {(r["section"], r["label"]): r["value"] for r in report.console(spark.createDataFrame([], "chip_index int"), spark.createDataFrame([], "chip_span_m double"), pairs, spark.createDataFrame([], "score double"), pairs, 7).collect()}
+    assert got["catalogue", "craters"] == got["pairing", "raw pairs"] == got["null model", "trials"] == got["results", "significant pairs"] == 0.0 and got["pairing", "pairs without common ends, at most"] == 7.0
+    assert got["results", "best score"] is None and got["results", "separation deg"] is None and got["null model", "95th percentile"] is None and got["catalogue", "craters per chip"] is None
+
+
 def test_report_tables(spark):
     rows = craters(spark, *[(i, 40.0 * i - 100, 10.0 * i, 4.0, 0.5, 1.0, 1.0, 1.0 + i / 5, 20.0 * i, i != 2, 0.5) for i in range(4)])
     panels = report.cone_panels(rows, 6.0, 9).collect()
