@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from farpoint.llm.common import cut, drop, fresh, maybe_in, pieces, sieve, slices, text_batches
 from farpoint.llm.components import components
@@ -393,14 +394,15 @@ def near_groups(docs: DataFrame, texts: DataFrame, k: int = 5, similarity: float
         roots = components(links)
         named = open_.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "f", F.xxhash64(F.coalesce("root", "key")).alias("group"))
         # each text's nearest ones first, of which those of earlier rounds go
-        offered = met(named, count, False).select(F.col("a").alias("x"), F.struct("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("p"))
-        chosen = offered.groupBy("x").agg(F.slice(F.array_sort(F.collect_set("p")), 1, near).alias("p")).select(F.explode("p").alias("p"))
-        pairs = cut(chosen.select("p.a", "p.b").distinct().join(tried, ["a", "b"], "left_anti"))
+        offered = met(named, count, False).groupBy(F.col("a").alias("x"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w"))
+        place = F.row_number().over(Window.partitionBy("x").orderBy("w", "a", "b"))
+        pairs = cut(offered.withColumn("place", place).where(F.col("place") <= near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         near *= 2
         more = cut(compared(pairs, sets, np.uint32).where(F.col("d") <= far).select("a", "b"))
         if more.isEmpty():
-            drop(open_, sets, pairs, more, tried)
+            drop(open_, sets, pairs, more, tried, links)
             return roots.select(F.col("node").alias("key"), F.col("root").alias("least"))
+        drop(roots)
         tried, links = tried.union(pairs), links.union(more)
 
 
