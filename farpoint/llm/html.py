@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import text_batches
+from farpoint.llm.common import fresh, text_batches
 
 # Element names of HTML.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -270,7 +270,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     are named text or n_chars are replaced; repeated rows stay repeated; an empty table gives an empty table.
     """
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    src = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias("__html"))
+    src = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias(*fresh([*keep, "text", "n_chars"], "html")))
     schema = src.select(*[f"`{c}`" for c in keep], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import by_bytes, text_batches
+from farpoint.llm.common import by_bytes, fresh, text_batches
 
 #: Safe boundaries: a cut before a blank, tab or line end that follows a character that is no white space.
 #: Pre-tokenizers of the byte-level kind match from left to right and look ahead only at white space, so a text's
@@ -54,8 +54,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     the table.
     """
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    src = src.withColumn("n_bytes", F.octet_length("__text").cast("long"))
+    (held,) = fresh([*keep, "n_bytes", "n_tokens", "over_limit"], "text")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(held))
+    src = src.withColumn("n_bytes", F.octet_length(F.col(f"`{held}`")).cast("long"))
     schema = src.select(*[f"`{c}`" for c in keep], "n_bytes", F.lit(0).cast("long").alias("n_tokens")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,11 +65,11 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         counter = Counter(path)
         for b in batches:
-            at = b.schema.get_field_index("__text")
+            at = b.schema.get_field_index(held)
             n = pa.array(counter.counts(b.column(at).to_pylist()), pa.int64())
             cols = [c for i, c in enumerate(b.columns) if i != at]
             names = [x for i, x in enumerate(b.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, n], names=[*names, "n_tokens"])
 
     order = [f"`{c}`" for c in keep]
-    return text_batches(src.select(*order, "n_bytes", "__text")).mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return text_batches(src.select(*order, "n_bytes", f"`{held}`")).mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import slices, text_batches
+from farpoint.llm.common import fresh, slices, text_batches
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a worker remembers; beyond, it starts anew.
@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False)
     """
     new = ("ids", "n_pieces", "exact")
     keep = [c for c in docs.columns if c not in (text, *new)]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(*fresh([*keep, *new], "text")))
     schema = src.select(*[f"`{c}`" for c in keep], F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("boolean").alias("exact")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +281,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """All columns of ``encoded`` but the ids, with text; null ids give an empty text, ids out of range or null ones inside nothing."""
+    """All columns of ``encoded`` but the ids, with text; null ids give an empty text, ids out of range or null ones inside nothing. Repeated rows stay; an empty table gives an empty table; a column named text is replaced."""
     keep = [c for c in encoded.columns if c not in (ids, "text")]
-    src = encoded.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias("__i"))
+    src = encoded.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias(*fresh([*keep, "text"], "ids")))
     schema = src.select(*[f"`{c}`" for c in keep], F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

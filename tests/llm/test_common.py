@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from farpoint.llm import common
 
@@ -65,3 +66,16 @@ def test_components_of_many_parts(spark, monkeypatch):
         assert got == want
     names = spark.createDataFrame([(bytes([a % 256, a // 256]), bytes([b % 256, b // 256])) for a, b in e if a is not None], "a binary, b binary")
     assert len({bytes(r["root"]) for r in graphs.components(names).collect()}) == len(set(want.values()))
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_components_of_rising_chains(spark, monkeypatch, down):
+    """A thousand links whose names rise along a path, a hundred to a part: few levels."""
+    from farpoint.llm import components as graphs
+
+    made = []
+    monkeypatch.setattr(graphs, "EDGES", 100)
+    monkeypatch.setattr(graphs, "ordered", lambda e, level, plain=graphs.ordered: made.append(level) or plain(e, level))
+    edges = [(1000 - i, 999 - i) if down else (i, i + 1) for i in range(1000)]
+    got = {r["node"]: r["root"] for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1001), 0) and max(made) <= 8

@@ -509,3 +509,16 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(301))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    """Columns that bear the names of helper columns stay as they are."""
+    names = ["text", "html", "ids", "__text", "__html", "__t", "__i", "_text", "_html", "_ids"]
+    df = spark.createDataFrame([(1, "<p>" + "some words here " * 30 + "</p>", "a b", 5, *range(6))], "doc_id long, html string, body string, __text int, " + ", ".join(f"{n} int" for n in names[4:]))
+    assert tokencount.token_counts(df, tokenizer("byte_bpe_50k.json"), text="body").select("n_tokens", "__text", "_text").first()[1:] == (5, 3)
+    got = html.extract(df).first()
+    assert got["text"].startswith("some words") and (got["__html"], got["_html"]) == (0, 4)
+    coded = wfst.encode(df.withColumn("n", F.lit(1)), tokenizer("piece_bpe_32k.model"), text="body")
+    assert (coded.first()["__t"], coded.first()["_text"]) == (1, 3)
+    back = wfst.decode(coded, tokenizer("piece_bpe_32k.model")).first()
+    assert back["text"] == "a b" and (back["__i"], back["_ids"]) == (2, 5)
