@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from farpoint.llm import ann, html, linededup, mixing, paragraphs, quality, simhash, tokencount, topk, wfst
 from farpoint.llm.components import components
@@ -511,6 +512,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_short_paragraphs(spark):
+    """Pairs of 20 to 49 words with a changed, a lost or an added word at a similarity of 0.8 and more."""
+    rng, texts, pairs = random.Random(9), [], []
+    vocabulary = [a + b + c for a in "bdfgk" for b in WORDS[:30] for c in "aeiou"]
+    while len(pairs) < 240:
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(20, 49))]
+        v = list(w)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.choice([0, 1, len(v) - 1, rng.randrange(len(v))])
+            kind = rng.randrange(3)
+            v[at : at + 1] = [[rng.choice(vocabulary)], [], [v[at], rng.choice(vocabulary)]][kind]
+        x, y = (set(zip(*(z[i:] for i in range(5)), strict=False)) for z in (w, v))
+        if len(v) >= 20 and 0.8 <= len(x & y) / len(x | y) < 1:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(w), " ".join(v)]
+    got = {r["doc_id"]: tuple(r["classes"]) for r in paragraphs.repeats(docs(spark, *texts)).collect()}
+    assert sum(got[a] == got[b] != () for a, b in pairs) >= 0.95 * len(pairs)
+    assert len({got[a] for a, _ in pairs if got[a]}) == sum(got[a] != () for a, _ in pairs)
+
+
 def test_columns_of_any_name(spark):
     """Columns that bear the names of helper columns stay as they are."""
     names = ["text", "html", "ids", "__text", "__html", "__t", "__i", "_text", "_html", "_ids"]
