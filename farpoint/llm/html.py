@@ -20,12 +20,12 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul video".split()
 )
 #: Elements whose content is no markup; it goes whole.
-RAW = frozenset("script style textarea noscript template iframe svg math title canvas object noframes xmp".split())
+RAW = frozenset("script style textarea noscript template iframe svg title canvas object noframes xmp".split())
 CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 #: Elements that end an open one of their kind.
 ENDING = frozenset("p li tr td th dt dd option".split())
 #: Elements that go with all they hold.
-OUT = frozenset("head nav footer aside form button select menu dialog label input fieldset audio video map datalist noscript template iframe svg math".split())
+OUT = frozenset("head nav footer aside form button select menu dialog input fieldset audio video map datalist noscript template iframe svg".split())
 #: Words of class, id or role that mark what is not the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
@@ -38,6 +38,13 @@ WHOLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|promotion|cookies?|consent|gdpr|popup|newsletter|comments?|commentlist|replies|reply|respond|disqus|discussion|related|recommended|recommendations)(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article, where sections discuss, relate and reply: what goes whatever it holds if it is a whole class word, id or role, and the words that mark the rest.
+INSIDE = re.compile(
+    r"(?:^|\s)(?:ads?|ad-\S+|adverts?|advertisement|advertising|sponsored|promo|promotion|cookies?|consent|gdpr|popup|newsletter|comments?|commentlist|disqus|recommended|recommendations|"
+    r"(?:comments?|reader|user)[-_](?:comments?|list|section|area|thread|form)|related[-_](?:posts?|articles?|links?|stories|content|news))(?=$|\s)",
+    re.I,
+)
+INNER = re.compile(re.sub(r"\b(?:sponsored|sponsor|replies|reply|respond|discussion|related)\|", "", MARKS.pattern), re.I)
 #: Class words that only say what a layout has or lacks.
 HAS = re.compile(r"(?:^|(?<=\s))(?:no|non|not|has|have|with|without)[_-]\S*", re.I)
 CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -60,15 +67,16 @@ HINT = 10_000
 def marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether the words of an element's class, id, role or label mark it as no article, and whether as one that goes whatever it holds.
 
-    Ids of headings, and of sections inside the article, are names to link to and count in the second case only.
+    Ids of headings, and of sections inside the article, are names to link to and count in the second case only. Inside
+    the article words such as discussion, related or reply prove nothing.
     """
     soft = False
     for kind, *values in NAMED.findall(attributes):
         value = HAS.sub(" ", CAMEL.sub(r"\1-\2", next((v for v in values if v), "")))
-        if WHOLE.search(value):
+        if (INSIDE if inside else WHOLE).search(value):
             return True, True
         names = kind.lower() == "id" and (name in HEADINGS or name == "section" and inside)
-        soft = soft or not names and bool(MARKS.search(value))
+        soft = soft or not names and bool((INNER if inside else MARKS).search(value))
     return soft, False
 
 

@@ -512,6 +512,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_html_sections_of_the_article():
+    """Words such as discussion or related prove nothing inside an article; comments, adverts and teasers go all the same. Formulas and labels are text."""
+    long = "The body of this article goes on for quite a while and says something. " * 4
+    for mark in ("class='discussion'", "id='related-work'", "class='related-work'", "class='sponsor'", "id='reply'", "class='respond'"):
+        assert html.main_text(f"<article><p>{long}</p><section {mark}><p>{long}</p></section></article>") == f"{long}{long}".strip(), mark
+    for mark in ("class='comments'", "id='comments'", "class='ad'", "class='ad-slot'", "class='related-posts'", "class='newsletter'", "class='share'", "class='user-comments list'"):
+        assert html.main_text(f"<article><p>{long}</p><div {mark}><p>{long}</p></div></article>") == long.strip(), mark
+    assert html.main_text(f"<article><p>{long}</p><p>Where <math><mi>x</mi> = <mn>1</mn></math>, <label>case one</label>.</p></article>").endswith("Where x = 1, case one.")
+    outside = f"<div class='discussion'><p>{long}</p></div>"
+    assert html.main_text(f"<body><article><p>{long}</p></article>{outside}</body>") == long.strip()
+
+
 def test_short_paragraphs(spark):
     """Pairs of 20 to 49 words with a changed, a lost or an added word at a similarity of 0.8 and more."""
     rng, texts, pairs = random.Random(9), [], []
