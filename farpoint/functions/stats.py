@@ -68,10 +68,15 @@ def effective_radius(radius: Column) -> Column:
     return F.sqrt(F.avg(radius * radius))
 
 
+def flux_limit(mass_g: Column, cross_section_cm2: float, seconds: float, share: float, flux: float = FLUX_G_S) -> Column:
+    """The largest fraction of the flux that three expected events allow, for bodies of the mass."""
+    return 3.0 * mass_g / (flux * cross_section_cm2 * seconds * share)
+
+
 def limit_curve(spark: SparkSession, cross_section_cm2: float, seconds: float, share: float, flux: float = FLUX_G_S, lo: float = 14.0, hi: float = 22.0, n: int = 500) -> DataFrame:
-    """(mass_g, limit): the largest fraction of the flux that three expected events allow, for even steps of the mass's logarithm."""
+    """(mass_g, limit) for even steps of the mass's logarithm."""
     m = F.pow(F.lit(10.0), F.lit(lo) + F.col("id") * ((hi - lo) / (n - 1)))
-    return spark.range(n).select(F.col("id").alias("i"), m.alias("mass_g"), (3.0 * m / (flux * cross_section_cm2 * seconds * share)).alias("limit"))
+    return spark.range(n).select(F.col("id").alias("i"), m.alias("mass_g"), flux_limit(m, cross_section_cm2, seconds, share, flux).alias("limit"))
 
 
 def covered_share(km2: Column, area: float = AREA_KM2) -> Column:

@@ -640,3 +640,6 @@ def chip_progress(spark, sf):
 def missing_chips(spark, sf):
     status = view(spark, sf, "status")
     return monitor.missing_chips(up_to(status, "chip_index", 2000, "manifest_index"), status)
+
+
+from farpoint.plans import queries_files  # noqa: E402, F401  their queries join those above

@@ -115,3 +115,23 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_json(spark: SparkSession, what: dict, path: str) -> None:
     """One small document."""
     spark.createDataFrame([(json.dumps(what, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_chips(craters: DataFrame, metadata: DataFrame, root: str) -> None:
+    """``root``/<chip_dir>/craters.csv and metadata.json for each chip_dir of ``craters`` and ``metadata`` (with METADATA's columns, as text what is no document).
+
+    Each chip's rows go to one task, which writes its file; the driver then moves the files to their names, one for
+    each chip. A chip_dir has to begin with "chip_".
+    """
+    spark, aside = craters.sparkSession, f"{root.rstrip('/')}/_aside"
+    craters.repartition("chip_dir").write.mode("overwrite").partitionBy("chip_dir").csv(f"{aside}/craters", header=True)
+    metadata.repartition("chip_dir").write.mode("overwrite").partitionBy("chip_dir").text(f"{aside}/metadata")
+    for kind, name in (("craters", "craters.csv"), ("metadata", "metadata.json")):
+        fs, pattern = hadoop_path(spark, f"{aside}/{kind}/chip_dir=*/part-*")
+        for status in fs.globStatus(pattern):
+            chip = status.getPath().getParent().getName().split("=", 1)[1]
+            _, to = hadoop_path(spark, f"{root.rstrip('/')}/{chip}/{name}")
+            fs.mkdirs(to.getParent())
+            fs.rename(status.getPath(), to)
+    fs, path = hadoop_path(spark, aside)
+    fs.delete(path, True)
