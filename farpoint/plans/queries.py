@@ -67,7 +67,8 @@ def sql(text: str, *views: str) -> str:
     names = list(dict.fromkeys(views))
     own = [f"{v} AS (SELECT {VIEWS[v][1]} FROM {VIEWS[v][0]})" for v in names if v in VIEWS]
     own += [f"cells AS ({CHIPS})"] * ("cells" in views)
-    return f"WITH {', '.join(own)}{',' if text.lstrip().startswith('+') else ''} {text.lstrip().removeprefix('+')}" if own else text
+    recursive = "RECURSIVE " if " AS (SELECT" in text and "UNION ALL SELECT" in text and "FROM walk" in text else ""
+    return f"WITH {recursive}{', '.join(own)}{',' if text.lstrip().startswith('+') else ''} {text.lstrip().removeprefix('+')}" if own else text
 
 
 def rounded(df: DataFrame, places: int = S) -> DataFrame:
@@ -642,4 +643,4 @@ def missing_chips(spark, sf):
     return monitor.missing_chips(up_to(status, "chip_index", 2000, "manifest_index"), status)
 
 
-from farpoint.plans import queries_files  # noqa: E402, F401  their queries join those above
+from farpoint.plans import queries_detect, queries_files  # noqa: E402, F401  their queries join those above
