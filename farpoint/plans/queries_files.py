@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import struct
 import uuid
+import zlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from farpoint.operators import catalog, nullmodel, significance
 from farpoint.operators.tables import shared_dir
 from farpoint.plans import pipeline, report
 from farpoint.plans.queries import ARC, BEAR, BH, assessed, dest, query, rounded, view
-from farpoint.sources import files, service, survey
+from farpoint.sources import files, imagery, service, survey
 from farpoint.streaming import monitor
 
 
@@ -185,3 +187,37 @@ SEEN = {"right": "cos(radians(lat_deg)) * sin(radians(lon_deg - 40))", "up": "co
 def projected_craters(spark, sf):
     """The side of the sphere that is seen from above 40 degrees east, 25 north."""
     return rounded(report.projected(view(spark, sf, "craters"), F.lit(40.0), F.lit(25.0)))
+
+
+def drawn(params: dict) -> bytes:
+    """What a service would answer: an image of one grey by its box's western bound, heights of the southern one, an exception for boxes south of -80."""
+    west, south = map(float, params["BBOX"].split(",")[:2])
+    n = int(params["WIDTH"])
+    if south < -80:
+        return b"<ServiceExceptionReport/>"
+    if params["FORMAT"] == imagery.IMAGE:
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        head, rows = struct.pack(">IIBBBBB", n, n, 8, 0, 0, 0, 0), (b"\0" + bytes([int(west + 180) % 256]) * n) * n
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    body = struct.pack(f"<{n * n}f", *[south] * (n * n))
+    tags = [(256, n), (257, n), (258, 32), (259, 1), (273, 8), (279, len(body)), (339, 3)]
+    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+
+
+SPAN = 12_000.0
+WEST, SOUTH = f"(center_lon - degrees({SPAN!r} / ({RADIUS_M!r} * cos(radians(center_lat)))) / 2)", f"(center_lat - degrees({SPAN!r} / {RADIUS_M!r}) / 2)"
+BOXED = f"{WEST} >= -180 AND center_lon + degrees({SPAN!r} / ({RADIUS_M!r} * cos(radians(center_lat)))) / 2 <= 180 AND {SOUTH} >= -80"
+
+
+@query(f"+ p AS (SELECT product_id, center_lon, center_lat, {BOXED} AS ok FROM products QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY resolution_mpp, center_lat, center_lon) = 1) SELECT product_id, CASE WHEN ok THEN 4 END AS h, round(CASE WHEN ok THEN floor({WEST} + 180) % 256 / 255 END, 5) AS grey, round(CASE WHEN ok THEN {SOUTH} END, 3) + 0 AS height FROM p", "products")
+def service_chips(spark, sf):
+    """Images and heights of each product's box, asked of a service whose answers are kept, and asked again: what is kept is the answer."""
+    store, p = scratch(spark), catalog.best_products(view(spark, sf, "products")).select("product_id", "center_lon", "center_lat")
+    boxes = survey.chip_boxes(p, SPAN)
+    ask = lambda layer, kind: F.struct(F.lit(kind).alias("kind"), imagery.map_request(layer, F.col("bbox"), 4, 4, kind).alias("params"))
+    asked = boxes.select("product_id", F.explode(F.array(ask("images", imagery.IMAGE), ask("heights", imagery.TERRAIN))).alias("a")).select("product_id", "a.*")
+    service.fetched(asked, drawn, store, per_second=0, each=1 << 20)
+    got = service.fetched(asked, drawn, store, per_second=0, each=1 << 20).drop("params")
+    of = lambda kind, name: imagery.decoded(got.where(F.col("kind") == kind), kind).select("product_id", F.col("h").alias(f"h_{name}"), (F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / F.size("pixels")).alias(name))
+    both = of(imagery.IMAGE, "grey").join(of(imagery.TERRAIN, "height"), "product_id")
+    return both.select("product_id", F.col("h_grey").alias("h"), (F.round("grey", 5) + 0.0).alias("grey"), (F.round("height", 3) + 0.0).alias("height"))
