@@ -67,7 +67,7 @@ def sql(text: str, *views: str) -> str:
     names = list(dict.fromkeys(views))
     own = [f"{v} AS (SELECT {VIEWS[v][1]} FROM {VIEWS[v][0]})" for v in names if v in VIEWS]
     own += [f"cells AS ({CHIPS})"] * ("cells" in views)
-    recursive = "RECURSIVE " if " AS (SELECT" in text and "UNION ALL SELECT" in text and "FROM walk" in text else ""
+    recursive = "RECURSIVE " if "walk AS (" in text else ""
     return f"WITH {recursive}{', '.join(own)}{',' if text.lstrip().startswith('+') else ''} {text.lstrip().removeprefix('+')}" if own else text
 
 

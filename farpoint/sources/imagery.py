@@ -43,33 +43,28 @@ def png_pixels(data: bytes) -> np.ndarray:
     if not channels or depth != 8 or interlaced:
         raise ValueError("only PNGs of 8 bits without palette or interlacing")
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h, w * channels), np.uint8)
-    above = np.zeros(w * channels, np.uint8)
-    for y in range(h):
-        out[y] = above = unfiltered(int(raw[y, 0]), raw[y, 1:], above, channels)
-    px = out.reshape(h, w, channels).astype(float)
+    px = unfiltered(raw[:, 0], raw[:, 1:].reshape(h, w, channels)).astype(float)
     grey = px[..., 0] if channels < 3 else np.floor((px[..., :3] @ (19595, 38470, 7471) + 32768) / 65536)
     return grey / 255.0
 
 
-def unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    """A PNG line without its filter."""
-    if kind == 0:
-        return line
-    if kind == 2:
-        return line + above
-    if kind == 1:
-        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-    out, up = line.astype(int).tolist(), above.tolist()
-    for i in range(len(out)):
-        a, b, c = (out[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
-        if kind == 3:
-            guess = (a + b) // 2
-        else:
-            p = a + b - c
-            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-        out[i] = (out[i] + guess) & 255
-    return np.array(out, np.uint8)
+def unfiltered(kinds: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """A PNG's lines (rows x columns x channels, each line with its kind of filter) as they were.
+
+    A pixel needs those left of it, above, and above on the left; so all pixels of a diagonal are made at once.
+    """
+    h, w, channels = raw.shape
+    out = np.zeros((h + 1, w + 1, channels), np.int16)  # with a line and a column of zeros
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = a + b - c
+        to_a, to_b, to_c = abs(p - a), abs(p - b), abs(p - c)
+        nearest = np.where((to_a <= to_b) & (to_a <= to_c), a, np.where(to_b <= to_c, b, c))
+        guess = np.choose(kinds[y, None], [np.zeros_like(a), a, b, (a + b) // 2, nearest])
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:]
 
 
 def tiff_pixels(data: bytes) -> np.ndarray:
