@@ -1,4 +1,4 @@
-"""SimHash near-dedup: meet-in-the-middle ball hashing of fingerprints."""
+"""SimHash near-dedup: meet-in-the-middle ball hashing of fingerprints; near copies by the similarity of whole texts."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from farpoint.llm import alike
+from farpoint.llm.alike import frequent, prefixes
 from farpoint.llm.common import cut, drop, fresh, maybe_in, pieces, sieve, slices, text_batches
 from farpoint.llm.components import components
-from farpoint.llm.shingling import compared, rolled, shingle_hashes, word_hashes, words_of
+from farpoint.llm.shingling import rolled, shingle_hashes, word_hashes, words_of
 
 RADIUS = 3
 #: A bucket group holds about so many variants.
@@ -172,171 +173,11 @@ def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     return marked.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by text: ball hashing of parts of a longer fingerprint, pairs verified on the shingles themselves.
-
-#: Words of the shingles that the 128-bit fingerprints are made of: an edit changes the fewest of short ones.
-FEATURE = 2
-#: Each table has BITS of the 128 bits and a radius of 2: every fingerprint emits the variants within one flip.
-TABLES, BITS = 12, 28
-#: Entries that share a variant are compared if at most FAR of all 128 bits differ: at a similarity of 0.8, 0.998 are.
-FAR = 32
-#: A group of variants takes about so many entries.
-ENTRIES = 20_000
-#: In the second round an entry is compared with its NEAR nearest of other groups, in each later one with twice as many, of the OFFERED nearest in each group of variants.
-NEAR, OFFERED = 8, 64
-
-
-def long_fingerprint(words: list[bytes]) -> bytes:
-    """128 bits of SimHash over the shingles of FEATURE words; no word: 0."""
-    if not words:
-        return bytes(16)
-    x, k = word_hashes(words), min(FEATURE, len(words))
-    return majority(np.stack([rolled(x, k), rolled(x, k, 1)], 1).view(np.uint8)).tobytes()
-
-
-def table_values(fps: np.ndarray, table: int) -> np.ndarray:
-    """The BITS bits of each fingerprint (n x 16 bytes) that a table takes."""
-    at = np.random.default_rng(100 + table).choice(128, BITS, replace=False)
-    return np.unpackbits(fps, axis=1, bitorder="little")[:, at].astype(np.uint32) @ (np.uint32(1) << np.arange(BITS, dtype=np.uint32))
-
-
-def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints (n x 2 64-bit words)."""
-    return np.bitwise_count(x ^ y).sum(-1)
-
-
-def buckets(values: np.ndarray, flips: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, entry): the entries of one group in the order of their variants, and where each variant that several share begins and ends, as (n x 2).
-
-    flips: 0 for an entry whose own value is in this group: it and its flips outside the prefix are its variants here;
-    i + 1 for one that comes here by flipping bit i of the prefix.
-    """
-    low = BITS - prefix
-    own = np.flatnonzero(flips == 0)
-    moved = np.flatnonzero(flips)
-    steps = np.concatenate([np.zeros(1, np.uint32), np.uint32(1) << np.arange(low, dtype=np.uint32)])
-    v = np.concatenate([(values[own][:, None] ^ steps).ravel(), values[moved] ^ (np.uint32(1) << (low + flips[moved] - 1).astype(np.uint32))])
-    who = np.concatenate([np.repeat(own, low + 1), moved])
-    order = np.lexsort((who, v))
-    v, who = v[order], who[order]
-    edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
-    span = np.stack([edge[:-1], edge[1:]], 1)
-    return span[span[:, 1] - span[:, 0] > 1], who
-
-
-def hubs_of(fp: np.ndarray, span: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """First round: (entry, hub, weight of the hub), one for each entry that has another within FAR bits in a bucket.
-
-    An entry's weight is the number of entries that it meets in all its buckets: of a text and its variants, the text
-    meets most. A bucket's hub is its entry of largest weight; those beyond FAR bits from it have hubs of their own. Of
-    the hubs that an entry gets in several buckets it keeps the one of largest weight.
-    """
-    weight = np.zeros(len(fp), np.int64)
-    size = span[:, 1] - span[:, 0]
-    inside = np.concatenate([np.arange(a, b) for a, b in span]) if len(span) else np.zeros(0, np.int64)
-    np.add.at(weight, who[inside], np.repeat(size - 1, size))
-    rank = np.lexsort((fp[:, 1], fp[:, 0], -weight)).argsort()
-    two = span[size == 2, 0]
-    x, y = who[two], who[two + 1]
-    near = apart(fp[x], fp[y]) <= FAR
-    first = rank[x] < rank[y]
-    found = [np.stack([np.where(first, y, x), np.where(first, x, y)], 1)[near]]
-    for a, b in span[size > 2]:
-        rest = who[a:b]
-        rest = rest[np.argsort(rank[rest])]
-        alone = []
-        while len(rest):
-            near = apart(fp[rest[1:]], fp[rest[0]]) <= FAR
-            if near.any():
-                found.append(np.stack([rest[1:][near], np.full(near.sum(), rest[0])], 1))
-            else:
-                alone.append(rest[0])
-            rest = rest[1:][~near]
-        for z in alone:  # what lies near it has another hub
-            others = who[a:b][who[a:b] != z]
-            d = apart(fp[others], fp[z])
-            if d.min() <= FAR:
-                found.append(np.array([[z, others[d.argmin()]]]))
-    p = np.concatenate(found)
-    p = p[np.lexsort((rank[p[:, 1]], p[:, 0]))]
-    p = p[np.concatenate([[True], p[1:, 0] != p[:-1, 0]])] if len(p) else p
-    return np.column_stack([p, weight[p[:, 1]]])
-
-
-def nearest_of(fp: np.ndarray, group: np.ndarray, span: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """Later rounds: (entry, other, bits apart) within FAR bits, for each entry that meets another group: in each bucket the nearest of the largest group and of the others, for the entries outside the largest; of an entry's pairs the OFFERED nearest."""
-    size = span[:, 1] - span[:, 0]
-    two = span[size == 2, 0]
-    x, y = who[two], who[two + 1]
-    d = apart(fp[x], fp[y]).astype(np.int64)
-    near = (group[x] != group[y]) & (d <= FAR)
-    found = [np.stack([p, q, d], 1)[near] for p, q in ((x, y), (y, x))]
-    for a, b in span[size > 2]:
-        w = who[a:b]
-        names, g, many = np.unique(group[w], return_inverse=True, return_counts=True)
-        if len(names) == 1:
-            continue
-        large = g == many.argmax()
-        few = np.flatnonzero(~large)
-        for i in range(0, len(few), 256):
-            f = few[i : i + 256]
-            d = apart(fp[w[f]][:, None, :], fp[w][None, :, :]).astype(np.int64)
-            d[g[f][:, None] == g[None, :]] = 1 << 20
-            for barred in (~large, large):
-                z = np.where(barred[None, :], 1 << 20, d)
-                at = z.argmin(1)
-                least = z[np.arange(len(f)), at]
-                ok = least <= FAR
-                found.append(np.stack([w[f][ok], w[at[ok]], least[ok]], 1))
-    p = np.unique(np.concatenate(found), axis=0)
-    p = p[np.lexsort((p[:, 1], p[:, 2], p[:, 0]))]
-    start = np.flatnonzero(np.concatenate([[True], p[1:, 0] != p[:-1, 0]])) if len(p) else np.zeros(0, np.int64)
-    return p[np.arange(len(p)) - np.repeat(start, np.diff([*start, len(p)])) < OFFERED]
-
-
-def met(entries: DataFrame, count: int, first: bool) -> DataFrame:
-    """Pairs a, b (keys) of ``entries`` (key, f, and group in later rounds) that meet in a variant, and w: in the first round the hub b's weight, later the bits that they are apart.
-
-    Variants that agree in the first bits of a table go to one task. An entry goes there once with all its variants,
-    and once for each of these bits to where flipping it leads.
-    """
-    prefix = min(BITS - 2, max(0, (max(1, count) // ENTRIES).bit_length()))
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, fps = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 16) for c in (0, 1))
-            group = b.column(2).to_numpy()
-            for t in range(TABLES):
-                base = (table_values(fps, t) >> np.uint32(BITS - prefix)).astype(np.int64)
-                to = np.concatenate([base, *[base ^ (1 << i) for i in range(prefix)]])
-                who, flip = np.tile(np.arange(len(base)), prefix + 1), np.repeat(np.arange(prefix + 1, dtype=np.uint8), len(base))
-                order = np.argsort(to, kind="stable")
-                g, at = np.unique(to[order], return_index=True)
-                packed = []
-                for lo, hi in zip(at, [*at[1:], len(order)], strict=True):
-                    n = order[lo:hi]
-                    w = who[n]
-                    packed.append(np.uint32(hi - lo).tobytes() + key[w].tobytes() + fps[w].tobytes() + group[w].tobytes() + flip[n].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(g), pa.int32()), pa.array(g, pa.int32()), pa.array(packed, pa.binary())], names=["t", "g", "p"])
-
-    def back(table: pa.Table) -> pa.Table:
-        parts = []
-        for p in table.column("p").to_pylist():
-            n = int(np.frombuffer(p, np.uint32, 1)[0])
-            parts.append((np.frombuffer(p, np.uint8, 16 * n, 4).reshape(n, 16), np.frombuffer(p, np.uint8, 16 * n, 4 + 16 * n).reshape(n, 16), np.frombuffer(p, np.int64, n, 4 + 32 * n), np.frombuffer(p, np.uint8, n, 4 + 40 * n)))
-        key, fps, group, flip = map(np.concatenate, zip(*parts, strict=True))
-        span, who = buckets(table_values(fps, table.column("t")[0].as_py()), flip.astype(np.int64), prefix)
-        fp = fps.view(np.uint64)
-        got = hubs_of(fp, span, who) if first else nearest_of(fp, group, span, who)
-        columns = {name: pa.array([key[i].tobytes() for i in got[:, c]], pa.binary()) for c, name in enumerate("ab")}
-        return pa.table(columns | {"w": pa.array(got[:, 2], pa.int64())})
-
-    dealt = entries.select("key", "f", F.lit(0).cast("long").alias("group") if first else "group").mapInArrow(out, "t int, g int, p binary")
-    return dealt.repartition(pieces(TABLES << prefix, 4), "t", "g").groupBy("t", "g").applyInArrow(back, "a binary, b binary, w long")
+# Near copies by text: the similarity join of the sets of shingles.
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, s): the distinct shingles, as 32-bit hashes, of the documents that ``wanted`` (key, i, h) names.
+    """(key, s): the distinct shingles, as 64-bit hashes, of the documents that ``wanted`` (key, i, h) names.
 
     A filter of fixed size lets these documents through, and few others; so only their texts are shuffled.
     """
@@ -347,63 +188,41 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1):
-                s = [np.unique((shingle_hashes(words_of(t), k) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
+                s = [np.unique(shingle_hashes(words_of(t), k)).tobytes() for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["key", "s"])
 
     return text_batches(both).mapInArrow(run, "key binary, s binary").groupBy("key").agg(F.first("s").alias("s"))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """i, h, key (128-bit hash of the words in lower case) and f (the long fingerprint) of each of ``docs`` (i, h, t)."""
+def marked(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """i, h, key (128-bit hash of the words in lower case), n (the number of different shingles of k words) and c (the prefix of their set) of each of ``docs`` (i, h, t)."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, docs.count(), lambda t: [shingle_hashes(words_of(t), k)]))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 2):
                 words = [words_of(t) for t in b.column(2).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(map(long_fingerprint, words), pa.binary())], names=["i", "h", "key", "f"])
+                hashes = [rolled(word_hashes(w), max(1, min(k, len(w)))) for w in words]
+                c, length, n = prefixes(np.concatenate(hashes), np.array(list(map(len, hashes))), known.value, similarity)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(c.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), lists], names=["i", "h", "key", "n", "c"])
 
-    return text_batches(docs).mapInArrow(mark, docs.select("i", "h", F.lit(b"").alias("key"), F.lit(b"").alias("f")).schema)
+    schema = docs.select("i", "h", F.lit(b"").alias("key"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("c")).schema
+    return text_batches(docs).mapInArrow(mark, schema)
 
 
-def near_groups(docs: DataFrame, texts: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, least): the groups of near copies among ``texts`` (key, f, and i, h of one document each) of ``docs`` (i, h, t).
+def near_groups(docs: DataFrame, seen: DataFrame, texts: DataFrame, k: int = 5, similarity: float = 0.8, part: int | None = None) -> DataFrame:
+    """(key, least): the groups of near copies among ``texts`` (key, and i, h of one document each) of ``docs`` (i, h, t); ``seen``: ``marked``.
 
     Texts are linked if the Jaccard similarity of their sets of k-word shingles is at least ``similarity``; groups are
-    the components of the links. Candidates come from the ball hashing of TABLES parts of the fingerprint: texts meet
-    if in one of them at most 2 bits differ. First each text is compared with one hub. Then, round by round, each text
-    that meets other groups, but for those of a bucket's largest group, is compared with the nearest of them, first NEAR
-    and then twice as many in each round, until a round finds no new link. No pair is compared twice. A text linked to
-    none of its nearest in the last round may have a link that is farther, in families of very many variants.
-
-    A pair of similarity 0.8 meets with probability 0.91 if one text is the other with a fifth more at its end, and
-    0.99 if single words are changed; of 0.9 with 0.99 and more. Copies of one source meet in groups, where one link of
-    each suffices. Sets are compared whole, as 32-bit hashes: of two texts of n shingles about n * n / 2**32 agree by
-    chance.
+    the components of the links. No link is lost: all pairs that can be at the similarity meet (``alike.links``), and
+    are compared on their whole sets, as 64-bit hashes.
     """
-    far = 1 - similarity + 1e-9
-    texts = texts.select("key", "f", "i", "h")
-    hubs = cut(met(texts, texts.count(), True).groupBy("a").agg(F.max(F.struct("w", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
-    open_ = cut(hubs.select(F.col("a").alias("key")).union(hubs.select("b")).distinct().join(texts, "key"))
-    sets = cut(sets_of(docs, open_.select("key", "i", "h"), k))
-    tried = cut(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    drop(hubs)
-    links = cut(compared(tried, sets, np.uint32).where(F.col("d") <= far).select("a", "b"))
-    count, near = open_.count(), NEAR
-    while True:
-        roots = components(links)
-        named = open_.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "f", F.xxhash64(F.coalesce("root", "key")).alias("group"))
-        # each text's nearest ones first, of which those of earlier rounds go
-        offered = met(named, count, False).groupBy(F.col("a").alias("x"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w"))
-        place = F.row_number().over(Window.partitionBy("x").orderBy("w", "a", "b"))
-        pairs = cut(offered.withColumn("place", place).where(F.col("place") <= near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        near *= 2
-        more = cut(compared(pairs, sets, np.uint32).where(F.col("d") <= far).select("a", "b"))
-        if more.isEmpty():
-            drop(open_, sets, pairs, more, tried, links)
-            return roots.select(F.col("node").alias("key"), F.col("root").alias("least"))
-        drop(roots)
-        tried, links = tried.union(pairs), links.union(more)
+    found = alike.links(seen.select("key", "n", "c"), lambda keys: sets_of(docs, texts.join(keys, "key").select("key", "i", "h"), k), similarity, part)
+    roots = components(found)
+    drop(found)
+    return roots.select(F.col("node").alias("key"), F.col("root").alias("least"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -420,10 +239,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     i, h, n, keep = fresh(cols, "i", "h", "n", "keep")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     src = docs.select(F.col(f"`{doc_id}`").alias("i"), F.xxhash64(t).alias("h"), t.alias("t"))
-    seen = cut(marked(src))
+    seen = cut(marked(src, k, similarity))
     order = F.struct(F.col("i").isNull().alias("z"), "i", "h")
-    texts = cut(seen.groupBy("key").agg(F.min(order).alias("o"), F.first("f").alias("f")).select("key", "o", "f", "o.i", "o.h"))
-    groups = near_groups(src, texts, k, similarity)
+    texts = cut(seen.groupBy("key").agg(F.min(order).alias("o")).select("key", "o", "o.i", "o.h"))
+    groups = near_groups(src, seen, texts, k, similarity)
     kept = texts.join(groups, "key", "left").groupBy(F.coalesce("least", "key").alias("g")).agg(F.min("o").alias("o")).select(F.col("o.i").alias("i2"), F.col("o.h").alias("h2"), F.lit(True).alias("keep"))
     rows = seen.groupBy("i", "h").agg(F.count("*").alias("n"))
     said = rows.join(kept, F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left").where("keep is null or n > 1")
