@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs and passages that repeat, found by MinHash banding and verified on their shingles."""
+"""Substring dedup: paragraphs that repeat, found by the similarity join of their shingles, and passages, found by hashes of runs."""
 
 from __future__ import annotations
 
@@ -10,46 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import bucket, cut, drop, fresh, maybe_in, sieve, slices, spread_join, text_batches
+from farpoint.llm import alike
+from farpoint.llm.common import cut, drop, fresh, maybe_in, sieve, slices, spread_join, text_batches
 from farpoint.llm.components import components
-from farpoint.llm.shingling import compared, rolled, shingle_hashes, word_hashes, words_of
+from farpoint.llm.shingling import rolled, shingle_hashes, word_hashes, words_of
 
 #: Words of a shingle, of the shortest paragraph, of the shortest passage of which a run is surely found, and of a run.
 K, LINE, WORDS, RUN = 5, 20, 50, 30
 #: Different words that a paragraph or a run has at least; what repeats one word is no passage.
 DIFFERENT = 10
-#: MinHash values of a signature, members that a member of a band is compared with in a round, and members of a band that a task takes.
-SIGNS, NEAR, PART = 128, 4, 20_000
-
-
-def bands_for(similarity: float, recall: float = 0.998, rows: int = 3, most: int = 64) -> tuple[int, int]:
-    """(bands, rows): of the choices of at most ``most`` bands that miss at most 1 - recall of the pairs at ``similarity``, the one with the fewest bands for ``rows`` rows, else for fewer."""
-    for r in range(rows, 0, -1):
-        for b in range(1, most + 1):
-            if 1 - (1 - similarity**r) ** b >= recall:
-                return b, r
-    return most, 1
-
-
-def constants(n: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
-
-
-def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, seed: int = 5) -> np.ndarray:
-    """(paragraphs x bands) keys; ``starts``: where each paragraph's hashes begin."""
-    a, b = constants(bands * rows, seed)
-    out = np.zeros((len(starts), bands), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(bands):
-            key = np.full(len(starts), i + 1, np.uint64)
-            for j in range(i * rows, (i + 1) * rows):
-                x = hashes * a[j] + b[j]
-                x ^= x >> np.uint64(31)
-                key = (key ^ np.minimum.reduceat(x, starts)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(32)
-            out[:, i] = key
-    return out
+#: Paragraphs that a part of a home (``alike.homes``) holds.
+PART = 2_000
 
 
 def chosen(h: np.ndarray, counts: np.ndarray, window: int, length: int) -> np.ndarray:
@@ -87,18 +58,21 @@ def keyed(docs: DataFrame, text: str, id_: str) -> DataFrame:
     return docs.select(F.col(f"`{id_}`").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).select("i", F.xxhash64("t").alias("h"), "t")
 
 
-def paragraphs(docs: DataFrame, text: str, id_: str, bands: int, rows: int, line: int, least: int, run: int = RUN) -> DataFrame:
+def paragraphs(docs: DataFrame, text: str, id_: str, similarity: float, line: int, least: int, run: int = RUN) -> DataFrame:
     """Rows of two kinds, all with i and h (the document) and a (the first word in it). For each line of at least
-    ``line`` words: p (the line), key (128-bit hash of its words) and bands. For the runs of ``run`` words that stand
+    ``line`` words: p (the line), key (128-bit hash of its words), n (the size of its set of shingles) and c (the set's
+    prefix). For the runs of ``run`` words that stand
     for the document, whatever its lines: k and k2 (64-bit hashes of their words)."""
     src = keyed(docs, text, id_)
     none = F.lit(None).cast
-    schema = src.select("i", "h", none("int").alias("p"), none("int").alias("a"), none("binary").alias("key"), none("array<long>").alias("bands"), none("long").alias("k"), none("long").alias("k2")).schema
+    schema = src.select("i", "h", none("int").alias("p"), none("int").alias("a"), none("binary").alias("key"), none("long").alias("n"), none("array<long>").alias("c"), none("long").alias("k"), none("long").alias("k2")).schema
     window, fewest = least - run + 1, min(DIFFERENT, line, run)
+    lines_of = lambda t: [shingle_hashes(w, K) for w in map(words_of, t.split("\n")) if len(w) >= line and len(set(w)) >= fewest]
+    known = docs.sparkSession.sparkContext.broadcast(alike.frequent(src, src.count(), lines_of))
 
-    def out(b: pa.RecordBatch, at, p, a, key, lists, k, k2) -> pa.RecordBatch:
+    def out(b: pa.RecordBatch, at, p, a, key, n, lists, k, k2) -> pa.RecordBatch:
         who = b.select([0, 1]).take(pa.array(at, pa.int64()))
-        return pa.RecordBatch.from_arrays([*who.columns, pa.array(p, pa.int32()), pa.array(a, pa.int32()), pa.array(key, pa.binary()), lists, pa.array(k, pa.int64()), pa.array(k2, pa.int64())], names=["i", "h", "p", "a", "key", "bands", "k", "k2"])
+        return pa.RecordBatch.from_arrays([*who.columns, pa.array(p, pa.int32()), pa.array(a, pa.int32()), pa.array(key, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(k, pa.int64()), pa.array(k2, pa.int64())], names=["i", "h", "p", "a", "key", "n", "c", "k", "k2"])
 
     def of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         every, counts, lines = [], [], []
@@ -113,13 +87,13 @@ def paragraphs(docs: DataFrame, text: str, id_: str, bands: int, rows: int, line
         x, counts = word_hashes(every), np.array(counts, np.int64)
         if lines:
             r, p, a, key, first, n = zip(*lines, strict=True)
-            many = np.array(n) - K + 1
+            many = np.maximum(np.array(n) - K + 1, 0)
             ends = np.cumsum(many)
             place = np.repeat(np.array(first) - (ends - many), many) + np.arange(ends[-1])
-            got = band_keys(rolled(x, K)[place], ends - many, bands, rows).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, bands, dtype=np.int32)), pa.array(got.ravel()))
+            c, length, size = alike.prefixes(rolled(x, K)[place], many, known.value, similarity)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(c.view(np.int64)))
             none = [None] * len(r)
-            yield out(b, r, p, a, key, lists, none, none)
+            yield out(b, r, p, a, key, size, lists, none, none)
         h = rolled(x, run)
         at = chosen(h, counts, window, run)
         at = at[different(x, at, run) >= fewest]
@@ -127,7 +101,7 @@ def paragraphs(docs: DataFrame, text: str, id_: str, bands: int, rows: int, line
             ends = np.cumsum(counts)
             r = np.searchsorted(ends, at, "right")
             none = [None] * len(at)
-            yield out(b, r, none, at - (ends - counts)[r], none, pa.nulls(len(at), pa.list_(pa.int64())), h[at].view(np.int64), rolled(x, run, 1)[at].view(np.int64))
+            yield out(b, r, none, at - (ends - counts)[r], none, none, pa.nulls(len(at), pa.list_(pa.int64())), h[at].view(np.int64), rolled(x, run, 1)[at].view(np.int64))
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,103 +132,19 @@ def shingle_sets(docs: DataFrame, text: str, id_: str, wanted: DataFrame) -> Dat
     return text_batches(both).mapInArrow(run, "key binary, s binary").groupBy("key").agg(F.first("s").alias("s"))
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """(key, g): of each set of shingles SIGNS MinHash values, a byte each."""
+def classes(found: DataFrame, docs: DataFrame, text: str, id_: str, similarity: float) -> DataFrame:
+    """(key, root) of the paragraphs that are linked to another text: components of all links at the similarity.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            if h:
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in h])[:-1]]).astype(np.int64)
-                got = (band_keys(np.concatenate(h), starts, SIGNS, 1, seed=6) >> np.uint64(56)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in got], pa.binary())], names=["key", "g"])
-
-    return sets.select("key", "s").mapInArrow(run, "key binary, g binary")
-
-
-def nearest(t: pa.Table, least: int) -> pa.Table:
-    """Of members of a band (key, root, main, ask, target, g): pairs of each that asks with the NEAR targets of the main component, and the NEAR of others, that agree in the most values of their signatures, and in ``least`` at least. Those of its own component are left out."""
-    keys = t.column("key").to_pylist()
-    g = np.frombuffer(b"".join(t.column("g").to_pylist()), np.uint8).reshape(-1, SIGNS)
-    root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)[1]
-    main, ask, target = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("main", "ask", "target"))
-    few, found = np.flatnonzero(ask), [np.zeros((0, 2), np.int64)]
-    for at in (np.flatnonzero(target & main), np.flatnonzero(target & ~main)):
-        if not len(at):
-            continue
-        step = max(1, (1 << 26) // (SIGNS * len(at)))
-        for i in range(0, len(few), step):
-            f = few[i : i + step]
-            x = (g[f][:, None, :] == g[at][None, :, :]).sum(2, dtype=np.int32)
-            x[root[f][:, None] == root[at][None, :]] = -1
-            n = min(NEAR, len(at))
-            top = np.argpartition(-x, n - 1, axis=1)[:, :n]
-            who, which = np.nonzero(np.take_along_axis(x, top, 1) >= least)
-            found.append(np.stack([f[who], at[top[who, which]]], 1))
-    p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    return pa.table({"a": pa.array([keys[i] for i in p[:, 0]], pa.binary()), "b": pa.array([keys[i] for i in p[:, 1]], pa.binary())})
+    ``found``: a row for each distinct paragraph: key, n and c (``paragraphs``), and its first place i, h, p. Variants
+    of a text cost a link each, however many they are, and no link is lost (``alike.links``).
+    """
+    links = alike.links(found.select("key", "n", "c"), lambda keys: shingle_sets(docs, text, id_, found.select("key", "i", "h", "p").join(keys, "key")), similarity, PART)
+    roots = components(links).withColumnRenamed("node", "key")
+    drop(links)
+    return roots
 
 
-def classes(found: DataFrame, docs: DataFrame, text: str, id_: str, similarity: float) -> DataFrame:
-    """(key, root) of the paragraphs that are linked to another text.
-
-    ``found``: a row for each distinct paragraph: key, bands, and its first place i, h, p. Paragraphs that share a band
-    are candidates. A band's hub is its member with the largest bands: of a text and its variants that is the text
-    itself, as each variant leaves some bands. First each paragraph is compared with the hub of the largest weight among
-    its bands. Then, round by round, in each band whose members are of several components each member outside the main
-    one is compared with those members of the main one, and of the others, whose signatures are the most alike
-    (``nearest``), after the first round in bands alone of which a member has come to another component; rounds end when
-    one finds no new link. So variants of a text cost a few comparisons each, however
-    many they are. A band of more than PART members is several tasks: its
-    members are dealt into parts, those outside the main component into groups that ask, and each group meets each part.
-    """
-    far = 1 - similarity + 1e-9
-    # values of SIGNS that agree: four standard deviations below the mean of pairs at the similarity
-    least = int(SIGNS * similarity - 4 * (SIGNS * similarity * (1 - similarity)) ** 0.5)
-    member = found.select("key", F.explode("bands").alias("band"))
-    sizes = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(member.join(sizes, "band"))
-    weight = shared.groupBy("key").agg(F.sum("size").alias("w"))
-    order = F.struct((-F.col("w")).alias("w"), F.col("key"))
-    rated = cut(shared.select("band", "key").join(weight, "key"))
-    drop(shared)
-    hubs = rated.groupBy("band").agg(F.min(order).alias("hub"))
-    best = rated.join(hubs, "band").groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("key").alias("a"), F.col("hub.key").alias("b")).where("a <> b")
-    tried = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sets = cut(shingle_sets(docs, text, id_, found.select("key", "i", "h", "p").join(rated.select("key").distinct(), "key")))
-    signs = cut(signatures(sets))
-    links = cut(compared(tried, sets).where(F.col("d") <= far).select("a", "b"))
-    before = None
-    while True:
-        roots = components(links).withColumnRenamed("node", "key")
-        some = rated.select("band", "key")
-        if before is not None:
-            # a band none of whose members has another root than before would give the pairs that it gave
-            old = before.withColumnRenamed("root", "old")
-            moved = roots.join(old, "key", "left").where(F.col("root") != F.coalesce("old", "key")).select("key")
-            some = some.join(some.join(moved, "key", "left_semi").select("band").distinct(), "band", "left_semi")
-        label = some.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = label.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("several")).where("several > 1")
-        size = lambda n: F.ceil(n / PART).cast("int")
-        open_ = label.join(mixed.select("band", F.col("top.root").alias("top"), size(F.col("n")).alias("parts"), size(F.col("n") - F.col("top.n")).alias("askers")), "band")
-        open_ = open_.withColumn("main", F.col("root") == F.col("top")).withColumns({"p": bucket(F.col("key"), F.col("parts")), "q": bucket(F.col("key"), F.col("askers"), 1)})
-        # as one that is compared with: in its own part, for all groups of askers; as an asker: in its own group, for all other parts
-        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        here = F.transform(every("askers"), lambda q: F.struct(F.col("p").alias("p"), q.alias("q"), (~F.col("main") & (q == F.col("q"))).alias("ask"), F.lit(True).alias("target")))
-        there = F.transform(F.filter(every("parts"), lambda p: p != F.col("p")), lambda p: F.struct(p.alias("p"), F.col("q").alias("q"), F.lit(True).alias("ask"), F.lit(False).alias("target")))
-        open_ = open_.withColumn("c", F.explode(F.when(F.col("main"), here).otherwise(F.concat(here, there)))).select("band", "c.*", "key", "root", "main")
-        pairs = open_.join(signs, "key").select("band", "p", "q", "key", "root", "main", "ask", "target", "g").groupBy("band", "p", "q").applyInArrow(lambda t: nearest(t, least), "a binary, b binary").distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = cut(compared(pairs, sets).where(F.col("d") <= far).select("a", "b"))
-        if more.isEmpty():
-            drop(rated, sets, signs, tried, pairs, more)
-            return roots
-        if before is not None:
-            drop(before)
-        before, tried, links = roots, tried.union(pairs), links.union(more)
-
-
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.998, line: int = LINE, least: int = WORDS, run: int = RUN, with_hash: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, line: int = LINE, least: int = WORDS, run: int = RUN, with_hash: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_paragraphs (lines of ``line`` words or more), n_repeated (those that have an
     equal or near one anywhere), n_removed and removed (lines to remove, from 0: all of a class but its first by
     doc_id, text and line), n_runs (runs of words that occur elsewhere word by word), spans (where they are to be
@@ -262,9 +152,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     (the other documents that keep what is removed here) and classes (64-bit class ids of the repeated paragraphs).
 
     Paragraphs are lines; words are in lower case and parted by ASCII white space. Two are linked if the Jaccard
-    similarity of their sets of five-word shingles is at least ``similarity``; classes are the components of links.
-    Bands are chosen to miss at most 1 - recall of the pairs at that similarity, and fewer above. Equal paragraphs are
-    one from the start. Passages that repeat word by word are found wherever they stand, inside lines, as lines or over
+    similarity of their sets of five-word shingles is at least ``similarity``; classes are the components of all links.
+    Equal paragraphs are one from the start. Passages that repeat word by word are found wherever they stand, inside lines, as lines or over
     several, each document's lines in its own way: by runs of ``run`` words of the document, chosen by their words
     alone (``chosen``). Of a passage of ``least`` words or more one run at least is found, and all its words but at
     most least - run at each end lie in found runs; of shorter ones, runs may be found, below ``run`` words none. An
@@ -274,18 +163,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
     The rows of a paragraph or run that very many documents share are dealt over many tasks (``spread_join``).
     """
-    bands, rows = bands_for(similarity, recall)
     where = [F.col("i").isNull().alias("z"), F.col("i"), F.col("h"), F.col("a")]
     place = F.struct(*where)
-    seen = cut(paragraphs(docs, text, doc_id, bands, rows, line, least, run))
+    seen = cut(paragraphs(docs, text, doc_id, similarity, line, least, run))
 
-    lines = seen.where(F.col("bands").isNotNull())
-    found = cut(lines.groupBy("key").agg(F.min(F.struct(*where, "p")).alias("o"), F.max(place).alias("e"), F.first("bands").alias("bands"), F.count("*").alias("n")).select("key", F.struct("o.z", "o.i", "o.h", "o.a").alias("o"), "e", "bands", "n", "o.i", "o.h", "o.p"))
-    roots = classes(found.select("key", "bands", "i", "h", "p"), docs, text, doc_id, similarity)
+    lines = seen.where(F.col("key").isNotNull())
+    found = cut(lines.groupBy("key").agg(F.min(F.struct(*where, "p")).alias("o"), F.max(place).alias("e"), F.first(F.struct("n", "c")).alias("s"), F.count("*").alias("m")).select("key", F.struct("o.z", "o.i", "o.h", "o.a").alias("o"), "e", "s.n", "s.c", "m", "o.i", "o.h", "o.p"))
+    roots = classes(found.select("key", "n", "c", "i", "h", "p"), docs, text, doc_id, similarity)
     kept = found.select("key", "o", "e").join(roots, "key", "left").withColumn("class", F.coalesce("root", "key"))
     first = kept.groupBy("class").agg(F.min("o").alias("keep"), F.max("e").alias("last")).where(~F.col("keep").eqNullSafe(F.col("last")))
     label = cut(kept.select("key", "class").join(first.select("class", "keep"), "class").select("key", F.xxhash64("class").alias("class"), "keep"))
-    whole = spread_join(lines.select("i", "h", "p", "a", "key"), label, ["key"], found.where("n > 1").select("key", "n"), ["i", "h", "a"], "left")
+    whole = spread_join(lines.select("i", "h", "p", "a", "key"), label, ["key"], found.where("m > 1").select("key", F.col("m").alias("n")), ["i", "h", "a"], "left")
 
     runs = seen.where(F.col("k").isNotNull()).select("i", "h", "a", "k", "k2")
     several = cut(runs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from farpoint.llm import simhash
+from farpoint.llm import paragraphs, simhash
 from tests.llm.test_ops import WORDS, docs, prose
 
 
@@ -66,3 +66,17 @@ def test_links_of_sets(spark, part):
     assert root == roots_of(sets)
     if part > len(sets):
         assert len(got) < 2 * len(sets)  # a forest for each home, no pairs
+
+
+def test_no_link_of_paragraphs_is_lost(spark, monkeypatch):
+    """Classes of one large family of lines, dealt over parts, are those of all pairs."""
+    monkeypatch.setattr(paragraphs, "PART", 50)
+    rng, texts, base = random.Random(4), [], prose(6, 60).split()
+    for _ in range(200):
+        w = list(base)
+        for k in rng.sample(range(60), 2):
+            w[k] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    root = roots_of([set(simhash.shingles(t, 5)) for t in texts])
+    got = [tuple(r["classes"]) for r in paragraphs.repeats(docs(spark, *texts)).orderBy("doc_id").collect()]
+    assert all((got[i] == got[j] != ()) == (root[i] == root[j]) for i in range(200) for j in range(i) if texts[i] != texts[j])
