@@ -11,6 +11,9 @@ from farpoint.functions import geo, score, stats, velocity
 from farpoint.operators import catalog, significance
 from farpoint.operators.ranks import percentiles
 
+#: How far behind the limb, in radii, a point that lies on it may come by rounding (two micrometres).
+LIMB = 1e-12
+
 
 def arcs(pairs: DataFrame, top: int = 20, points: int = 60) -> DataFrame:
     """(idx_a, idx_b, shade, i, lon, lat): the great circles of the best pairs; shade is the score between their least and most."""
@@ -37,9 +40,9 @@ def outlines(detections: DataFrame) -> DataFrame:
 
 
 def projected(craters: DataFrame, lon: Column, lat: Column) -> DataFrame:
-    """(idx, right, up, visible): the side of the sphere that is seen from above a point."""
+    """(idx, right, up, visible): the side of the sphere that is seen from above a point, its limb with what rounding puts just behind it."""
     right, up, depth = geo.orthographic(geo.unit(F.col("lon_deg"), F.col("lat_deg")), geo.unit(lon, lat))
-    return craters.select("idx", right.alias("right"), up.alias("up"), (depth >= 0).alias("visible"))
+    return craters.select("idx", right.alias("right"), up.alias("up"), (depth >= -LIMB).alias("visible"))
 
 
 def score_histogram(pairs: DataFrame, bins: int = 50) -> DataFrame:

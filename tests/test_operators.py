@@ -396,6 +396,13 @@ def test_report_tables(spark):
     assert strength == pytest.approx([2.0, 1.0])
 
 
+def test_limb_is_seen(spark):
+    """Points 90 degrees from the one below the eye, whatever way their depth is rounded."""
+    at = [(40.0, -65.0), (-140.0, 65.0), (130.0, 0.0), (-50.0, 0.0), (40.0, -65.01), (-140.0, 64.99)]
+    seen = report.projected(craters(spark, *[(i, lon, lat, 4.0, 0.5, 1.0, 1.0, 1.0, 0.0, True, 0.5) for i, (lon, lat) in enumerate(at)]), F.lit(40.0), F.lit(25.0))
+    assert [r["visible"] for r in seen.orderBy("idx").collect()] == [True] * 4 + [False] * 2
+
+
 def taken_in_order(rows, k=None):
     out, used = [], set()
     for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
