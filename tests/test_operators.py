@@ -1,8 +1,11 @@
 """What SQL does not say: edges, walks and runs, against brute force on values of a generator."""
 
+import contextlib
+import io
 import json
 import math
 import os
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -457,3 +460,45 @@ def test_crowded_cone(spark, angle):
     left, right, on = conejoin.keyed(probe, build, angle, most=most)
     work = left.groupBy(*on).count().withColumnRenamed("count", "l").join(right.groupBy(*on).count(), on).select((F.col("l") * F.col("count")).alias("w")).collect()
     assert "part" in on and max(r["w"] for r in work) <= 2 * most
+
+
+def explained(df, mode):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain(mode)
+    return out.getvalue()
+
+
+def many_craters(spark, n):
+    rng = np.random.default_rng(23)
+    lon, lat = rng.uniform(-180, 180, n), np.degrees(np.arcsin(rng.uniform(-1, 1, n)))
+    return craters(spark, *[(i, float(lon[i]), float(lat[i]), 3.0 + i % 7 / 4, i / n, 1.5 + i % 5 / 10, 3.0 + i % 4 / 10, 1.0 + i % 9 / 40 if i % 6 else None, float(i * 13 % 180), i % 3 > 0, 0.5) for i in range(n)])
+
+
+def test_pairs_in_small_methods(spark):
+    """No side of the join is broadcast, and no generated method is larger than the JVM compiles."""
+    pairs = conejoin.build_pairs(many_craters(spark, 30), most=None)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "Broadcast" not in explained(pairs, "simple")
+        assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", explained(pairs, "codegen")))) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_top_pairs(spark):
+    """With a bound from some rows' pairs, the best are those of all pairs, ties and all."""
+    c = many_craters(spark, 400)
+    every = conejoin.build_pairs(c).withColumn("score", F.round("score", 9)).cache()
+    for n, pilot in ((1, 40), (30, 100)):
+        assert [r[:3] for r in conejoin.top_pairs(c, n, pilot=pilot).select("idx_a", "idx_b", "score").collect()] == [r[:3] for r in conejoin.best_pairs(every, n).select("idx_a", "idx_b", "score").collect()]
+
+
+def test_sweep_of_some_pairs(spark):
+    """What is left out below the bounds of a part of the pairs changes nothing."""
+    pairs = conejoin.build_pairs(many_craters(spark, 200)).cache()
+    grid = rescore.sweep(spark, factors=[0.4, 1.0, 2.5])
+    every = rescore.under(pairs, grid).withColumn("score", F.round("score", 9)).cache()
+    for limit in (0.2, 0.9):
+        got = {(r["parameter"], r["scale"]): (r["best_score"], r["n_above"]) for r in rescore.sensitivity(pairs, grid, limit, slices=3).collect()}
+        assert got == {(r["parameter"], r["scale"]): (r["b"], r["n"]) for r in every.groupBy("parameter", "scale").agg(F.max("score").alias("b"), F.count_if(F.col("score") >= limit).alias("n")).collect()}
