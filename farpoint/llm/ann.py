@@ -135,15 +135,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
 
     def run(df: DataFrame, asked: DataFrame, n: int) -> DataFrame:
         held, wanted = assigned(df, 1), assigned(asked, n)
-        parts = F.lit(1)
         sizes = {r[0]: r[1] for r in held.groupBy("l").count().where(F.col("count") > PART).collect()}
         blocks = {r[0]: r[1] for r in wanted.groupBy("l").count().where(F.col("count") > BLOCK).collect()}
 
         def many(by: dict[int, int], each: int):
-            out = F.lit(1)
-            for x, n in by.items():
-                out = F.when(F.col("l") == x, -(-n // each)).otherwise(out)
-            return out.cast("int")
+            """How many pieces a list's rows make, looked up by its number: one case within another for each list would be too deep to plan."""
+            return F.get(F.lit([-(-by.get(x, 1) // each) for x in range(lists)]), F.col("l"))
 
         parts, cuts = many(sizes, PART), many(blocks, BLOCK)
         left = held.withColumns({"p": bucket(F.col("id"), parts), "b": F.explode(F.sequence(F.lit(0), cuts - 1))})

@@ -84,6 +84,19 @@ def test_neighbours(spark):
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_ann_many_lists(spark, monkeypatch):
+    """A thousand lists whose rows and queries are all dealt into pieces: as brute force finds them."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1400, 4))
+    monkeypatch.setattr(ann, "fit", lambda x, rows: ann.Index(4, ann.unit(x[:1000]), np.eye(4)))
+    monkeypatch.setattr(ann, "PART", 1)
+    monkeypatch.setattr(ann, "BLOCK", 1)
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.search(v, v.where("vec_id in (3, 900)"), probes=1.0).orderBy("query_id", "rank").collect()]
+    held = dict(enumerate(x))
+    assert got == [p for q in (3, 900) for p in ann.nearest_exact(held, q)]
+
+
 def test_neighbours_outside_the_lists(spark, monkeypatch):
     """A query whose lists hold fewer than k others gets k all the same, whatever the table's size."""
     one = np.eye(4)[0]
